@@ -29,7 +29,7 @@ def _positions(p: float, n: Column, kind: str) -> tuple[Column, Column, Column]:
 
 
 def exact_percentiles(df: DataFrame, keys: list[str], columns: list[str], ps: list[float],
-                      kind: str = "linear") -> DataFrame:
+                      kind: str = "linear", accuracy: int = PERCENTILE_ACCURACY) -> DataFrame:
     """Exact percentiles by group, one row per (keys, column, p): ``value``.
 
     A sketch first gives a narrow value band that must hold the wanted rank; then only the rows
@@ -37,7 +37,7 @@ def exact_percentiles(df: DataFrame, keys: list[str], columns: list[str], ps: li
     of all rows costs no more than its band. ``linear`` interpolates; ``nearest`` takes the row
     at the half-even rounded rank.
     """
-    spread = 3.0 / PERCENTILE_ACCURACY
+    spread = 3.0 / accuracy
     cells = df.select(
         *keys, F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value"))
                                    for c in columns])).alias("_cell"))
@@ -46,12 +46,12 @@ def exact_percentiles(df: DataFrame, keys: list[str], columns: list[str], ps: li
     edges = [max(p - spread, 0.0) for p in ps] + [min(p + spread, 1.0) for p in ps]
     stats = cells.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.min("value").alias("_min"), F.max("value").alias("_max"),
-        F.percentile_approx("value", edges, PERCENTILE_ACCURACY).alias("_edges"))
+        F.percentile_approx("value", edges, accuracy).alias("_edges"))
     bands = []
     for i, p in enumerate(ps):
         low, high, weight = _positions(p, F.col("n"), kind)
         # A small group is its own band; in a large one the spread covers the sketch error and both neighbours.
-        small = F.col("n") <= PERCENTILE_ACCURACY
+        small = F.col("n") <= accuracy
         lo = F.col("_min") if p - spread <= 0 else F.when(small, F.col("_min")).otherwise(F.col("_edges")[i])
         hi = F.col("_max") if p + spread >= 1 else F.when(small, F.col("_max")).otherwise(F.col("_edges")[len(ps) + i])
         bands.append(F.struct(F.lit(p).alias("p"), lo.alias("lo"), hi.alias("hi"), low.alias("low"),
@@ -115,7 +115,8 @@ def load_test_summary(df: DataFrame, ok: Column, elapsed: str, duration_s: Colum
     marked = df.withColumn("_ok", ok)
     counts = marked.agg(
         F.count(F.lit(1)).alias("total"), F.count_if("_ok").alias("successes"),
-        F.count_if(~F.col("_ok")).alias("failures"), duration_s.alias("duration_s"))
+        F.count_if(~F.col("_ok")).alias("failures"), F.max(F.when(F.col("_ok"), F.col(elapsed))).alias("max"),
+        duration_s.alias("duration_s"))
     ps = exact_percentiles(marked.where("_ok"), [], [elapsed], [0.5, 0.9, 0.95, 0.99], "nearest")
     wide = ps.agg(*[F.max(F.when(F.col("p") == p, F.col("value"))).alias(name)
                     for p, name in ((0.5, "p50"), (0.9, "p90"), (0.95, "p95"), (0.99, "p99"))])
@@ -123,8 +124,8 @@ def load_test_summary(df: DataFrame, ok: Column, elapsed: str, duration_s: Colum
     return counts.withColumn("_p", point).select(
         "total", "successes", "failures",
         F.try_divide(F.col("successes"), F.col("total")).alias("success_rate"),
-        F.try_divide(F.col("total"), F.col("duration_s")).alias("requests_per_s"),
-        "_p.p50", "_p.p90", "_p.p95", "_p.p99")
+        F.when(F.col("duration_s") > 0, F.col("total") / F.col("duration_s")).otherwise(F.lit(float("inf")))
+        .alias("requests_per_s"), "_p.p50", "_p.p90", "_p.p95", "_p.p99", "max")
 
 
 def corpus_profile(df: DataFrame, type_col: str, text: str, entity_count: Column) -> DataFrame:
@@ -246,12 +247,17 @@ def drift_first_last(profiles: DataFrame) -> DataFrame:
 
 
 def agreement_ratio(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Accuracy difference and throughput ratio of two summaries; 0 and 1 if one is missing."""
+    """Accuracy difference and throughput ratio of two summaries.
+
+    A missing accuracy or upper throughput counts as 0, a missing lower throughput as 1.
+    """
     pick = lambda df, c: df.select(c).scalar()
-    one = a.sparkSession.range(1)
-    return one.select(
-        F.coalesce(pick(b, "accuracy") - pick(a, "accuracy"), F.lit(0.0)).alias("accuracy_delta"),
-        F.coalesce(F.try_divide(pick(b, "docs_per_s"), pick(a, "docs_per_s")), F.lit(1.0)).alias("throughput_ratio"))
+    sides = a.sparkSession.range(1).select(
+        *[F.coalesce(pick(df, c), F.lit(0.0)).alias(f"{c}_{side}")
+          for side, df in (("a", a), ("b", b)) for c in ("accuracy", "docs_per_s")])
+    base = F.when(F.col("docs_per_s_a") == 0, F.lit(1.0)).otherwise(F.col("docs_per_s_a"))
+    return sides.select((F.col("accuracy_b") - F.col("accuracy_a")).alias("accuracy_delta"),
+                        (F.col("docs_per_s_b") / base).alias("throughput_ratio"))
 
 
 def usage_cube(df: DataFrame, dims: list[str], quantity: str) -> DataFrame:

@@ -220,7 +220,7 @@ SELECT (SELECT count(*) FROM events) AS total, (SELECT count(*) FROM ok) AS succ
        max(value) FILTER (pos = round_even(0.5 * (n - 1), 0)) AS p50,
        max(value) FILTER (pos = round_even(0.9 * (n - 1), 0)) AS p90,
        max(value) FILTER (pos = round_even(0.95 * (n - 1), 0)) AS p95,
-       max(value) FILTER (pos = round_even(0.99 * (n - 1), 0)) AS p99 FROM ok""")
+       max(value) FILTER (pos = round_even(0.99 * (n - 1), 0)) AS p99, max(value) AS max FROM ok""")
 def q_load_test(spark, sf):
     events = load_table(spark, sf, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
     out = agg.load_test_summary(events, F.col("event_type") != "error", "value",
