@@ -1,0 +1 @@
+"""Batch model runs over tables, and small local models."""

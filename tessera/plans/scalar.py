@@ -6,16 +6,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions import responses, scoring, text
 from tessera.plans.registry import query
+from tessera.plans.sqltext import strip as strip_sql
 from tessera.sources.readers import load_table
 
-# The same character set for DuckDB's trim.
-WS_SQL = "(" + " || ".join(f"chr({ord(c)})" for c in text.WHITE_SPACE) + ")"
-
-
-def strip_sql(expr: str) -> str:
-    return f"trim({expr}, {WS_SQL})"
-
-
 @query("file_name", "SELECT page_id, regexp_extract(url, '([^/]+)$', 1) AS name FROM pages")
 def q_file_name(spark, sf):
     return load_table(spark, sf, "pages").select("page_id", text.file_name(F.col("url")).alias("name"))

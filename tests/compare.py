@@ -67,8 +67,8 @@ if __name__ == "__main__":
 
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     wanted = sys.argv[2:]
-    spark = build_session("compare", "local[8]", 8, spark__driver__memory="12g", spark__ui__enabled="false")
-    spark.sparkContext.setLogLevel("ERROR")
+    spark = build_session("compare", "local[8]", 8, spark__driver__memory="12g", spark__ui__enabled="false", spark__ui__showConsoleProgress="false")
+    spark.sparkContext.setLogLevel("OFF")
     con = duck(sf_dir)
     sqls, bad = oracle_sql(), []
     for key, fn in queries().items():
@@ -80,5 +80,5 @@ if __name__ == "__main__":
                   flush=True)
         except Exception as e:  # noqa: BLE001
             bad.append(key)
-            print(f"{key:32s} FAIL {str(e)[:2500]}", flush=True)
+            print(f"{key:32s} FAIL {str(e)[:2500] if isinstance(e, AssertionError) else str(e)[:500]}", flush=True)
     print("failed:", bad)
