@@ -8,6 +8,8 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.core import let
+
 # Where to cut, from paragraphs down to single characters.
 SEPARATORS = ("\n\n", "\n", " ", "")
 
@@ -17,10 +19,12 @@ def word_windows(text: Column, size: int, overlap: int) -> Column:
     if not 0 <= overlap < size:
         raise ValueError("overlap must be smaller than size")
     step = size - overlap
-    words = F.regexp_extract_all(text, F.lit(r"[^ \t\n\r\f]+"), F.lit(0))
-    last = F.greatest(F.ceil((F.size(words) - overlap) / step).cast("int") - 1, F.lit(0))
-    return F.transform(F.sequence(F.lit(0), last),
-                       lambda i: F.array_join(F.slice(words, i * step + 1, F.lit(size)), " "))
+    def windows(words: Column) -> Column:
+        last = F.greatest(F.ceil((F.size(words) - overlap) / step).cast("int") - 1, F.lit(0))
+        return F.transform(F.sequence(F.lit(0), last),
+                           lambda i: F.array_join(F.slice(words, i * step + 1, F.lit(size)), " "))
+
+    return let(F.regexp_extract_all(text, F.lit(r"[^ \t\n\r\f]+"), F.lit(0)), windows)
 
 
 def _pack(pieces: list[str], size: int, overlap: int, measure: Callable[[str], int]) -> Iterator[str]:

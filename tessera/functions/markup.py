@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.core import let
 from tessera.functions.text import strip_ws
 
 # Named entities that are decoded; the ampersand comes last.
@@ -22,11 +23,10 @@ MARK, TITLE_END = "\x01", "\x02"
 
 def decode_entities(text: Column) -> Column:
     """Decimal entities and the named ones above as characters."""
-    parts = F.split(text, "&#", -1)
-    decoded = F.transform(parts, lambda part, i: F.when((i > 0) & part.rlike("^[0-9]{1,7};"), F.concat(
+    decoded = lambda whole: F.transform(F.split(whole, "&#", -1), lambda part, i: F.when((i > 0) & part.rlike("^[0-9]{1,7};"), F.concat(
         F.decode(F.unhex(F.lpad(F.hex(F.regexp_extract(part, "^([0-9]+);", 1).cast("bigint")), 8, "0")), "UTF-32"),
-        F.regexp_replace(part, "^[0-9]+;", ""))).when(i > 0, F.concat(F.lit("&#"), part)).otherwise(part))
-    numbered = F.when(F.contains(text, F.lit("&#")), F.array_join(decoded, "")).otherwise(text)
+        F.regexp_replace(part, "^[0-9]+;", ""))).when(i > 0, F.concat(F.lit("&#"), part)).otherwise(part))
+    numbered = let(text, lambda t: F.when(F.contains(t, F.lit("&#")), F.array_join(decoded(t), "")).otherwise(t))
     return reduce(lambda c, e: F.replace(c, F.lit(f"&{e[0]};"), F.lit(e[1])), ENTITIES.items(), numbered)
 
 

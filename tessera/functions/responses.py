@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.core import let
 from tessera.functions.text import strip_ws
 
 
@@ -40,13 +41,16 @@ def as_list(text: Column, element_ddl: str) -> Column:
 
     List members that are no objects are left out; text that is no JSON gives an empty array.
     """
-    parsed = F.try_parse_json(text)
-    kind = kind_of(parsed)
-    members = F.filter(F.try_variant_get(parsed, "$", "array<variant>"), lambda v: kind_of(v) == "object")
-    many = F.transform(members, lambda v: F.try_variant_get(v, "$", element_ddl))
-    one = F.array(F.try_variant_get(parsed, "$", element_ddl))
     empty = F.from_json(F.lit("[]"), f"array<{element_ddl}>")
-    return F.when(kind == "array", many).when(kind == "object", one).otherwise(empty)
+
+    def listed(parsed: Column) -> Column:
+        kind = kind_of(parsed)
+        members = F.filter(F.try_variant_get(parsed, "$", "array<variant>"), lambda v: kind_of(v) == "object")
+        many = F.transform(members, lambda v: F.try_variant_get(v, "$", element_ddl))
+        one = F.array(F.try_variant_get(parsed, "$", element_ddl))
+        return F.when(kind == "array", many).when(kind == "object", one).otherwise(empty)
+
+    return let(F.try_parse_json(text), listed)
 
 
 @dataclass(frozen=True)
@@ -64,8 +68,11 @@ class FieldRule:
 
 def validate_response(text: Column, rules: list[FieldRule], extra_allowed: bool = False) -> Column:
     """Violations as an array of ``problem:field``, empty if the answer fits its schema."""
-    parsed = F.try_parse_json(text)
-    keys = F.json_object_keys(text)
+    bound = F.struct(F.try_parse_json(text).alias("parsed"), F.json_object_keys(text).alias("keys"))
+    return let(bound, lambda b: _violations(b["parsed"], b["keys"], rules, extra_allowed))
+
+
+def _violations(parsed: Column, keys: Column, rules: list[FieldRule], extra_allowed: bool) -> Column:
     found: list[Column] = []
     for rule in rules:
         path = f"$.{rule.name}"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.core import let
 from tessera.functions.text import strip_ws
 
 # Texts that count as "nothing was extracted".
@@ -53,13 +54,16 @@ def score_date(extracted: Column, expected: Column) -> Column:
 
 def score_list(extracted: Column, expected: Column) -> Column:
     """Share of expected items found, less a small penalty for items too many."""
-    e, x = F.transform(expected, normalize_field), F.transform(extracted, normalize_field)
-    hits = F.size(F.filter(e, lambda v: F.exists(x, lambda w: F.contains(w, v) | F.contains(v, w))))
-    surplus = F.greatest(F.lit(0), F.size(x) - hits)
-    score = hits / F.size(e) - F.least(F.lit(0.2), F.lit(0.05) * surplus)
-    full = (F.when((F.size(e) == 0) & (F.size(x) == 0), F.lit(1.0))
-            .when((F.size(e) == 0) | (F.size(x) == 0), F.lit(0.0))
-            .otherwise(F.greatest(F.lit(0.0), score)))
+    def compare(both: Column) -> Column:
+        e, x = both["e"], both["x"]
+        hits = F.size(F.filter(e, lambda v: F.exists(x, lambda w: F.contains(w, v) | F.contains(v, w))))
+        return let(hits, lambda n: F.greatest(F.lit(0.0), n / F.size(e) - F.least(
+            F.lit(0.2), F.lit(0.05) * F.greatest(F.lit(0), F.size(x) - n))))
+
+    sides = F.struct(F.transform(expected, normalize_field).alias("e"), F.transform(extracted, normalize_field).alias("x"))
+    full = (F.when((F.size(expected) == 0) & (F.size(extracted) == 0), F.lit(1.0))
+            .when((F.size(expected) == 0) | (F.size(extracted) == 0), F.lit(0.0))
+            .otherwise(let(sides, compare)))
     return _with_nulls(extracted, expected, full, text=False)
 
 
@@ -99,9 +103,9 @@ def is_listed(text: Column) -> Column:
 
 def not_duplicative(text: Column) -> Column:
     """List items are all different; a text without list is judged by its lines."""
-    items = list_lines(text)
-    shown = F.when(F.size(items) > 0, items).otherwise(F.filter(F.split(text, "\n"), lambda s: s != ""))
-    return F.size(F.array_distinct(shown)) == F.size(shown)
+    plain = F.filter(F.split(text, "\n"), lambda s: s != "")
+    return let(list_lines(text), lambda items: let(
+        F.when(F.size(items) > 0, items).otherwise(plain), lambda shown: F.size(F.array_distinct(shown)) == F.size(shown)))
 
 
 def length_list_metric(text: Column, target_len: int = 600, max_len_score: int = 3) -> Column:

@@ -261,36 +261,42 @@ def _count(words: str, term: str) -> Column:
     return F.size(F.filter(words, lambda w: w == term))
 
 
-def keyword_scores(corpus: DataFrame, text: str, column: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """BM25 score of every row against a query; rows without a query word score null.
+def keyword_scores(corpus: DataFrame, text: str, keep: list[str | Column], column: str = "text", k1: float = 1.2,
+                   b: float = 0.75) -> DataFrame:
+    """(keep, score): BM25 of every row against a query; rows without a query word score null.
 
-    Two scans and no shuffle of postings: the first sums document frequencies map-side, the second
-    scores each row in place. Words are counted within the row.
+    The text is read once. Words are counted inside the row and only (keep, length, counts) is
+    written; document frequencies and scores come from those narrow rows. No postings are shuffled.
     """
     terms = query_terms(text)
-    counted = corpus.withColumn("_tokens", tokenize_words(F.col(column)))
-    counted = counted.withColumn("_len", F.size("_tokens")).withColumn(
-        "_hits", F.filter("_tokens", lambda t: t.isin(terms) if terms else F.lit(False)))
-    tf = [_count("_hits", term) for term in terms]
+    tokens = corpus.select(*keep, tokenize_words(F.col(column)).alias("_tokens"))
+    names = tokens.columns[:-1]
+    hits = tokens.select(*names, F.size("_tokens").alias("_len"), F.filter(
+        "_tokens", lambda t: t.isin(terms) if terms else F.lit(False)).alias("_hits"))
+    counts = F.when(F.size("_hits") > 0, F.array(*[_count("_hits", t) for t in terms]).cast("array<int>"))
+    counted = pin(hits.select(*names, "_len", counts.alias("_tf")))
     stats = counted.agg(F.struct(
         F.count(F.lit(1)).cast("double").alias("n"), F.avg("_len").alias("avg_len"),
-        *[F.count_if(x > 0).cast("double").alias(f"df_{i}") for i, x in enumerate(tf)])).scalar()
+        *[F.count_if(F.col("_tf")[i] > 0).cast("double").alias(f"df_{i}") for i in range(len(terms))])).scalar()
     scored = counted.withColumn("_s", stats)
     total = F.lit(0.0)
-    for i, x in enumerate(tf):
-        df = F.col(f"_s.df_{i}")
+    for i in range(len(terms)):
+        df, tf = F.col(f"_s.df_{i}"), F.col("_tf")[i]
         idf = F.log(1 + (F.col("_s.n") - df + 0.5) / (df + 0.5))
-        total = total + idf * x * (k1 + 1) / (x + k1 * (1 - b + b * F.col("_len") / F.col("_s.avg_len")))
-    hit = F.size("_hits") > 0
-    return scored.withColumn("score", F.when(hit, F.round(total, SCORE_DIGITS))).drop("_tokens", "_len", "_hits", "_s")
+        total = total + idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("_len") / F.col("_s.avg_len")))
+    return scored.select(*names, F.when(F.col("_tf").isNotNull(), F.round(total, SCORE_DIGITS)).alias("score"))
 
 
 def keyword_topk(corpus: DataFrame, text: str, k: int = 6, id_col: str = "id", column: str = "text",
                  columns: list[str] | None = None) -> DataFrame:
     """Best k rows by BM25 with the number of all matching rows in ``total``."""
-    scored = keyword_scores(corpus, text, column).where(F.col("score").isNotNull())
+    scored = keyword_scores(corpus, text, [id_col], column).where(F.col("score").isNotNull())
     total = scored.agg(F.count(F.lit(1))).scalar()
-    return _best(scored, k, id_col, columns).withColumn("total", total)
+    best = _best(scored, k, id_col, None).withColumn("total", total)
+    if not columns:
+        return best
+    # k rows, whatever the size of the corpus.
+    return corpus.select(id_col, *columns).join(F.broadcast(best), id_col).orderBy(F.col("score").desc(), F.col(id_col))
 
 
 def reciprocal_rank(scored: DataFrame, id_col: str, score: str, out: str, rrf_k: int = RRF_K) -> DataFrame:
@@ -306,9 +312,8 @@ def hybrid_topk(corpus: DataFrame, text: str, k: int, model: ModelFactory | None
                 id_col: str = "id", column: str = "text", vector: str = "embedding", rrf_k: int = RRF_K) -> DataFrame:
     """Semantic and keyword rank fused by reciprocal rank. Both ranks are exact over all rows."""
     rows = corpus if condition is None else corpus.where(condition)
-    keyed = keyword_scores(rows, text, column).withColumnRenamed("score", "keyword_score")
-    both = with_score(keyed, query_vector(text, model or HashedEmbedder()), vector).select(
-        id_col, F.col("score").alias("vector_score"), "keyword_score")
+    near = cosine_to(query_vector(text, model or HashedEmbedder()))(F.col(vector)).alias("vector_score")
+    both = keyword_scores(rows, text, [id_col, near], column).withColumnRenamed("score", "keyword_score")
     fused = reciprocal_rank(both, id_col, "vector_score", "_semantic", rrf_k)
     fused = reciprocal_rank(fused, id_col, "keyword_score", "_keyword", rrf_k)
     score = F.round(F.col("_semantic") + F.col("_keyword"), 9)

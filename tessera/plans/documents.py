@@ -9,7 +9,7 @@ from tessera.functions.markup import BLOCK_TAGS, DROPPED, ENTITIES
 from tessera.operators import documents, ranking, retrieval
 from tessera.plans import sqltext
 from tessera.plans.registry import query
-from tessera.sources.readers import load_table
+from tessera.sources.readers import heavy_table, load_table
 
 TERMS = "the reshen onthe und"
 
@@ -143,12 +143,19 @@ SELECT '{TERMS}' AS question, count(*) AS passages, round(sum(score), 6) AS scor
                   chr(10) || '---' || chr(10) ORDER BY rank) AS context FROM r""")
 def q_chunk_retrieval(spark, sf):
     """Documents to chunks, best chunks for a question, one context."""
-    docs = load_table(spark, sf, "documents").select("doc_id", word_windows(F.col("text"), 50, 10).alias("chunks"))
-    rows = documents.chunk_rows(docs, "doc_id", "chunks").withColumn("key", F.col("doc_id") * 1_000_000 + F.col("chunk_no"))
-    best = retrieval.keyword_topk(rows, TERMS, 10, "key", "chunk", ["chunk_id", "chunk"])
-    ranked = ranking.topk_per_group(best.withColumn("question", F.lit(TERMS)), ["question"],
+    docs = heavy_table(spark, sf, "documents").select("doc_id", "text")
+
+    def chunks(rows):
+        cut = rows.select("doc_id", word_windows(F.col("text"), 50, 10).alias("chunks"))
+        return documents.chunk_rows(cut, "doc_id", "chunks").withColumn(
+            "key", F.col("doc_id") * 1_000_000 + F.col("chunk_no"))
+
+    best = retrieval.keyword_topk(chunks(docs), TERMS, 10, "key", "chunk").drop("total")
+    # Ten rows; only their documents are cut again.
+    wanted = F.broadcast(best.withColumn("doc_id", F.floor(F.col("key") / 1_000_000)))
+    found = chunks(docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")).join(
+        wanted.drop("doc_id"), "key")
+    ranked = ranking.topk_per_group(found.withColumn("question", F.lit(TERMS)), ["question"],
                                     [F.col("score").desc(), F.col("key")], 10)
-    contexts = documents.context_pack(ranked, "question", "rank", "chunk_id", "chunk")
-    sums = ranked.groupBy("question").agg(F.count(F.lit(1)).alias("passages"),
-                                          F.round(F.sum("score"), 6).alias("score_sum"))
-    return sums.join(contexts, "question")
+    contexts = documents.context_pack(ranked, "question", "rank", "chunk_id", "chunk", score="score")
+    return contexts.withColumn("score_sum", F.round("score_sum", 6))

@@ -10,7 +10,7 @@ from tessera.operators import ranking, retrieval
 from tessera.plans import sqltext
 from tessera.plans.registry import query
 from tessera.session import scratch_path
-from tessera.sources.readers import load_table
+from tessera.sources.readers import heavy_table, load_table
 
 DIM = 64
 # A fixed query vector that any engine can build: 1, -1, 2, -2, ...
@@ -69,7 +69,7 @@ SELECT key AS doc_id, CAST(len(v) AS INTEGER) AS dim, round(sqrt(list_dot_produc
 def q_embed_text(spark, sf):
     from tessera.functions.vectors import dot, norm
 
-    out = retrieval.embed_text(load_table(spark, sf, "documents").select("doc_id", "text"), "text", dim=DIM)
+    out = retrieval.embed_text(heavy_table(spark, sf, "documents").select("doc_id", "text"), "text", dim=DIM)
     probe = dot(F.col("embedding"), F.array(*[F.lit(x) for x in QUERY]))
     return out.select("doc_id", F.size("embedding").alias("dim"), F.round(norm(F.col("embedding")), 6).alias("norm"),
                       F.round(probe, 6).alias("probe"))
@@ -81,7 +81,7 @@ WITH {sqltext.embed('d', 'documents', 'doc_id', 'text')},
 SELECT d.key AS doc_id, source, {sqltext.cosine('d.v', 'q.v')} AS score
 FROM d JOIN documents ON doc_id = d.key, q WHERE lang <> 'fr' ORDER BY score DESC, doc_id LIMIT 10""")
 def q_text_topk(spark, sf):
-    docs = load_table(spark, sf, "documents").where("lang <> 'fr'")
+    docs = heavy_table(spark, sf, "documents").where("lang <> 'fr'")
     corpus = retrieval.embed_text(docs, "text", HashedEmbedder(DIM))
     return retrieval.text_topk(corpus, QUESTION, 10, HashedEmbedder(DIM), id_col="doc_id", columns=["source"])
 
@@ -95,7 +95,7 @@ def q_scan_all(spark, sf):
 WITH {sqltext.bm25('b', 'documents', 'doc_id', 'text', QUESTION.split())}
 SELECT key AS doc_id, score, (SELECT count(*) FROM b) AS total FROM b ORDER BY score DESC, key LIMIT 6""")
 def q_keyword_topk(spark, sf):
-    return retrieval.keyword_topk(load_table(spark, sf, "documents"), QUESTION, 6, "doc_id")
+    return retrieval.keyword_topk(heavy_table(spark, sf, "documents"), QUESTION, 6, "doc_id")
 
 
 @query("hybrid_topk", f"""
@@ -109,7 +109,7 @@ SELECT sr.key AS doc_id, sr.score AS vector_score, br.score AS keyword_score,
        round(1.0 / (60 + sr.r) + coalesce(1.0 / (60 + br.r), 0), 9) AS score
 FROM sr LEFT JOIN br USING (key) ORDER BY 4 DESC, 1 LIMIT 10""")
 def q_hybrid(spark, sf):
-    corpus = retrieval.embed_text(load_table(spark, sf, "documents").select("doc_id", "text"), "text", HashedEmbedder(DIM))
+    corpus = retrieval.embed_text(heavy_table(spark, sf, "documents").select("doc_id", "text"), "text", HashedEmbedder(DIM))
     return retrieval.hybrid_topk(corpus, QUESTION, 10, HashedEmbedder(DIM), id_col="doc_id")
 
 
@@ -212,6 +212,6 @@ def q_index_freshness(spark, sf):
 SELECT CAST(doc_id AS VARCHAR) AS id, source AS url, md5(text) AS digest, 64 AS dim FROM documents""")
 def q_document_index(spark, sf):
     path = scratch_path(spark, "document-index")
-    retrieval.document_index_load(load_table(spark, sf, "documents"),
+    retrieval.document_index_load(heavy_table(spark, sf, "documents"),
                                   {"id": "doc_id", "url": "source", "content": "text"}, "text", path)
     return spark.read.parquet(path).select("id", "url", F.md5("content").alias("digest"), F.size("vector").alias("dim"))

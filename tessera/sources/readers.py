@@ -6,12 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import file_name
+from tessera.session import spread
 
 
 def load_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory.rstrip('/')}/{name}.parquet")
 
 
+def heavy_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
+    """A table for work that is heavy per row: a file too small to split is spread over all cores."""
+    return spread(load_table(spark, directory, name))
+
+
 def load_whole_text(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """One row per file. The id is the md5 of the path, so a second read gives the same ids."""
     reader = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True)
