@@ -118,9 +118,17 @@ class Checksum:
         return lambda texts: [f"{self.prefix}{len(t)}:{hashlib.md5(t.encode('utf-8')).hexdigest()}" for t in texts]
 
 
-@dataclass
+@dataclass(frozen=True)
+class BatchSize:
+    """Answers with the number of texts in the call."""
+
+    def __call__(self) -> BatchCall:
+        return lambda texts: [str(len(texts))] * len(texts)
+
+
+@dataclass(frozen=True)
 class Flaky:
-    """Wraps a model and fails: always on texts that hold ``poison``, else the first ``fails`` calls of a text."""
+    """Wraps a model and fails: always on texts that hold ``poison``, else ``fails`` times before each success."""
 
     inner: ModelFactory
     poison: str | None = None
@@ -128,15 +136,16 @@ class Flaky:
 
     def __call__(self) -> BatchCall:
         call = self.inner()
-        seen: dict = {}
+        failed = 0
 
         def run(texts: list) -> list:
-            for text in texts:
-                if self.poison is not None and self.poison in text:
-                    raise ValueError("refused input")
-                seen[text] = seen.get(text, 0) + 1
-                if seen[text] <= self.fails:
-                    raise TimeoutError("rate limit")
+            nonlocal failed
+            if self.poison is not None and any(self.poison in text for text in texts):
+                raise ValueError("refused input")
+            if failed < self.fails:
+                failed += 1
+                raise TimeoutError("rate limit")
+            failed = 0
             return call(texts)
 
         return run

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from tessera.plans import documents, relational, retrieval, scalar, scans  # noqa: F401
+from tessera.plans import documents, evaluation, inference, relational, retrieval, scalar, scans  # noqa: F401
 from tessera.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
