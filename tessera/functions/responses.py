@@ -16,15 +16,31 @@ def clean_model_json(text: Column) -> Column:
     return strip_ws(F.replace(F.replace(text, F.lit("json\n"), F.lit("")), F.lit("```"), F.lit("")))
 
 
+def is_json(text: Column) -> Column:
+    """Whether the whole text is one JSON value.
+
+    ``try_parse_json`` alone reads the first value and forgives what follows. Text that goes on
+    after its value cannot fit both an array and an object around it.
+    """
+    in_array = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).isNotNull()
+    in_object = F.try_parse_json(F.concat(F.lit('{"value": '), text, F.lit(', "end": 1}')))
+    return in_array & F.coalesce(F.try_variant_get(in_object, "$.end", "int") == 1, F.lit(False))
+
+
+def parsed_json(text: Column) -> Column:
+    """Variant of a text that is JSON as a whole, else null."""
+    return F.when(is_json(text), F.try_parse_json(text))
+
+
 def parse_response(text: Column, ddl: str) -> tuple[Column, Column]:
     """(struct by schema or null, whether the text is JSON at all)."""
-    ok = F.try_parse_json(text).isNotNull()
+    ok = is_json(text)
     return F.when(ok, F.from_json(text, ddl)), ok
 
 
 def elements_to_text(text: Column, path: str = "$.document.elements") -> Column:
     """Contents of the parsed elements, one per line."""
-    elements = F.try_variant_get(F.try_parse_json(text), path, "array<struct<content string, type string>>")
+    elements = F.try_variant_get(parsed_json(text), path, "array<struct<content string, type string>>")
     return F.concat_ws("\n", F.transform(elements, lambda e: e["content"]))
 
 
@@ -50,7 +66,7 @@ def as_list(text: Column, element_ddl: str) -> Column:
         one = F.array(F.try_variant_get(parsed, "$", element_ddl))
         return F.when(kind == "array", many).when(kind == "object", one).otherwise(empty)
 
-    return let(F.try_parse_json(text), listed)
+    return let(parsed_json(text), listed)
 
 
 @dataclass(frozen=True)
@@ -68,7 +84,7 @@ class FieldRule:
 
 def validate_response(text: Column, rules: list[FieldRule], extra_allowed: bool = False) -> Column:
     """Violations as an array of ``problem:field``, empty if the answer fits its schema."""
-    bound = F.struct(F.try_parse_json(text).alias("parsed"), F.json_object_keys(text).alias("keys"))
+    bound = F.struct(parsed_json(text).alias("parsed"), F.json_object_keys(text).alias("keys"))
     return let(bound, lambda b: _violations(b["parsed"], b["keys"], rules, extra_allowed))
 
 

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.responses import is_json
 from tessera.inference.models import ModelFactory
 
 ERROR_MARK = "ERROR"
@@ -90,7 +91,7 @@ def ai_query(df: DataFrame, text: str, model: ModelFactory, out: str = "response
     elif on_error != "column":
         raise ValueError(f"unknown on_error {on_error}")
     if ddl:
-        answer = F.when(F.try_parse_json(answer).isNotNull(), F.from_json(answer, ddl))
+        answer = F.when(is_json(answer), F.from_json(answer, ddl))
     made = [answer.alias(out)]
     if on_error == "column":
         made.append(F.col("_call.error").alias("error"))

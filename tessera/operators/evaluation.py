@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.core import let
-from tessera.functions.responses import as_list, kind_of
+from tessera.functions.responses import as_list, kind_of, parsed_json
 from tessera.functions.scoring import score_extraction
 from tessera.functions.text import extract_citations, tokenize_words
 from tessera.operators.aggregates import per_field_means, typed_agg
@@ -118,7 +118,7 @@ def _feedback(value: bool, rationale: Column) -> Column:
 
 def num_results(traces: DataFrame, tool: str = "search_arxiv", id_col: str = "trace_id", spans: str = "spans") -> DataFrame:
     """(id, total, calls): rows in the list outputs of one tool, and the number of its calls."""
-    length = lambda s: let(F.try_parse_json(s["outputs"]), lambda v: F.when(
+    length = lambda s: let(parsed_json(s["outputs"]), lambda v: F.when(
         kind_of(v) == "array", F.size(F.try_variant_get(v, "$", "array<variant>"))).otherwise(F.lit(0)))
     mine = traces.select(id_col, tool_spans(F.col(spans), tool).alias("_s"))
     total = F.aggregate(F.transform("_s", length), F.lit(0), lambda a, x: a + x)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.functions.responses import is_json
+
 # A side is broadcast by hint only if it was counted and stays below this many rows.
 BROADCAST_ROWS = 1_000_000
 
@@ -65,12 +67,12 @@ def usage_semi_join(usage: DataFrame, entities: DataFrame, usage_key: str, entit
 
 def golden_inner_join(extractions: DataFrame, golden: DataFrame, key: str, response: str = "extracted") -> DataFrame:
     """Extractions with a golden row and a readable JSON answer; the rest is skipped."""
-    usable = extractions.where(F.try_parse_json(F.col(response)).isNotNull())
+    usable = extractions.where(is_json(F.col(response)))
     return usable.join(golden, key)
 
 
 def golden_missing(golden: DataFrame, extractions: DataFrame, key: str, response: str = "extracted") -> DataFrame:
-    usable = extractions.where(F.try_parse_json(F.col(response)).isNotNull())
+    usable = extractions.where(is_json(F.col(response)))
     return golden.join(usable.select(key), key, "left_anti")
 
 
