@@ -31,28 +31,34 @@ def latest_per_key(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
 
 
 def global_running(df: DataFrame, order: list[Column], sums: dict[str, Column] | None = None,
-                   row_number: str | None = None, partitions: int | None = None) -> DataFrame:
-    """Row number and running sums over the whole table in the given total order.
+                   row_number: str | None = None, maxes: dict[str, Column] | None = None,
+                   partitions: int | None = None) -> DataFrame:
+    """Row number, running sums and running maxima over the whole table in the given total order.
 
-    Rows are range-partitioned and pinned, each range is summed on its own, and the range totals
-    (one row per range) give the offsets. Pass narrow rows: they are written once.
+    Rows are range-partitioned and pinned, each range is worked on its own, and the range totals
+    (one row per range) are carried over. Pass narrow rows: they are written once.
     """
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    work = dict(sums or {})
+    work = {name: (c, F.sum) for name, c in (sums or {}).items()}
+    work.update({name: (c, F.max) for name, c in (maxes or {}).items()})
     if row_number:
-        work[row_number] = F.lit(1).cast("bigint")
-    cells = df.select("*", *[c.alias(f"_in_{name}") for name, c in work.items()])
+        work[row_number] = (F.lit(1).cast("bigint"), F.sum)
+    cells = df.select("*", *[c.alias(f"_in_{name}") for name, (c, _) in work.items()])
     ranged = pin(cells.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()))
-    totals = ranged.groupBy("_range").agg(*[F.sum(f"_in_{name}").alias(f"_sum_{name}") for name in work])
+    totals = ranged.groupBy("_range").agg(*[fn(f"_in_{name}").alias(f"_all_{name}") for name, (_, fn) in work.items()])
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        "_range", *[F.coalesce(F.sum(f"_sum_{name}").over(before), F.lit(0)).alias(f"_off_{name}") for name in work])
+    offsets = totals.select("_range", *[fn(f"_all_{name}").over(before).alias(f"_off_{name}")
+                                        for name, (_, fn) in work.items()])
     inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     # One row per range, so the size of the broadcast is the number of partitions.
     joined = ranged.join(F.broadcast(offsets), "_range")
-    out = joined.select(
-        "*", *[(F.sum(f"_in_{name}").over(inside) + F.col(f"_off_{name}")).alias(name) for name in work])
+
+    def carried(name: str, fn) -> Column:
+        local, off = fn(f"_in_{name}").over(inside), F.col(f"_off_{name}")
+        return local + F.coalesce(off, F.lit(0)) if fn is F.sum else F.greatest(local, off)
+
+    out = joined.select("*", *[carried(name, fn).alias(name) for name, (_, fn) in work.items()])
     return out.drop("_range", *[f"_in_{name}" for name in work], *[f"_off_{name}" for name in work])
 
 

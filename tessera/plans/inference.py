@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions import language, text
 from tessera.inference import models, runner
 from tessera.operators import documents, retrieval
+from tessera.operators.relational import replicate_rows
 from tessera.plans import sqltext
 from tessera.plans.registry import query
 from tessera.sources.readers import heavy_table, load_table
@@ -112,6 +113,18 @@ def q_sentiment(spark, sf):
     return docs(spark, sf).select("doc_id", language.sentiment(F.col("text"), LEXICON).alias("s")).select("doc_id", "s.*")
 
 
+@query("sentiment_x30", """
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS w FROM documents)
+SELECT copy_no, count(*) AS docs, CAST(max(tokens) AS BIGINT) AS tokens FROM (SELECT count(*) AS tokens FROM t),
+  (SELECT CAST(range AS INTEGER) AS copy_no FROM range(30)), documents GROUP BY copy_no""")
+def q_sentiment_x30(spark, sf):
+    """The load test of the sentiment run: every document thirty times, each copy scored."""
+    copies = replicate_rows(docs(spark, sf), 30)
+    read = copies.select("copy_no", language.sentiment(F.col("text"), LEXICON).alias("s"),
+                         F.size(text.tokenize_words(F.col("text"))).alias("n"))
+    return read.groupBy("copy_no").agg(F.count("s.compound").alias("docs"), F.sum("n").alias("tokens"))
+
+
 @query("judge_rule", """
 WITH t AS (SELECT conv_id, turn, string_split(text, chr(10)) AS l, text FROM conversations)
 SELECT conv_id, turn, CASE WHEN len(list_distinct(list_filter(l, lambda s: s <> ''))) = len(list_filter(l, lambda s: s <> ''))

@@ -71,3 +71,14 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def fit_local(spark: SparkSession) -> None:
+    """On a local master, no more shuffle partitions than twice the cores; a cluster keeps its setting.
+
+    Every partition of a stateful stream opens a state store, which costs more than the work on one machine.
+    """
+    cores = spark.sparkContext.defaultParallelism
+    name = "spark.sql.shuffle.partitions"
+    if spark.sparkContext.master.startswith("local") and int(spark.conf.get(name)) > 2 * cores:
+        spark.conf.set(name, str(cores))
