@@ -21,13 +21,16 @@ def normalize_field(text: Column) -> Column:
 
 def parse_us_date(text: Column) -> Column:
     """Month, day and year at the start of a text; no calendar check. Null if there is no date."""
-    part = lambda i: F.regexp_extract(
-        strip_ws(text), r"^([0-9]{1,2})[/\-.]([0-9]{1,2})[/\-.]([0-9]{2,4})", i)
-    year = part(3).try_cast("int")
-    century = F.when(year < 50, F.lit(2000)).when(year < 100, F.lit(1900)).otherwise(F.lit(0))
-    date = F.struct(part(1).try_cast("int").alias("month"), part(2).try_cast("int").alias("day"),
-                    (year + century).alias("year"))
-    return F.when(year.isNotNull(), date)
+    shown = F.regexp_extract(strip_ws(text), r"^([0-9]{1,2}[/\-.][0-9]{1,2}[/\-.][0-9]{2,4})", 1)
+
+    def date(parts: Column) -> Column:
+        number = lambda i: F.get(parts, F.lit(i)).try_cast("int")
+        year = number(2)
+        century = F.when(year < 50, F.lit(2000)).when(year < 100, F.lit(1900)).otherwise(F.lit(0))
+        return F.when(year.isNotNull(), F.struct(
+            number(0).alias("month"), number(1).alias("day"), (year + century).alias("year")))
+
+    return let(F.split(F.translate(shown, "/.", "--"), "-"), date)
 
 
 def score_null(extracted: Column) -> Column:

@@ -205,20 +205,29 @@ def ratio(top: Column, bottom: Column) -> Column:
 
 def micro_macro_prf(scores: DataFrame) -> DataFrame:
     """Pooled and document-averaged precision, recall and F1 from (tp, fp, fn, precision, recall, f1)."""
-    sums = scores.agg(
-        *[F.sum(c).alias(c) for c in ("tp", "fp", "fn")],
-        *[F.avg(c).alias(f"macro_{c}") for c in ("precision", "recall", "f1")])
+    return with_micro(scores.agg(*prf_sums()))
+
+
+def prf_sums() -> list[Column]:
+    return [*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")],
+            *[F.avg(c).alias(f"macro_{c}") for c in ("precision", "recall", "f1")]]
+
+
+def with_micro(sums: DataFrame) -> DataFrame:
     micro = sums.withColumn("micro_precision", ratio(F.col("tp"), F.col("tp") + F.col("fp"))).withColumn(
         "micro_recall", ratio(F.col("tp"), F.col("tp") + F.col("fn")))
     p, r = F.col("micro_precision"), F.col("micro_recall")
     return micro.withColumn("micro_f1", ratio(2 * p * r, p + r))
 
 
+def parse_sums() -> list[Column]:
+    return [F.count_if("parse_ok").alias("ok"), F.count(F.lit(1)).alias("total"),
+            F.count_if(~F.col("parse_ok")).alias("errors"), F.sum("num_entities").alias("detected"),
+            F.sum("gt_count").alias("truth")]
+
+
 def parse_success(results: DataFrame) -> DataFrame:
-    return results.agg(
-        F.count_if("parse_ok").alias("ok"), F.count(F.lit(1)).alias("total"),
-        F.count_if(~F.col("parse_ok")).alias("errors"), F.sum("num_entities").alias("detected"),
-        F.sum("gt_count").alias("truth"))
+    return results.agg(*parse_sums())
 
 
 def batch_profile(df: DataFrame, order: list[Column], size: int, tokens: Column, seconds: Column,

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.chunks import recursive_split, word_windows
+from tessera.functions.core import rows_of
 from tessera.functions.markup import drop_hidden, section_pieces, sections_of, visible_text
 from tessera.functions.text import content_id
 
@@ -19,7 +20,7 @@ STATUS_DDL = "doc_parsed_contents map<string,string>, parser_status string"
 def html_header_sections(df: DataFrame, id_col: str, html: str, levels: tuple[str, ...] = ("h2", "h3", "h4")) -> DataFrame:
     # The pieces are a column of their own, so the markup is read once per row.
     pieces = df.select(id_col, section_pieces(F.col(html), levels).alias("_pieces"))
-    return pieces.select(id_col, F.explode(sections_of(F.col("_pieces"), levels)).alias("_s")).select(id_col, "_s.*")
+    return rows_of(pieces, [id_col], sections_of(F.col("_pieces"), levels), "_s").select(id_col, "_s.*")
 
 
 def document_to_text(df: DataFrame, content: str, parser: Callable[[], Callable[[bytes], list[str]]] | None = None,
@@ -78,16 +79,16 @@ def recursive_chunk(df: DataFrame, id_col: str, text: str, size: int, overlap: i
                     counter: Callable[[], Callable[[str], int]] | None = None) -> DataFrame:
     chunked = with_recursive_chunks(df.select(id_col, text), text, size, overlap, counter)
     good = chunked.where(F.col("chunked.chunker_status") == "SUCCESS")
-    return good.select(id_col, F.posexplode("chunked.chunked_text").alias("chunk_no", "chunk"))
+    return rows_of(good, [id_col], F.col("chunked.chunked_text"), "chunk", "chunk_no")
 
 
 def window_chunk(df: DataFrame, id_col: str, text: str, size: int, overlap: int) -> DataFrame:
-    return df.select(id_col, F.posexplode(word_windows(F.col(text), size, overlap)).alias("chunk_no", "chunk"))
+    return rows_of(df, [id_col], word_windows(F.col(text), size, overlap), "chunk", "chunk_no")
 
 
 def chunk_rows(df: DataFrame, id_col: str, chunks: str) -> DataFrame:
     """One row per chunk. Equal texts share the md5 id; (id, chunk_no) is the unique key."""
-    rows = df.select(id_col, F.posexplode(chunks).alias("chunk_no", "chunk"))
+    rows = rows_of(df, [id_col], F.col(chunks), "chunk", "chunk_no")
     return rows.withColumn("chunk_id", content_id(F.col("chunk")))
 
 

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import pii
+from tessera.functions.core import rows_of
 from tessera.functions.responses import is_json
-from tessera.operators.aggregates import micro_macro_prf, parse_success
+from tessera.operators.aggregates import parse_sums, prf_sums, with_micro
 
 OUTPUT_DDL = ("has_pii boolean, entities array<struct<entity_type string, original_value string, salt_id string>>")
 
@@ -62,15 +63,13 @@ def pii_doc_scores(df: DataFrame, predicted: str, truth: str) -> DataFrame:
 
 
 def pii_report(doc_scores: DataFrame) -> DataFrame:
-    """One row: pooled and averaged scores, parse counts and entity sums.
+    """One row: pooled and averaged scores, parse counts and entity sums, in one pass.
 
-    Needs (tp, fp, fn, precision, recall, f1, parse_ok, num_entities, gt_count); one pass each, both
-    pre-aggregated in the tasks.
+    Needs (tp, fp, fn, precision, recall, f1, parse_ok, num_entities, gt_count).
     """
-    counts = parse_success(doc_scores).select(F.struct("*")).scalar()
-    return micro_macro_prf(doc_scores).withColumn("_c", counts).select("*", "_c.*").drop("_c")
+    return with_micro(doc_scores.agg(*prf_sums(), *parse_sums()))
 
 
 def counts_by_type(results: DataFrame, entities: str = "entities") -> DataFrame:
-    return results.select(F.explode(f"{entities}.entity_type").alias("entity_type")).groupBy("entity_type").agg(
-        F.count(F.lit(1)).alias("n"))
+    kinds = rows_of(results, [], F.col(f"{entities}.entity_type"), "entity_type")
+    return kinds.groupBy("entity_type").agg(F.count(F.lit(1)).alias("n"))

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.core import rows_of
 from tessera.functions.text import tokenize_words
 from tessera.functions.vectors import SCORE_DIGITS, BestMatches, cosine_to, matrix, norm, push_tiles, unit_rows
 from tessera.inference.models import HashedEmbedder, ModelFactory
@@ -218,7 +219,7 @@ def ann_topk(queries: DataFrame, corpus: DataFrame, k: int, bits: int = 4, table
     """
     q, c = _sides(queries, corpus, query_id, id_col, vector)
     sign = sign_buckets(_dim(c, "vector"), bits, tables, seed)
-    spread = lambda df: df.select("*", F.posexplode(sign("vector")).alias("_table", "_bucket"))
+    spread = lambda df: rows_of(df, ["*"], sign("vector"), "_bucket", "_table")
     left, right = spread(q), spread(c)
     parts = F.ceil(F.col("_rows") / block_rows).cast("int")
     sizes = right.groupBy("_table", "_bucket").agg(F.count(F.lit(1)).alias("_rows")).withColumn("_parts", parts)

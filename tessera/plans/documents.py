@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions.chunks import word_windows
+from tessera.functions.core import rows_of
 from tessera.functions.markup import BLOCK_TAGS, DROPPED, ENTITIES
 from tessera.operators import documents, ranking, retrieval
 from tessera.plans import sqltext
@@ -40,14 +41,14 @@ SELECT page_id, CAST(i AS INTEGER) AS sec_no,
        md5(CASE WHEN i = 0 THEN {visible_sql("p[1]")} ELSE {visible_sql("string_split(p[i + 1], chr(2))[2]")} END) AS digest
 FROM e""")
 def q_html_sections(spark, sf):
-    out = documents.html_header_sections(load_table(spark, sf, "pages"), "page_id", "html", ("h1",))
+    out = documents.html_header_sections(heavy_table(spark, sf, "pages"), "page_id", "html", ("h1",))
     return out.select("page_id", "sec_no", "header_1", F.md5("content").alias("digest"))
 
 
 @query("document_to_text", f"""
 SELECT page_id, 'SUCCESS' AS status, '1' AS num_pages, md5({visible_sql(hidden_sql('html'))}) AS digest FROM pages""")
 def q_document_to_text(spark, sf):
-    raw = load_table(spark, sf, "pages").select("page_id", F.col("html").cast("binary").alias("content"))
+    raw = heavy_table(spark, sf, "pages").select("page_id", F.col("html").cast("binary").alias("content"))
     out = documents.document_to_text(raw, "content")
     contents = F.col("parsing.doc_parsed_contents")
     return out.select("page_id", F.col("parsing.parser_status").alias("status"),
@@ -56,7 +57,7 @@ def q_document_to_text(spark, sf):
 
 @query("recursive_chunk")
 def q_recursive_chunk(spark, sf):
-    docs = load_table(spark, sf, "documents")
+    docs = heavy_table(spark, sf, "documents")
     out = documents.recursive_chunk(docs, "doc_id", "text", 500, 50)
     return out.select("doc_id", "chunk_no", F.char_length("chunk").alias("chars"), F.md5("chunk").alias("chunk_id"))
 
@@ -65,7 +66,7 @@ def q_recursive_chunk(spark, sf):
 WITH {sqltext.chunks('c', 'documents', 'doc_id', 'text', 50, 10)}
 SELECT key AS doc_id, chunk_no, md5(chunk) AS digest FROM c""")
 def q_window_chunk(spark, sf):
-    out = documents.window_chunk(load_table(spark, sf, "documents"), "doc_id", "text", 50, 10)
+    out = documents.window_chunk(heavy_table(spark, sf, "documents"), "doc_id", "text", 50, 10)
     return out.select("doc_id", "chunk_no", F.md5("chunk").alias("digest"))
 
 
@@ -73,7 +74,7 @@ def q_window_chunk(spark, sf):
 WITH {sqltext.chunks('c', 'documents', 'doc_id', 'text', 200, 0)}
 SELECT key AS doc_id, chunk_no, md5(chunk) AS chunk_id, length(chunk) AS chars FROM c""")
 def q_chunk_rows(spark, sf):
-    docs = load_table(spark, sf, "documents").select("doc_id", word_windows(F.col("text"), 200, 0).alias("chunks"))
+    docs = heavy_table(spark, sf, "documents").select("doc_id", word_windows(F.col("text"), 200, 0).alias("chunks"))
     out = documents.chunk_rows(docs, "doc_id", "chunks")
     return out.select("doc_id", "chunk_no", "chunk_id", F.char_length("chunk").cast("bigint").alias("chars"))
 
@@ -91,8 +92,7 @@ WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_
 SELECT doc_id, CAST(pos AS INTEGER) AS pos, last_value(header IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos) AS section
 FROM h""")
 def q_section_carry(spark, sf):
-    lines = load_table(spark, sf, "documents").select(
-        "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    lines = rows_of(heavy_table(spark, sf, "documents"), ["doc_id"], F.split("text", "\n"), "line", "pos")
     marked = lines.select("doc_id", "pos", F.when(F.char_length("line") < 80, F.md5("line")).alias("header"))
     return ranking.section_carry_forward(marked, "doc_id", "pos", "header", block=50).select("doc_id", "pos", "section")
 

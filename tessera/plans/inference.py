@@ -113,16 +113,16 @@ def q_sentiment(spark, sf):
     return docs(spark, sf).select("doc_id", language.sentiment(F.col("text"), LEXICON).alias("s")).select("doc_id", "s.*")
 
 
-@query("sentiment_x30", """
-WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS w FROM documents)
-SELECT copy_no, count(*) AS docs, CAST(max(tokens) AS BIGINT) AS tokens FROM (SELECT count(*) AS tokens FROM t),
-  (SELECT CAST(range AS INTEGER) AS copy_no FROM range(30)), documents GROUP BY copy_no""")
+@query("sentiment_x30", f"""
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), {sqltext.WORDS})) AS w FROM documents),
+ s AS (SELECT doc_id, sum(coalesce(v, 0)) AS s FROM t LEFT JOIN (VALUES {LEXICON_SQL}) l(w, v) USING (w) GROUP BY 1)
+SELECT copy_no, count(*) AS docs, round(sum(round(s / sqrt(s * s + 15), 4)), 4) AS compound
+FROM s, (SELECT CAST(range AS INTEGER) AS copy_no FROM range(30)) GROUP BY copy_no""")
 def q_sentiment_x30(spark, sf):
     """The load test of the sentiment run: every document thirty times, each copy scored."""
     copies = replicate_rows(docs(spark, sf), 30)
-    read = copies.select("copy_no", language.sentiment(F.col("text"), LEXICON).alias("s"),
-                         F.size(text.tokenize_words(F.col("text"))).alias("n"))
-    return read.groupBy("copy_no").agg(F.count("s.compound").alias("docs"), F.sum("n").alias("tokens"))
+    read = copies.select("copy_no", language.sentiment(F.col("text"), LEXICON).alias("s"))
+    return read.groupBy("copy_no").agg(F.count("s.compound").alias("docs"), F.round(F.sum("s.compound"), 4).alias("compound"))
 
 
 @query("judge_rule", """

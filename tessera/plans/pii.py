@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import pii
+from tessera.functions.core import rows_of
 from tessera.operators import pii as ops
 from tessera.plans import sqltext
 from tessera.plans.registry import query
@@ -123,7 +124,8 @@ def q_salt(spark, sf):
 
 @query("entity_numbering", f"""WITH {SALT_SQL} SELECT doc_id, entity_type, original_value, salt_id FROM ents""")
 def q_numbering(spark, sf):
-    rows = ops.pii_detect(docs(spark, sf), "text").select("doc_id", F.inline("entities"))
+    rows = ops.pii_detect(docs(spark, sf), "text")
+    rows = rows_of(rows, ["doc_id"], F.col("entities"), "e").select("doc_id", "e.*")
     return ops.entity_numbering(rows, "doc_id", "entity_type", "original_value", "pos").select(
         "doc_id", "entity_type", "original_value", "salt_id")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions import responses, scoring, text
 from tessera.plans.registry import query
 from tessera.plans.sqltext import strip as strip_sql
-from tessera.sources.readers import load_table
+from tessera.sources.readers import heavy_table, load_table
 
 @query("file_name", "SELECT page_id, regexp_extract(url, '([^/]+)$', 1) AS name FROM pages")
 def q_file_name(spark, sf):
@@ -19,7 +19,7 @@ SELECT doc_id, left({strip_sql("' ' || source")}, 512) AS title, md5(t) AS diges
 FROM (SELECT doc_id, source, left(trim(' ' || source || ' -- ' || text, ' -'), 2048) AS t FROM documents)""")
 def q_title_text(spark, sf):
     short, joined = text.title_text(F.concat(F.lit(" "), F.col("source")), F.col("text"))
-    return load_table(spark, sf, "documents").select(
+    return heavy_table(spark, sf, "documents").select(
         "doc_id", short.alias("title"), F.md5(joined).alias("digest"),
         F.char_length(joined).cast("bigint").alias("chars"))
 
@@ -30,13 +30,13 @@ FROM documents""")
 def q_compose_prompt(spark, sf):
     prompt = text.compose_prompt("Source: {source}\nLanguage: {lang}\nText: {body}", source=F.col("source"),
                                  lang=F.col("lang"), body=F.col("text"))
-    return load_table(spark, sf, "documents").select("doc_id", F.md5(prompt).alias("digest"))
+    return heavy_table(spark, sf, "documents").select("doc_id", F.md5(prompt).alias("digest"))
 
 
 @query("truncate_for_model", """
 SELECT doc_id, md5(left(text, 8000)) AS model_input, left(text, 200) AS echo FROM documents""")
 def q_truncate(spark, sf):
-    return load_table(spark, sf, "documents").select(
+    return heavy_table(spark, sf, "documents").select(
         "doc_id", F.md5(text.truncate(F.col("text"), 8000)).alias("model_input"),
         text.truncate(F.col("text"), 200).alias("echo"))
 
@@ -45,7 +45,7 @@ def q_truncate(spark, sf):
 SELECT doc_id, CAST(greatest(1, length(text) // 4) AS INTEGER) AS by_chars,
        CAST(len(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS INTEGER) AS by_words FROM documents""")
 def q_token_estimate(spark, sf):
-    return load_table(spark, sf, "documents").select(
+    return heavy_table(spark, sf, "documents").select(
         "doc_id", text.token_estimate(F.col("text")).alias("by_chars"),
         text.token_estimate(F.col("text"), "words").alias("by_words"))
 
@@ -54,7 +54,7 @@ def q_token_estimate(spark, sf):
 def q_elements(spark, sf):
     lines = F.transform(F.split("text", "\n"), lambda s: F.struct(s.alias("content"), F.lit("text").alias("type")))
     tree = F.to_json(F.struct(F.struct(lines.alias("elements")).alias("document")))
-    return load_table(spark, sf, "documents").select("doc_id", tree.alias("parsed")).select(
+    return heavy_table(spark, sf, "documents").select("doc_id", tree.alias("parsed")).select(
         "doc_id", F.md5(responses.elements_to_text(F.col("parsed"))).alias("digest"))
 
 
@@ -63,7 +63,7 @@ SELECT event_id, event_type AS kind, json_extract_string(props, '$.k') AS k FROM
 def q_clean_json(spark, sf):
     fenced = F.concat(F.lit("```json\n{\"kind\": \""), F.col("event_type"), F.lit("\", \"props\": "), F.col("props"),
                       F.lit("}\n```"))
-    events = load_table(spark, sf, "events").select("event_id", responses.clean_model_json(fenced).alias("answer"))
+    events = heavy_table(spark, sf, "events").select("event_id", responses.clean_model_json(fenced).alias("answer"))
     return events.select("event_id", F.get_json_object("answer", "$.kind").alias("kind"),
                          F.get_json_object("answer", "$.props.k").alias("k"))
 
@@ -84,7 +84,7 @@ def answers(spark, sf):
               .when(kind == "view", F.concat(head, F.lit(', "score": "high", "note": 1}')))
               .when(kind == "signup", F.concat(head, F.lit("}")))
               .otherwise(F.concat(head, F.lit(', "score": '), F.get_json_object("props", "$.k"), F.lit("}"))))
-    return load_table(spark, sf, "events").select("event_id", answer.alias("answer"))
+    return heavy_table(spark, sf, "events").select("event_id", answer.alias("answer"))
 
 
 @query("parse_response", f"""
@@ -126,7 +126,7 @@ def q_coerce(spark, sf):
                .when(kind == "click", F.concat(F.lit("["), props, F.lit(", "), props, F.lit("]")))
                .when(kind == "signup", F.lit("no json")).otherwise(F.lit("12")))
     items = responses.as_list(outputs, "struct<k bigint>")
-    return load_table(spark, sf, "events").select("event_id", items.alias("items")).select(
+    return heavy_table(spark, sf, "events").select("event_id", items.alias("items")).select(
         "event_id", F.size("items").alias("items"), F.get("items", F.lit(0))["k"].alias("first_k"))
 
 
@@ -143,7 +143,7 @@ def q_paper_id(spark, sf):
 @query("normalize_value", f"""
 SELECT doc_id, md5(replace(replace({strip_sql('lower(text)')}, '-', ''), ' ', '')) AS digest FROM documents""")
 def q_normalize_value(spark, sf):
-    return load_table(spark, sf, "documents").select(
+    return heavy_table(spark, sf, "documents").select(
         "doc_id", F.md5(scoring.normalize_value(F.col("text"))).alias("digest"))
 
 
@@ -152,7 +152,7 @@ SELECT doc_id, md5(replace(replace(replace({strip_sql("lower('  Commercial ' ||
        '''', ''), '  ', ' ')) AS digest FROM documents""")
 def q_normalize_field(spark, sf):
     padded = F.concat(F.lit("  Commercial "), F.col("text"), F.lit("\n"))
-    return load_table(spark, sf, "documents").select(
+    return heavy_table(spark, sf, "documents").select(
         "doc_id", F.md5(scoring.normalize_field(padded)).alias("digest"))
 
 
@@ -160,7 +160,7 @@ def q_normalize_field(spark, sf):
 SELECT doc_id, md5({strip_sql("chr(10) || chr(9) || text || chr(160) || chr(13)")}) AS digest FROM documents""")
 def q_strip(spark, sf):
     padded = F.concat(F.lit("\n\t"), F.col("text"), F.lit("\xa0\r"))
-    return load_table(spark, sf, "documents").select("doc_id", F.md5(text.strip_ws(padded)).alias("digest"))
+    return heavy_table(spark, sf, "documents").select("doc_id", F.md5(text.strip_ws(padded)).alias("digest"))
 
 
 DATE_SQL = """SELECT o_orderkey, o_orderdate, CASE o_orderkey % 5
@@ -175,7 +175,7 @@ def dated(spark, sf):
     form = F.col("o_orderkey") % 5
     shown = (F.when(form == 1, fmt(" MM-dd-yy")).when(form == 2, F.concat(fmt("MM.dd.yyyy"), F.lit(" at noon")))
              .when(form == 3, fmt("yyyy-MM-dd")).otherwise(fmt("MM/dd/yyyy")))
-    return load_table(spark, sf, "orders").select("o_orderkey", "o_orderdate", shown.alias("shown"))
+    return heavy_table(spark, sf, "orders").select("o_orderkey", "o_orderdate", shown.alias("shown"))
 
 
 @query("parse_us_date", f"""
@@ -190,20 +190,20 @@ def q_parse_us_date(spark, sf):
 @query("elapsed_seconds", """
 SELECT event_id, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 1000000.0 AS seconds FROM events""")
 def q_elapsed(spark, sf):
-    return load_table(spark, sf, "events").select(
+    return heavy_table(spark, sf, "events").select(
         "event_id", text.elapsed_seconds(F.lit("2024-01-01 00:00:00"), F.col("ts")).alias("seconds"))
 
 
 @query("content_hash_id", "SELECT doc_id, md5(text) AS chunk_id FROM documents")
 def q_content_id(spark, sf):
-    return load_table(spark, sf, "documents").select("doc_id", text.content_id(F.col("text")).alias("chunk_id"))
+    return heavy_table(spark, sf, "documents").select("doc_id", text.content_id(F.col("text")).alias("chunk_id"))
 
 
 @query("tokenize_words", r"""
 SELECT doc_id, CAST(len(t) AS INTEGER) AS words, md5(array_to_string(t, ' ')) AS digest
 FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS t FROM documents)""")
 def q_tokenize(spark, sf):
-    return load_table(spark, sf, "documents").select("doc_id", text.tokenize_words(F.col("text")).alias("t")).select(
+    return heavy_table(spark, sf, "documents").select("doc_id", text.tokenize_words(F.col("text")).alias("t")).select(
         "doc_id", F.size("t").alias("words"), F.md5(F.array_join("t", " ")).alias("digest"))
 
 
@@ -212,7 +212,7 @@ SELECT doc_id, source || CASE WHEN source <> 'v' || lang THEN ',v' || lang ELSE
 def q_citations(spark, sf):
     answer = F.concat(F.lit("See [arxiv:"), F.col("source"), F.lit("] and [ArXiv:v"), F.col("lang"), F.lit("] and [arxiv:"),
                       F.col("source"), F.lit("]. "), F.col("text"))
-    return load_table(spark, sf, "documents").select(
+    return heavy_table(spark, sf, "documents").select(
         "doc_id", F.array_join(text.extract_citations(answer), ",").alias("cited"))
 
 
@@ -246,7 +246,7 @@ def q_score_null(spark, sf):
     kind = F.col("event_type")
     found = (F.when(kind == "view", F.lit("null")).when(kind == "click", F.lit(""))
              .when(kind == "signup", F.lit(None)).otherwise(F.col("props")))
-    return load_table(spark, sf, "events").select(
+    return heavy_table(spark, sf, "events").select(
         "event_id", scoring.score_text(found, F.lit(None).cast("string")).alias("score"))
 
 

@@ -18,15 +18,16 @@ def q_load_table(spark, sf):
 
 
 @query("load_whole_text", """
-SELECT page_id, length(html) + 1 AS chars, md5(html || chr(10)) AS digest FROM pages""")
+SELECT source, CAST(sum(length(text) + 1) AS BIGINT) AS chars, true AS ids_unique FROM documents GROUP BY source""")
 def q_load_whole_text(spark, sf):
-    path = scratch_path(spark, "pages-text")
-    # One folder and one file per page.
-    load_table(spark, sf, "pages").select("page_id", "html").write.partitionBy("page_id").text(path)
+    path = scratch_path(spark, "documents-text")
+    # Many texts per file; the row limit bounds what one file, and so one row of the result, can hold.
+    load_table(spark, sf, "documents").select("source", "text").write.option("maxRecordsPerFile", 10_000).partitionBy(
+        "source").text(path)
     files = load_whole_text(spark, path, "*.txt")
-    page = F.regexp_extract("file_name", r"page_id=(\d+)", 1).cast("bigint")
-    return files.select(page.alias("page_id"), F.char_length("value").cast("bigint").alias("chars"),
-                        F.md5("value").alias("digest"))
+    return files.select("unique_id", F.regexp_extract("file_name", r"source=([^/]+)", 1).alias("source"),
+                        F.char_length("value").alias("chars")).groupBy("source").agg(
+        F.sum("chars").alias("chars"), (F.count_distinct("unique_id") == F.count(F.lit(1))).alias("ids_unique"))
 
 
 @query("load_binary")
