@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.ranking import global_running
+from tessera.operators.relational import broadcast_if_small
+from tessera.session import pin
 
 PERCENTILE_ACCURACY = 10_000
 
@@ -56,7 +58,8 @@ def exact_percentiles(df: DataFrame, keys: list[str], columns: list[str], ps: li
         hi = F.col("_max") if p + spread >= 1 else F.when(small, F.col("_max")).otherwise(F.col("_edges")[len(ps) + i])
         bands.append(F.struct(F.lit(p).alias("p"), lo.alias("lo"), hi.alias("hi"), low.alias("low"),
                               high.alias("high"), weight.cast("double").alias("weight")))
-    wanted = stats.select(*by, F.array(*bands).alias("_bands"))
+    # One row per group: if there are few groups the rows are sifted where they are, without a shuffle.
+    wanted = broadcast_if_small(pin(stats.select(*by, F.array(*bands).alias("_bands"))))
     banded = cells.join(wanted, by).withColumn("_band", F.explode("_bands"))
     band = F.struct(*[F.col(f"_band.{f}").alias(f) for f in ("p", "low", "high", "weight")]).alias("_at")
     # Everything below the band collapses to one counter per group; rows above it are left out.
@@ -180,14 +183,14 @@ def typed_agg(long: DataFrame, by: list[str] | None = None, digits: int = 4) ->
     by = [*(by or []), "name"]
     number = F.coalesce(F.col("bool_value").cast("double"), F.col("num_value"),
                         F.expr("try_cast(str_value as double)"))
-    # Counts by value first, so a frequent value is one row per task before the shuffle.
-    means = long.groupBy(*by).agg(F.avg(number).alias("_mean"))
-    texts = long.where(F.col("str_value").isNotNull()).groupBy(*by, "str_value").agg(F.count(F.lit(1)).alias("_n"))
-    modes = texts.groupBy(*by).agg(F.max("_n").alias("_top")).join(texts, by).where(F.col("_n") == F.col("_top"))
-    modes = modes.groupBy(*by).agg(F.min("str_value").alias("_mode"))
+    # By value first: a frequent value is one row per task before the shuffle.
+    values = long.groupBy(*by, "str_value").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum(number).alias("_sum"), F.count(number).alias("_numbers"))
+    commonest = F.min(F.when(F.col("str_value").isNotNull(), F.struct((-F.col("_n")).alias("n"), "str_value")))
+    found = values.groupBy(*by).agg(F.try_divide(F.sum("_sum"), F.sum("_numbers")).alias("_mean"), commonest.alias("_mode"))
     rounded = F.format_string(f"%.{digits}f", F.round("_mean", digits))
-    value = F.when(F.col("_mean").isNotNull(), rounded).otherwise(F.col("_mode"))
-    return means.join(modes, by, "left").select(*by, value.alias("value")).where(F.col("value").isNotNull())
+    value = F.when(F.col("_mean").isNotNull(), rounded).otherwise(F.col("_mode.str_value"))
+    return found.select(*by, value.alias("value")).where(F.col("value").isNotNull())
 
 
 def version_compare(aggregates: DataFrame, versions: list[str], digits: int = 4) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.ranking import topk_per_group
+
 
 def register_version(versions: DataFrame, new: DataFrame) -> DataFrame:
     """Rows to append for ``new`` (prompt_name, prompt_text, ...): the next version number of each name."""
@@ -21,18 +23,15 @@ def alias_change(spark, prompt_name: str, alias: str, version: int, at: Column,
 
 
 def current_aliases(alias_log: DataFrame) -> DataFrame:
-    """Version each alias points to now: the last entry by (ts, seq)."""
-    newest = F.max_by("version", F.struct("ts", "seq"))
-    return alias_log.groupBy("prompt_name", "alias").agg(newest.alias("version"))
-
+    """(prompt_name, alias, version, rollback_version): the last entry of each alias by (ts, seq), and the one before.
 
-def previous_aliases(alias_log: DataFrame) -> DataFrame:
-    """Version each alias pointed to before its last change: where a roll-back leads. Null if there is none."""
+    ``rollback_version`` is where a roll-back leads; null if the alias never moved. Only two log rows
+    per alias and task are shuffled.
+    """
     keys = ["prompt_name", "alias"]
-    last = alias_log.groupBy(*keys).agg(F.max(F.struct("ts", "seq")).alias("_last"))
-    older = alias_log.join(last, keys).where(F.struct("ts", "seq") < F.col("_last"))
-    before = older.groupBy(*keys).agg(F.max_by("version", F.struct("ts", "seq")).alias("version"))
-    return last.select(*keys).join(before, keys, "left")
+    newest = topk_per_group(alias_log, keys, [F.col("ts").desc(), F.col("seq").desc()], 2, "_n")
+    at = lambda n: F.max(F.when(F.col("_n") == n, F.col("version")))
+    return newest.groupBy(*keys).agg(at(1).alias("version"), at(2).alias("rollback_version"))
 
 
 def current_prompts(versions: DataFrame, alias_log: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from tessera.functions.responses import is_json
 
 # A side is broadcast by hint only if it was counted and stays below this many rows.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 100_000
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:

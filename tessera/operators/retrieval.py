@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -276,16 +277,15 @@ def keyword_scores(corpus: DataFrame, text: str, keep: list[str | Column], colum
         "_tokens", lambda t: t.isin(terms) if terms else F.lit(False)).alias("_hits"))
     counts = F.when(F.size("_hits") > 0, F.array(*[_count("_hits", t) for t in terms]).cast("array<int>"))
     counted = pin(hits.select(*names, "_len", counts.alias("_tf")))
-    stats = counted.agg(F.struct(
-        F.count(F.lit(1)).cast("double").alias("n"), F.avg("_len").alias("avg_len"),
-        *[F.count_if(F.col("_tf")[i] > 0).cast("double").alias(f"df_{i}") for i in range(len(terms))])).scalar()
-    scored = counted.withColumn("_s", stats)
+    # One row: the number of rows, their mean length and a frequency per query word.
+    stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("_len").alias("avg_len"), *[
+        F.count_if(F.col("_tf")[i] > 0).alias(f"df_{i}") for i in range(len(terms))]).first()
     total = F.lit(0.0)
     for i in range(len(terms)):
-        df, tf = F.col(f"_s.df_{i}"), F.col("_tf")[i]
-        idf = F.log(1 + (F.col("_s.n") - df + 0.5) / (df + 0.5))
-        total = total + idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("_len") / F.col("_s.avg_len")))
-    return scored.select(*names, F.when(F.col("_tf").isNotNull(), F.round(total, SCORE_DIGITS)).alias("score"))
+        df, tf = stats[f"df_{i}"], F.col("_tf")[i]
+        idf = math.log(1 + (stats["n"] - df + 0.5) / (df + 0.5))
+        total = total + idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("_len") / F.lit(stats["avg_len"])))
+    return counted.select(*names, F.when(F.col("_tf").isNotNull(), F.round(total, SCORE_DIGITS)).alias("score"))
 
 
 def keyword_topk(corpus: DataFrame, text: str, k: int = 6, id_col: str = "id", column: str = "text",

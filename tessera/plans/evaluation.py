@@ -293,8 +293,7 @@ SELECT cur.prompt_name, cur.alias, cur.version, v.prompt_text, old.version AS ro
 FROM cur JOIN v USING (prompt_name, version) LEFT JOIN old ON old.prompt_name = cur.prompt_name AND old.alias = cur.alias""")
 def q_prompt_registry(spark, sf):
     log = alias_log(spark, sf)
-    back = registry.previous_aliases(log).withColumnRenamed("version", "rollback_version")
-    return registry.current_prompts(prompt_versions(spark, sf), log).join(back, ["prompt_name", "alias"], "left").select(
+    return registry.current_prompts(prompt_versions(spark, sf), log).select(
         "prompt_name", "alias", "version", "prompt_text", "rollback_version")
 
 
