@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -195,9 +196,17 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "que
 # ---------------------------------------------------------------- approximate search
 
 
+def sign_planes(dim: int, bits: int, tables: int, seed: int = 7) -> np.ndarray:
+    """Directions of plus and minus ones, drawn from a hash of (seed, table, bit, position): dim x (tables * bits)."""
+    def sign(table: int, bit: int, at: int) -> float:
+        return 1.0 if hashlib.md5(f"{seed}-{table}-{bit}-{at}".encode()).hexdigest()[0] < "8" else -1.0
+
+    return np.array([[sign(t, b, d) for t in range(tables) for b in range(bits)] for d in range(dim)])
+
+
 def sign_buckets(dim: int, bits: int, tables: int, seed: int = 7):
-    """Arrow function from a vector to one bucket number per table: the signs against random directions."""
-    planes = np.random.default_rng(seed).standard_normal((dim, tables * bits))
+    """Arrow function from a vector to one bucket number per table: the signs against fixed directions."""
+    planes = sign_planes(dim, bits, tables, seed)
     weights = 1 << np.arange(bits)
 
     @F.arrow_udf("array<int>")

@@ -62,6 +62,24 @@ def q_recursive_chunk(spark, sf):
     return out.select("doc_id", "chunk_no", F.char_length("chunk").alias("chars"), F.md5("chunk").alias("chunk_id"))
 
 
+COVER_SQL = """SELECT doc_id, md5(regexp_replace(text, '[ \\t\\n\\r\\f]+', '', 'g')) AS digest, true AS fits FROM documents"""
+
+
+def cover(chunks):
+    """Per document: its chunks in order without white space, and whether each fits."""
+    packed = chunks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_no", "chunk"))).alias("all"),
+                                          (F.max(F.char_length("chunk")) <= 500).alias("fits"))
+    joined = F.regexp_replace(F.array_join("all.chunk", ""), r"[ \t\n\r\f]+", "")
+    return packed.select("doc_id", F.md5(joined).alias("digest"), "fits")
+
+
+@query("recursive_chunk_cover", COVER_SQL)
+def q_recursive_cover(spark, sf):
+    """Without overlap the chunks hold every character of the text once, in order."""
+    docs = heavy_table(spark, sf, "documents")
+    return cover(documents.recursive_chunk(docs, "doc_id", "text", 500, 0))
+
+
 @query("window_chunk", f"""
 WITH {sqltext.chunks('c', 'documents', 'doc_id', 'text', 50, 10)}
 SELECT key AS doc_id, chunk_no, md5(chunk) AS digest FROM c""")

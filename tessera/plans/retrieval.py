@@ -133,7 +133,18 @@ def q_knn_blocked(spark, sf):
     return retrieval.knn_join_blocked(queries, rows, 10, exclude_self=True, block_rows=1000)
 
 
-@query("ann_topk")
+@query("ann_topk", f"""
+WITH {VECTORS_SQL},
+ pl AS (SELECT t, b, list(CASE WHEN substr(md5('7-' || t || '-' || b || '-' || d), 1, 1) < '8' THEN 1.0::DOUBLE ELSE -1.0 END ORDER BY d) AS p
+        FROM range(8) x(t), range(4) y(b), range(64) z(d) GROUP BY 1, 2),
+ h AS (SELECT id, t, sum(CASE WHEN list_dot_product(v, p) > 0 THEN 1 << b ELSE 0 END) AS code FROM e, pl GROUP BY 1, 2),
+ n AS (SELECT t, code, count(*) AS n FROM h GROUP BY 1, 2),
+ cand AS (SELECT h.id AS query_id, CAST(sum(n) AS BIGINT) AS candidates FROM h JOIN n USING (t, code) GROUP BY 1),
+ pr AS (SELECT DISTINCT a.id AS query_id, b.id FROM h a JOIN h b ON a.t = b.t AND a.code = b.code AND a.id <> b.id)
+SELECT query_id, id, {sqltext.cosine('q.v', 'r.v')} AS score,
+       CAST(row_number() OVER (PARTITION BY query_id ORDER BY {sqltext.cosine('q.v', 'r.v')} DESC, id) AS INTEGER) AS rank, candidates
+FROM (SELECT pr.query_id, pr.id, candidates FROM pr JOIN cand USING (query_id)) JOIN e r USING (id) JOIN (SELECT id AS query_id, v FROM e) q USING (query_id)
+QUALIFY rank <= 10""")
 def q_ann(spark, sf):
     rows = vectors(spark, sf)
     queries = rows.select(F.col("id").alias("query_id"), "embedding")

@@ -17,22 +17,30 @@ def q_load_table(spark, sf):
     return load_table(spark, sf, "embeddings").select("vec_id", "label", F.size("embedding").alias("dim"))
 
 
-@query("load_whole_text", """
-SELECT source, CAST(sum(length(text) + 1) AS BIGINT) AS chars, true AS ids_unique FROM documents GROUP BY source""")
-def q_load_whole_text(spark, sf):
+def text_files(spark, sf):
+    """The documents as text files. The row limit bounds what one file, and so one row of a read, can hold."""
     path = scratch_path(spark, "documents-text")
-    # Many texts per file; the row limit bounds what one file, and so one row of the result, can hold.
     load_table(spark, sf, "documents").select("source", "text").write.option("maxRecordsPerFile", 10_000).partitionBy(
         "source").text(path)
-    files = load_whole_text(spark, path, "*.txt")
+    return path
+
+
+@query("load_whole_text", """
+SELECT source, CAST(sum(length(text) + 1) AS BIGINT) AS chars, true AS ids_unique FROM documents GROUP BY source""")
+def q_load_whole_text(spark, sf):
+    files = load_whole_text(spark, text_files(spark, sf), "*.txt")
     return files.select("unique_id", F.regexp_extract("file_name", r"source=([^/]+)", 1).alias("source"),
                         F.char_length("value").alias("chars")).groupBy("source").agg(
         F.sum("chars").alias("chars"), (F.count_distinct("unique_id") == F.count(F.lit(1))).alias("ids_unique"))
 
 
-@query("load_binary")
+@query("load_binary", """
+SELECT source, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes, true AS whole, true AS named FROM documents GROUP BY source""")
 def q_load_binary(spark, sf):
-    return load_binary(spark, sf, "*.parquet").select("filename", "length", F.md5("content").alias("digest"))
+    files = load_binary(spark, text_files(spark, sf), "*.txt")
+    return files.groupBy(F.regexp_extract("path", r"source=([^/]+)", 1).alias("source")).agg(
+        F.sum("length").alias("bytes"), F.bool_and(F.octet_length("content") == F.col("length")).alias("whole"),
+        F.bool_and(F.col("filename").endswith(".txt")).alias("named"))
 
 
 @query("load_csv", """

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tessera.functions.sqlnames import register_functions, register_model
 from tessera.inference.models import Checksum
+from tessera.plans.documents import COVER_SQL, cover
 from tessera.plans.registry import query
 from tessera.sources.readers import heavy_table, load_table
 
@@ -37,9 +38,8 @@ def q_sql_embed(spark, sf):
     return spark.sql("SELECT doc_id, size(hashed_embed(text)) AS dim FROM {docs}", docs=heavy_table(spark, sf, "documents"))
 
 
-@query("sql_chunks")
+@query("sql_chunks", COVER_SQL)
 def q_sql_chunks(spark, sf):
     register_functions(spark)
-    return spark.sql("""
-        SELECT doc_id, chunk_no, md5(chunk) AS chunk_id FROM {docs}, LATERAL split_text(text, 500, 50)""",
-                     docs=heavy_table(spark, sf, "documents"))
+    return cover(spark.sql("SELECT doc_id, chunk_no, chunk FROM {docs}, LATERAL split_text(text, 500, 0)",
+                           docs=heavy_table(spark, sf, "documents")))
