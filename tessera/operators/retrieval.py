@@ -16,7 +16,7 @@ from tessera.functions.text import tokenize_words
 from tessera.functions.vectors import SCORE_DIGITS, BestMatches, cosine_to, matrix, norm, push_tiles, unit_rows
 from tessera.inference.models import HashedEmbedder, ModelFactory
 from tessera.inference.runner import ai_query
-from tessera.operators.ranking import global_running, topk_per_group
+from tessera.operators.ranking import topk_per_group
 from tessera.session import pin
 
 # A side this small is sent to every task; its size is counted first. 64 MB as doubles.
@@ -309,13 +309,57 @@ def keyword_topk(corpus: DataFrame, text: str, k: int = 6, id_col: str = "id", c
     return corpus.select(id_col, *columns).join(F.broadcast(best), id_col).orderBy(F.col("score").desc(), F.col(id_col))
 
 
-def reciprocal_rank(scored: DataFrame, id_col: str, score: str, out: str, rrf_k: int = RRF_K) -> DataFrame:
-    """1 / (rrf_k + rank) over all rows that have a score; the others get 0."""
-    have = scored.where(F.col(score).isNotNull())
-    ranked = global_running(have, [F.col(score).desc(), F.col(id_col)], row_number="_rank")
-    some = ranked.withColumn(out, 1.0 / (rrf_k + F.col("_rank"))).drop("_rank")
-    none = scored.where(F.col(score).isNull()).withColumn(out, F.lit(0.0))
-    return some.unionByName(none)
+def exact_ranks(scored: DataFrame, score: str, targets: list[tuple[int, float]], id_col: str) -> DataFrame:
+    """(id, rank) of a few target rows among all rows by (score descending, id): one counting pass, no sort.
+
+    Each task counts the rows better than each target and sends one number per target.
+    """
+    ids = np.array([t[0] for t in targets], dtype="int64")
+    values = np.array([t[1] for t in targets], dtype="float64")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        better = np.zeros(len(ids), dtype="int64")
+        for b in batches:
+            row_ids, row_scores = b.column(0).to_numpy(), b.column(1).to_numpy()
+            order = np.lexsort((row_ids, row_scores))
+            row_ids, row_scores = row_ids[order], row_scores[order]
+            low, high = (np.searchsorted(row_scores, values, side) for side in ("left", "right"))
+            tied = [np.searchsorted(row_ids[a:z], i) for a, z, i in zip(low, high, ids)]
+            better += len(row_ids) - high + np.array(tied, dtype="int64")
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(better)], ["id", "better"])
+
+    rows = scored.where(F.col(score).isNotNull()).select(F.col(id_col).cast("bigint"), F.col(score).cast("double"))
+    counts = rows.mapInArrow(count, "id bigint, better bigint")
+    return counts.groupBy("id").agg((F.sum("better") + 1).alias("rank"))
+
+
+def reciprocal_rank_fusion(scored: DataFrame, id_col: str, scores: list[str], k: int, rrf_k: int = RRF_K) -> DataFrame:
+    """The k rows with the highest sum of 1 / (rrf_k + rank) over several score columns; a null score adds 0.
+
+    The k best rows of any one list reach at least 1 / (rrf_k + k). With n lists, a row outside the
+    first n * (rrf_k + k) - rrf_k places of every list stays below that, so those places hold the
+    whole answer. Only their rows need a rank, and the ranks are counted over all rows. ``scored``
+    is read several times and should be stored.
+    """
+    depth = len(scores) * (rrf_k + k) - rrf_k
+    columns = [F.col(id_col), *map(F.col, scores)]
+    tops = [scored.select(*columns).where(F.col(s).isNotNull()).orderBy(F.col(s).desc(), F.col(id_col)).limit(depth)
+            for s in scores]
+    # At most ``depth`` rows per list.
+    candidates = {r[0]: tuple(r[1:]) for top in tops for r in top.collect()}
+    if not candidates:
+        return scored.select(*columns).limit(0).withColumn("score", F.lit(0.0))
+    fused = scored.sparkSession.createDataFrame(
+        [(i, *values) for i, values in candidates.items()],
+        f"{id_col} bigint, " + ", ".join(f"{s} double" for s in scores))
+    total = F.lit(0.0)
+    for n, s in enumerate(scores):
+        targets = [(i, values[n]) for i, values in candidates.items() if values[n] is not None]
+        if targets:
+            ranks = exact_ranks(scored, s, targets, id_col).select(F.col("id").alias(id_col), F.col("rank").alias(f"_rank_{n}"))
+            fused = fused.join(ranks, id_col, "left")
+            total = total + F.coalesce(1.0 / (rrf_k + F.col(f"_rank_{n}")), F.lit(0.0))
+    return fused.select(*columns, F.round(total, 9).alias("score")).orderBy(F.col("score").desc(), F.col(id_col)).limit(k)
 
 
 def hybrid_topk(corpus: DataFrame, text: str, k: int, model: ModelFactory | None = None, condition: Column | None = None,
@@ -324,11 +368,7 @@ def hybrid_topk(corpus: DataFrame, text: str, k: int, model: ModelFactory | None
     rows = corpus if condition is None else corpus.where(condition)
     near = cosine_to(query_vector(text, model or HashedEmbedder()))(F.col(vector)).alias("vector_score")
     both = keyword_scores(rows, text, [id_col, near], column).withColumnRenamed("score", "keyword_score")
-    fused = reciprocal_rank(both, id_col, "vector_score", "_semantic", rrf_k)
-    fused = reciprocal_rank(fused, id_col, "keyword_score", "_keyword", rrf_k)
-    score = F.round(F.col("_semantic") + F.col("_keyword"), 9)
-    return fused.select(id_col, "vector_score", "keyword_score", score.alias("score")).orderBy(
-        F.col("score").desc(), F.col(id_col)).limit(k)
+    return reciprocal_rank_fusion(both, id_col, ["vector_score", "keyword_score"], k, rrf_k)
 
 
 # ---------------------------------------------------------------- index tables

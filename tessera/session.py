@@ -50,17 +50,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def pin(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and go on from the written rows.
+    """Write ``df`` once to the shared folder and go on from the written table.
 
-    Used where two branches of a plan must see the very same rows or partition ids; the copy
-    also survives the loss of executors.
+    Used where several steps must see the very same rows or partition ids. The copy survives the loss
+    of executors, and later steps read only the columns they need.
     """
-    spark = df.sparkSession
-    root = shared_root(spark)
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(root)
-    return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, "pinned")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -148,6 +148,21 @@ def test_hybrid_rank_fusion(spark):
     assert {r["id"]: r["score"] for r in out} == want
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_fusion_equals_full_ranking(spark, seed):
+    """Many ties and one row that is good in one list and far down in the other."""
+    rng = np.random.default_rng(seed)
+    rows = [(i, float(round(rng.random(), 2)), None if rng.random() < 0.4 else float(round(rng.random(), 1))) for i in range(400)]
+    rows[399] = (399, 2.0, -5.0)
+    df = spark.createDataFrame(rows, "id bigint, a double, b double").repartition(5)
+    rank = lambda n: {r[0]: p + 1 for p, r in enumerate(sorted((r for r in rows if r[n] is not None), key=lambda r: (-r[n], r[0])))}
+    ra, rb = rank(1), rank(2)
+    full = {r[0]: round(1 / (5 + ra[r[0]]) + (1 / (5 + rb[r[0]]) if r[0] in rb else 0), 9) for r in rows}
+    want = sorted(full.items(), key=lambda x: (-x[1], x[0]))[:8]
+    got = retrieval.reciprocal_rank_fusion(df, "id", ["a", "b"], 8, rrf_k=5).collect()
+    assert [(r["id"], r["score"]) for r in got] == want
+
+
 def test_index_checks(spark, folder):
     rows = frame(spark, clustered(20))
     retrieval.index_build(rows, "id", "embedding", 32, folder("index"))
