@@ -12,6 +12,7 @@ from tessera.operators.relational import broadcast_if_small
 from tessera.session import pin
 
 PERCENTILE_ACCURACY = 10_000
+NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 
 
 def daily_usage(df: DataFrame, ts: str, quantity: str, condition: Column | None = None) -> DataFrame:
@@ -108,9 +109,10 @@ def nearest_rank_percentile(df: DataFrame, keys: list[str], column: str, ps: lis
 
 
 def spill_flags(df: DataFrame, keys: list[str], hit: str, read: str, threshold: float = 1.0) -> DataFrame:
+    """Means to two digits; the flag compares the rounded mean."""
     return df.groupBy(*keys).agg(
-        F.avg(hit).alias("mean_hit"), F.avg(read).alias("mean_read"), F.max(read).alias("max_read"),
-        (F.avg(read) > threshold).alias("spilled"))
+        F.round(F.avg(hit), 2).alias("mean_hit"), F.round(F.avg(read), 2).alias("mean_read"),
+        F.round(F.max(read), 2).alias("max_read"), (F.round(F.avg(read), 2) > threshold).alias("spilled"))
 
 
 def load_test_summary(df: DataFrame, ok: Column, elapsed: str, duration_s: Column) -> DataFrame:
@@ -182,7 +184,7 @@ def typed_agg(long: DataFrame, by: list[str] | None = None, digits: int = 4) ->
     """
     by = [*(by or []), "name"]
     number = F.coalesce(F.col("bool_value").cast("double"), F.col("num_value"),
-                        F.expr("try_cast(str_value as double)"))
+                        F.when(F.col("str_value").rlike(NUMBER), F.expr("try_cast(str_value as double)")))
     # By value first: a frequent value is one row per task before the shuffle.
     values = long.groupBy(*by, "str_value").agg(
         F.count(F.lit(1)).alias("_n"), F.sum(number).alias("_sum"), F.count(number).alias("_numbers"))
@@ -235,14 +237,14 @@ def parse_success(results: DataFrame) -> DataFrame:
 
 def batch_profile(df: DataFrame, order: list[Column], size: int, tokens: Column, seconds: Column,
                   memory: Column) -> DataFrame:
-    """Consecutive batches of ``size`` rows with their token, time and memory figures."""
+    """Consecutive batches of ``size`` rows, numbered from 0, with their token, time and memory figures."""
     narrow = df.select(*order, tokens.alias("_tokens"), seconds.alias("_secs"), memory.alias("_mem"))
     numbered = global_running(narrow, order, row_number="_row")
-    batches = numbered.groupBy((F.floor((F.col("_row") - 1) / size) + 1).alias("batch")).agg(
+    batches = numbered.groupBy(F.floor((F.col("_row") - 1) / size).alias("batch")).agg(
         F.count(F.lit(1)).alias("docs"), F.max("_row").alias("docs_cumulative"), F.sum("_tokens").alias("tokens"),
         F.sum("_secs").alias("wall_s"),
         F.min_by("_mem", "_row").alias("mem_start"), F.max_by("_mem", "_row").alias("mem_end"))
-    return batches.withColumn("tokens_per_s", F.try_divide(F.col("tokens"), F.col("wall_s"))).withColumn(
+    return batches.withColumn("tokens_per_s", ratio(F.col("tokens"), F.col("wall_s"))).withColumn(
         "mem_delta", F.col("mem_end") - F.col("mem_start"))
 
 

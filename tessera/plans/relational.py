@@ -201,17 +201,16 @@ def q_nearest_rank(spark, sf):
 
 
 @query("spill_flags", """
-SELECT event_type, user_id % 7 AS model, round(avg(value), 6) AS mean_hit,
-       round(avg(CAST(json_extract_string(props, '$.k') AS DOUBLE) / 40), 6) AS mean_read,
-       max(CAST(json_extract_string(props, '$.k') AS DOUBLE) / 40) AS max_read,
-       avg(CAST(json_extract_string(props, '$.k') AS DOUBLE) / 40) > 1.0 AS spilled
+SELECT event_type, user_id % 7 AS model, round(avg(value), 2) AS mean_hit,
+       round(avg(CAST(json_extract_string(props, '$.k') AS DOUBLE) / 50), 2) AS mean_read,
+       round(max(CAST(json_extract_string(props, '$.k') AS DOUBLE) / 50), 2) AS max_read,
+       round(avg(CAST(json_extract_string(props, '$.k') AS DOUBLE) / 50), 2) > 1.0 AS spilled
 FROM events GROUP BY 1, 2""")
 def q_spill_flags(spark, sf):
     rows = load_table(spark, sf, "events").select(
         "event_type", (F.col("user_id") % 7).alias("model"), "value",
-        (F.get_json_object("props", "$.k").cast("double") / 40).alias("blocks"))
-    out = agg.spill_flags(rows, ["event_type", "model"], "value", "blocks")
-    return out.withColumn("mean_hit", F.round("mean_hit", 6)).withColumn("mean_read", F.round("mean_read", 6))
+        (F.get_json_object("props", "$.k").cast("double") / 50).alias("blocks"))
+    return agg.spill_flags(rows, ["event_type", "model"], "value", "blocks")
 
 
 @query("load_test_summary", """
@@ -346,7 +345,7 @@ def batches(spark, sf):
                              F.col("k") * 10)
 
 
-BATCH_SQL = """SELECT CAST(floor((rn - 1) / 50) AS BIGINT) + 1 AS batch, count(*) AS docs, max(rn) AS docs_cumulative,
+BATCH_SQL = """SELECT CAST(floor((rn - 1) / 50) AS BIGINT) AS batch, count(*) AS docs, max(rn) AS docs_cumulative,
     CAST(sum(k) AS BIGINT) AS tokens, sum(value) AS wall_s, min_by(k, rn) * 10 AS mem_start, max_by(k, rn) * 10 AS mem_end
   FROM (SELECT row_number() OVER (ORDER BY event_id) AS rn, value,
                CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY 1"""

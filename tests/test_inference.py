@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.inference import models, runner
+from tessera.inference import counters, models, runner
 from tessera.operators import documents
 
 
@@ -99,3 +99,18 @@ def test_chunker_status(spark):
     out = documents.with_recursive_chunks(df, "text", 8, 0).orderBy("id").collect()
     assert out[0]["chunked"]["chunked_text"] == ["one two", "three"] and out[1]["chunked"]["chunker_status"].startswith("ERROR")
     assert documents.recursive_chunk(df, "id", "text", 8, 0).count() == 2
+
+
+def test_chunks_measured_in_tokens(spark, sf):
+    files = pytest.importorskip("public_tokenizers")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("n_chars < 3000").limit(40)
+    makers = [counters.Words(), counters.TokenizerFile(str(files.path("byte_bpe_50k.json"))),
+              counters.RankFile(str(files.path("byte_bpe_50k.tiktoken")), files.PATTERN)]
+    sizes = []
+    for maker in makers:
+        measure = maker()
+        rows = documents.recursive_chunk(docs, "doc_id", "text", 60, 10, maker).collect()
+        sizes.append(len(rows))
+        # A chunk is measured piece by piece, and a joined text never has more tokens than its pieces.
+        assert rows and all(measure(r["chunk"]) <= 61 for r in rows)
+    assert sizes[1] == sizes[2] > sizes[0]
