@@ -107,7 +107,8 @@ def q_sessions(spark, sf):
 
 @query("stream_dedup", "SELECT DISTINCT user_id, event_type FROM events")
 def q_dedup(spark, sf):
-    first = windows.stream_dedup(event_stream(spark, sf), "ts", ["user_id", "event_type"], "60 days")
+    events = event_stream(spark, sf).select("ts", "user_id", "event_type")
+    first = windows.stream_dedup(events, "ts", ["user_id", "event_type"], "60 days")
     out = scratch_path(spark, "first")
     sources.append_table(first.select("user_id", "event_type"), out, scratch_path(spark, "checkpoint"))
     return spark.read.parquet(out)

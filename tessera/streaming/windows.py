@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,7 +29,11 @@ def stream_sliding_latency(stream: DataFrame, ts: str, width: str, slide: str, w
 
 
 def stream_sessions(stream: DataFrame, ts: str, key: str, gap: str, watermark: str) -> DataFrame:
-    """Rows of a key that follow each other within ``gap``, as sessions."""
+    """Rows of a key that follow each other within ``gap``, as sessions.
+
+    Sessions are merged within each task before the shuffle, so a key with very many rows sends little.
+    """
+    stream.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     return (stream.withWatermark(ts, watermark).groupBy(F.session_window(ts, gap).alias("_s"), key)
             .agg(F.count(F.lit(1)).alias("turns"), F.max(ts).alias("last"))
             .select(key, F.col("_s.start").alias("first"), "last", "turns"))
@@ -43,9 +50,18 @@ def closing_rows(spark: SparkSession, path: str, schema, ts: str) -> None:
     spark.range(1).select(*row).write.mode("overwrite").parquet(path)
 
 
-def stream_dedup(stream: DataFrame, ts: str, keys: list[str], watermark: str) -> DataFrame:
-    """First row of each key; the same key within the watermark is dropped and its state forgotten after it."""
-    return stream.withWatermark(ts, watermark).dropDuplicatesWithinWatermark(keys)
+def stream_dedup(stream: DataFrame, ts: str, keys: list[str], watermark: str, combine: bool = True) -> DataFrame:
+    """First row of each key; the same key within the watermark is dropped and its state forgotten after it.
+
+    With ``combine``, copies inside one Arrow batch go before the shuffle: a key with very many copies
+    sends one row per batch. Select the needed columns first, they pass through Python.
+    """
+    def first_of_batch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield frame.drop_duplicates(keys)
+
+    rows = stream.mapInPandas(first_of_batch, stream.schema) if combine else stream
+    return rows.withWatermark(ts, watermark).dropDuplicatesWithinWatermark(keys)
 
 
 def late_rows(df: DataFrame, arrival: list[Column], ts: str, delay: str) -> tuple[DataFrame, DataFrame]:
