@@ -117,18 +117,22 @@ JOINERS = {"numbered": "\n---\n", "passage": "", "headings": "\n\n", "plain": "\
 
 
 def context_pack(ranked: DataFrame, query: str, rank: str, id_col: str, text: str, style: str = "numbered",
-                 header: str | None = None, queries: DataFrame | None = None, score: str | None = None) -> DataFrame:
+                 header: str | None = None, queries: DataFrame | None = None, score: str | None = None,
+                 ids: str | None = None) -> DataFrame:
     """One context per query from its ranked passages (k rows each). Queries without any get a marker.
 
-    ``score`` adds the number of passages and the sum of their scores.
+    ``score`` adds the number of passages and the sum of their scores; ``ids`` names a column for the
+    passage ids in rank order.
     """
     line = passage_line(style, F.col(rank), F.col(id_col), F.col(text), F.col(header) if header else None)
     value = F.col(score) if score else F.lit(0.0)
-    rows = ranked.select(query, F.struct(F.col(rank).alias("rank"), line.alias("line")).alias("_p"), value.alias("_score"))
+    passage = F.struct(F.col(rank).alias("rank"), line.alias("line"), F.col(id_col).cast("string").alias("id"))
+    rows = ranked.select(query, passage.alias("_p"), value.alias("_score"))
     packed = rows.groupBy(query).agg(F.array_sort(F.collect_list("_p")).alias("_all"),
                                      F.count(F.lit(1)).alias("passages"), F.sum("_score").alias("score_sum"))
     out = packed.select(query, F.array_join(F.col("_all.line"), JOINERS[style]).alias("context"),
-                        *(["passages", "score_sum"] if score else []))
+                        *(["passages", "score_sum"] if score else []),
+                        *([F.array_join("_all.id", ",").alias(ids)] if ids else []))
     if queries is None:
         return out
     return queries.select(query).join(out, query, "left").withColumn(

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.functions import language, text
+from tessera.functions import language
 from tessera.inference import models, runner
-from tessera.operators import documents, retrieval
+from tessera.operators import answering
 from tessera.operators.relational import replicate_rows
 from tessera.plans import sqltext
 from tessera.plans.registry import query
@@ -169,24 +169,10 @@ WITH {sqltext.embed('d', 'documents', 'doc_id', 'text')}, {sqltext.embed('q', 'b
 SELECT item_id, ids, {SUM_SQL.format(t='prompt')} AS answer FROM p""")
 def q_rag_answer(spark, sf):
     questions = load_table(spark, sf, "benchmark").withColumnRenamed("text", "question")
-    return rag_answer(questions, heavy_table(spark, sf, "documents").select("doc_id", "text"), 4, TEMPLATE,
+    return answering.rag_answer(questions, heavy_table(spark, sf, "documents").select("doc_id", "text"), 4, TEMPLATE,
                       models.HashedEmbedder(64), models.Checksum()).select("item_id", "ids", "answer")
 
 
-def rag_answer(questions, corpus, k, template, embedder, model, question_id="item_id", doc_id="doc_id"):
-    """Questions to k nearest documents, one context each, a prompt and the model's answer, as one job."""
-    asked = retrieval.embed_text(questions, "question", embedder).withColumn("query_id", F.col(question_id))
-    near = retrieval.knn_join(asked, retrieval.embed_text(corpus, "text", embedder).withColumn("id", F.col(doc_id)), k)
-    # k rows per question; the planner sends them to the documents if they are small.
-    ranked = corpus.join(near.withColumnRenamed("id", doc_id), doc_id)
-    contexts = documents.context_pack(ranked, "query_id", "rank", doc_id, "text")
-    ids = near.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "id"))).alias("all")).select(
-        "query_id", F.array_join(F.transform("all.id", lambda i: i.cast("string")), ",").alias("ids"))
-    packed = asked.join(contexts, "query_id").join(ids, "query_id")
-    prompt = text.compose_prompt(template, context=F.col("context"), question=F.col("question"))
-    return runner.ai_query(packed.withColumn("prompt", prompt), "prompt", model, "answer")
-
-
 @query("route_with_default", f"""
 WITH t AS (SELECT u.conv_id, u.turn, list_distinct(regexp_extract_all(lower(u.text), {sqltext.WORDS})) AS asked,
        CASE WHEN a.text IS NOT NULL THEN regexp_extract_all(lower(a.text), {sqltext.WORDS}) END AS known

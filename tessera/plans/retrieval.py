@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.vectors import SCORE_DIGITS
 from tessera.inference.models import HashedEmbedder
-from tessera.operators import ranking, retrieval
+from tessera.operators import answering, ranking, retrieval
 from tessera.plans import sqltext
 from tessera.plans.registry import query
 from tessera.session import scratch_path
@@ -184,17 +184,7 @@ QUALIFY row_number() OVER (PARTITION BY id ORDER BY votes DESC, label) = 1""")
 def q_label_by_examples(spark, sf):
     rows = vectors(spark, sf)
     examples = ranking.stratified_sample(rows, "label", "id", 3, seed=1)
-    return label_by_examples(rows, examples, 5)
-
-
-def label_by_examples(rows, examples, k):
-    """Label of the majority of the k nearest examples; equal votes go to the smaller label."""
-    queries = rows.select(F.col("id").alias("query_id"), "embedding")
-    near = retrieval.knn_join(queries, examples, k, exclude_self=True)
-    votes = near.join(examples.select("id", "label"), "id").groupBy("query_id", "label").agg(
-        F.count(F.lit(1)).alias("votes"))
-    return ranking.topk_per_group(votes, ["query_id"], [F.col("votes").desc(), F.col("label")], 1).select(
-        F.col("query_id").alias("id"), "label", "votes")
+    return answering.label_by_examples(rows, examples, 5)
 
 
 @query("index_build", f"""
