@@ -115,11 +115,12 @@ def label_type(label: Column) -> Column:
     by_type: dict[str, list[str]] = {}
     for name, kind in LABEL_TYPES.items():
         by_type.setdefault(kind, []).append(name)
-    clean = strip_ws(F.lower(label))
-    out = None
-    for kind, names in by_type.items():
-        out = F.when(clean.isin(names), F.lit(kind)) if out is None else out.when(clean.isin(names), F.lit(kind))
-    return out.otherwise(F.lit(OTHER))
+
+    def choose(clean: Column) -> Column:
+        hits = [F.when(clean.isin(names), F.lit(kind)) for kind, names in by_type.items()]
+        return F.coalesce(*hits, F.lit(OTHER))
+
+    return let(strip_ws(F.lower(label)), choose)
 
 
 SPAN_DDL = "label string, type string, text string, value string, start int, end int"

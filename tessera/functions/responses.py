@@ -46,10 +46,10 @@ def elements_to_text(text: Column, path: str = "$.document.elements") -> Column:
 
 def kind_of(value: Column) -> Column:
     """JSON kind of a variant: string, number, boolean, array, object, null; no value gives null."""
-    name = F.schema_of_variant(value)
-    return (F.when(name == "STRING", F.lit("string")).when(name == "BOOLEAN", F.lit("boolean"))
-            .when(name.startswith("ARRAY"), F.lit("array")).when(name.startswith("OBJECT"), F.lit("object"))
-            .when(name == "VOID", F.lit("null")).when(name.isNotNull(), F.lit("number")))
+    return let(F.schema_of_variant(value), lambda name: (
+        F.when(name == "STRING", F.lit("string")).when(name == "BOOLEAN", F.lit("boolean"))
+        .when(name.startswith("ARRAY"), F.lit("array")).when(name.startswith("OBJECT"), F.lit("object"))
+        .when(name == "VOID", F.lit("null")).when(name.isNotNull(), F.lit("number"))))
 
 
 def as_list(text: Column, element_ddl: str) -> Column:

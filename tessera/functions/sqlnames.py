@@ -36,7 +36,7 @@ def register_model(spark: SparkSession, name: str, model: ModelFactory, returns:
     spark.udf.register(name, call)
 
 
-@udtf(returnType="chunk_no int, chunk string")
+@udtf(returnType="chunk_no int, chunk string", useArrow=True)
 class SplitText:
     def eval(self, text: str, size: int, overlap: int) -> Iterator[tuple[int, str]]:
         yield from enumerate(recursive_split(text, size, overlap))

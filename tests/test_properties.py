@@ -129,3 +129,45 @@ def test_stratified_sample_needs_enough_rows(spark):
     assert ranking.stratified_sample(df, "label", "id", 3).groupBy("label").count().where("count = 3").count() == 2
     with pytest.raises(ValueError):
         ranking.stratified_sample(df, "label", "id", 4)
+
+
+def pooled(pred, gold):
+    """The matching rule as a plain loop."""
+    plain = lambda v: v.lower().strip().replace("-", "").replace(" ", "")
+    free, tp = list(range(len(gold))), 0
+    for kind, value in pred:
+        hit = next((j for j in free if (gold[j][0] in (kind, "OTHER"))
+                    and (plain(value) in plain(gold[j][1]) or plain(gold[j][1]) in plain(value))), None)
+        if hit is not None:
+            free.remove(hit)
+            tp += 1
+    return tp, len(pred) - tp, len(free)
+
+
+def test_match_equals_a_plain_loop(spark):
+    from tessera.functions import pii
+
+    rng = random.Random(11)
+    entity = lambda: (rng.choice(["PERSON", "EMAIL", "OTHER"]), "".join(rng.choice("ab -") for _ in range(rng.randint(0, 4))))
+    rows = [(i, [entity() for _ in range(rng.randint(0, 6))], [entity() for _ in range(rng.randint(0, 6))]) for i in range(400)]
+    ddl = "array<struct<type string, value string>>"
+    df = spark.createDataFrame(rows, f"id int, p {ddl}, g {ddl}")
+    got = {r["id"]: tuple(r["m"]) for r in df.select("id", pii.match(F.col("p"), F.col("g")).alias("m")).collect()}
+    assert got == {i: pooled(p, g) for i, p, g in rows}
+
+
+def test_mask_equals_a_plain_loop(spark):
+    from tessera.functions import pii
+
+    rng = random.Random(12)
+    rows = []
+    for i in range(300):
+        text = "".join(rng.choice("ab01 _") for _ in range(40))
+        values = [text[s:s + rng.randint(1, 5)] for s in (rng.randint(0, 35) for _ in range(4))] + ["001"]
+        rows.append((i, text, [(rng.choice(["A", "B"]), v, f"X_{n:03d}") for n, v in enumerate(values)]))
+    df = spark.createDataFrame(rows, "id int, text string, es array<struct<entity_type string, original_value string, salt_id string>>")
+    got = {r["id"]: r["m"] for r in df.select("id", pii.mask(F.col("text"), F.col("es")).alias("m")).collect()}
+    for i, text, es in rows:
+        for _, v, s in sorted(es, key=lambda e: -len(e[1])):
+            text = text.replace(v, s)
+        assert got[i] == text
