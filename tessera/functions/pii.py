@@ -35,24 +35,28 @@ OTHER = "OTHER"
 
 @dataclass(frozen=True)
 class Detector:
-    """Every match of a pattern is an entity. A number that must pass the Luhn check and does not gets ``fallback``."""
+    """Every match of a pattern is an entity. A number that must pass the Luhn check and does not gets ``fallback``.
+
+    ``needs`` is a piece of text that every match holds: texts without it are not searched.
+    """
 
     entity_type: str
     pattern: str
     group: int = 0
     luhn: bool = False
     fallback: str = OTHER
+    needs: str = ""
 
 
 DETECTORS = (
-    Detector("EMAIL", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"),
+    Detector("EMAIL", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", needs="@"),
     Detector("CREDIT_CARD", r"[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}", luhn=True, fallback="BANK_ACCOUNT"),
     Detector("BANK_ACCOUNT", r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}"),
-    Detector("PHONE", r"\+[0-9]{1,3} ?\([0-9]{3}\) [0-9]{3}-[0-9]{4}"),
-    Detector("SSN", r"[0-9]{3}-[0-9]{2}-[0-9]{4}"),
+    Detector("PHONE", r"\+[0-9]{1,3} ?\([0-9]{3}\) [0-9]{3}-[0-9]{4}", needs=") "),
+    Detector("SSN", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", needs="-"),
     Detector("DATE_OF_BIRTH", r"(?i)(?:born on|date of birth:?|dob:?) ?([0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|"
                               r"[a-z]+ [0-9]{1,2}, [0-9]{4}|[0-9]{4}-[0-9]{2}-[0-9]{2})", group=1),
-    Detector("PERSON", r"(?:Dr|Mr|Mrs|Ms|Prof)\. [A-Z][a-z]+(?: [A-Z][a-z]+)?"),
+    Detector("PERSON", r"(?:Dr|Mr|Mrs|Ms|Prof)\. [A-Z][a-z]+(?: [A-Z][a-z]+)?", needs=". "),
     Detector("ADDRESS", r"[0-9]{1,5} [A-Z][a-z]+(?: [A-Z][a-z]+)? (?:Street|Avenue|Road|Terrace|Lane|Drive)"),
     Detector("OTHER", r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}|[0-9a-f]{40}"),
 )
@@ -70,6 +74,8 @@ def detect(text: Column, detectors: tuple[Detector, ...] = DETECTORS) -> Column:
     found = []
     for d in detectors:
         values = F.regexp_extract_all(text, F.lit(d.pattern), F.lit(d.group))
+        if d.needs:
+            values = F.when(F.contains(text, F.lit(d.needs)), values).otherwise(F.array().cast("array<string>"))
 
         def entity(v: Column, d: Detector = d) -> Column:
             kind = F.when(luhn_ok(v), F.lit(d.entity_type)).otherwise(F.lit(d.fallback)) if d.luhn else F.lit(d.entity_type)
