@@ -10,7 +10,9 @@ from tessera.inference.models import ModelFactory
 from tessera.inference.runner import ai_query
 from tessera.operators.documents import context_pack
 from tessera.operators.ranking import topk_per_group
+from tessera.operators.relational import broadcast_if_small
 from tessera.operators.retrieval import embed_text, knn_join
+from tessera.session import pin
 
 
 def label_by_examples(rows: DataFrame, examples: DataFrame, k: int, id_col: str = "id", label: str = "label",
@@ -19,7 +21,9 @@ def label_by_examples(rows: DataFrame, examples: DataFrame, k: int, id_col: str
     queries = rows.select(F.col(id_col).alias("query_id"), F.col(vector).alias("embedding"))
     known = examples.select(F.col(id_col).alias("id"), F.col(label).alias("label"), F.col(vector).alias("embedding"))
     near = knn_join(queries, known, k, exclude_self=True)
-    votes = near.join(known.select("id", "label"), "id").groupBy("query_id", "label").agg(F.count(F.lit(1)).alias("votes"))
+    # Few examples: counted, then sent to the matches, which are not shuffled for their labels.
+    labels = broadcast_if_small(pin(known.select("id", "label")))
+    votes = near.join(labels, "id").groupBy("query_id", "label").agg(F.count(F.lit(1)).alias("votes"))
     best = topk_per_group(votes, ["query_id"], [F.col("votes").desc(), F.col("label")], 1)
     return best.select(F.col("query_id").alias(id_col), "label", "votes")
 
@@ -33,9 +37,9 @@ def rag_answer(questions: DataFrame, corpus: DataFrame, k: int, template: str, e
     """
     asked = embed_text(questions, "question", embedder).withColumn("query_id", F.col(question_id))
     known = embed_text(corpus, "text", embedder).withColumn("id", F.col(doc_id))
-    near = knn_join(asked, known, k)
-    # k rows per question; the planner sends them to the documents if they are small.
-    ranked = corpus.join(near.withColumnRenamed("id", doc_id), doc_id)
+    # k rows per question, stored: few questions mean a broadcast, and the documents are not shuffled.
+    near = pin(knn_join(asked, known, k))
+    ranked = corpus.join(broadcast_if_small(near.withColumnRenamed("id", doc_id)), doc_id)
     contexts = context_pack(ranked, "query_id", "rank", doc_id, "text", queries=asked, ids="ids")
     prompt = compose_prompt(template, context=F.col("context"), question=F.col("question"))
     return ai_query(asked.join(contexts, "query_id").withColumn("prompt", prompt), "prompt", model, "answer")
