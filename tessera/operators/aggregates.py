@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.ranking import global_running
-from tessera.operators.relational import broadcast_if_small
 from tessera.session import pin
 
 PERCENTILE_ACCURACY = 10_000
@@ -59,8 +58,8 @@ def exact_percentiles(df: DataFrame, keys: list[str], columns: list[str], ps: li
         hi = F.col("_max") if p + spread >= 1 else F.when(small, F.col("_max")).otherwise(F.col("_edges")[len(ps) + i])
         bands.append(F.struct(F.lit(p).alias("p"), lo.alias("lo"), hi.alias("hi"), low.alias("low"),
                               high.alias("high"), weight.cast("double").alias("weight")))
-    # One row per group: if there are few groups the rows are sifted where they are, without a shuffle.
-    wanted = broadcast_if_small(pin(stats.select(*by, F.array(*bands).alias("_bands"))))
+    # One row per group, stored: with few groups the planner sifts the rows where they are, without a shuffle.
+    wanted = pin(stats.select(*by, F.array(*bands).alias("_bands")))
     banded = cells.join(wanted, by).withColumn("_band", F.explode("_bands"))
     band = F.struct(*[F.col(f"_band.{f}").alias(f) for f in ("p", "low", "high", "weight")]).alias("_at")
     # Everything below the band collapses to one counter per group; rows above it are left out.

@@ -10,7 +10,6 @@ from tessera.inference.models import ModelFactory
 from tessera.inference.runner import ai_query
 from tessera.operators.documents import context_pack
 from tessera.operators.ranking import topk_per_group
-from tessera.operators.relational import broadcast_if_small
 from tessera.operators.retrieval import embed_text, knn_join
 from tessera.session import pin
 
@@ -19,11 +18,10 @@ def label_by_examples(rows: DataFrame, examples: DataFrame, k: int, id_col: str
                       vector: str = "embedding") -> DataFrame:
     """(id, label, votes): the majority label of the k nearest examples; equal votes go to the smaller label."""
     queries = rows.select(F.col(id_col).alias("query_id"), F.col(vector).alias("embedding"))
-    known = examples.select(F.col(id_col).alias("id"), F.col(label).alias("label"), F.col(vector).alias("embedding"))
+    # Stored, so the sample is drawn once and the planner knows how small it is.
+    known = pin(examples.select(F.col(id_col).alias("id"), F.col(label).alias("label"), F.col(vector).alias("embedding")))
     near = knn_join(queries, known, k, exclude_self=True)
-    # Few examples: counted, then sent to the matches, which are not shuffled for their labels.
-    labels = broadcast_if_small(pin(known.select("id", "label")))
-    votes = near.join(labels, "id").groupBy("query_id", "label").agg(F.count(F.lit(1)).alias("votes"))
+    votes = near.join(known.select("id", "label"), "id").groupBy("query_id", "label").agg(F.count(F.lit(1)).alias("votes"))
     best = topk_per_group(votes, ["query_id"], [F.col("votes").desc(), F.col("label")], 1)
     return best.select(F.col("query_id").alias(id_col), "label", "votes")
 
@@ -35,11 +33,12 @@ def rag_answer(questions: DataFrame, corpus: DataFrame, k: int, template: str, e
     Adds ``ids`` (documents in rank order), ``context``, ``prompt`` and ``answer``. A question without
     any document gets the marker for an empty context.
     """
-    asked = embed_text(questions, "question", embedder).withColumn("query_id", F.col(question_id))
+    # Stored, because the search counts and loads the questions: the embedder reads each of them once.
+    asked = pin(embed_text(questions, "question", embedder).withColumn("query_id", F.col(question_id)))
     known = embed_text(corpus, "text", embedder).withColumn("id", F.col(doc_id))
-    # k rows per question, stored: few questions mean a broadcast, and the documents are not shuffled.
+    # k rows per question, stored: the planner knows their size, and few rows spare the documents a shuffle.
     near = pin(knn_join(asked, known, k))
-    ranked = corpus.join(broadcast_if_small(near.withColumnRenamed("id", doc_id)), doc_id)
+    ranked = corpus.join(near.withColumnRenamed("id", doc_id), doc_id)
     contexts = context_pack(ranked, "query_id", "rank", doc_id, "text", queries=asked, ids="ids")
     prompt = compose_prompt(template, context=F.col("context"), question=F.col("question"))
     return ai_query(asked.join(contexts, "query_id").withColumn("prompt", prompt), "prompt", model, "answer")

@@ -8,16 +8,6 @@ from pyspark.sql import types as T
 
 from tessera.functions.responses import is_json
 
-# A side is broadcast by hint only if it was counted and stays below this many rows.
-BROADCAST_ROWS = 100_000
-
-
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint if a count that stops at ``limit`` proves the side small; else left to the planner."""
-    small = df.limit(limit + 1).count() <= limit
-    return F.broadcast(df) if small else df
-
-
 def param_filter(spark: SparkSession, sql: str, args: dict, **tables: DataFrame) -> DataFrame:
     """SQL text with ``:name`` parameters over the given tables."""
     return spark.sql(sql, args=args, **tables)

@@ -21,6 +21,7 @@ from tessera.session import pin
 
 # A side this small is sent to every task; its size is counted first. 64 MB as doubles.
 BROADCAST_CELLS = 8_000_000
+SHORTEST_VECTOR = 16
 BLOCK_ROWS = 20_000
 MATCH_DDL = "query_id bigint, id bigint, score double"
 RRF_K = 60
@@ -78,9 +79,12 @@ def scan_all(corpus: DataFrame, n: int, id_col: str = "id") -> DataFrame:
 # ---------------------------------------------------------------- k nearest rows for a table of queries
 
 
-def _fits(df: DataFrame, dim: int) -> bool:
-    limit = max(1, BROADCAST_CELLS // max(1, dim))
-    return df.limit(limit + 1).count() <= limit
+def _fits(df: DataFrame) -> bool:
+    """Whether a side of (id, vector) has at most BROADCAST_CELLS numbers; counting stops soon after that."""
+    limit = BROADCAST_CELLS // SHORTEST_VECTOR
+    sizes = df.select(F.size("vector").alias("n")).limit(limit + 1)
+    rows, dim = sizes.agg(F.count(F.lit(1)), F.max("n")).first()
+    return rows <= limit and rows * max(dim or 0, SHORTEST_VECTOR) <= BROADCAST_CELLS
 
 
 def _dim(df: DataFrame, vector: str) -> int:
@@ -185,10 +189,9 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "que
     A side that was counted and fits is sent to all tasks; two large sides go block by block.
     """
     q, c = _sides(queries, corpus, query_id, id_col, vector)
-    dim = _dim(q, "vector")
-    if _fits(q, dim):
+    if _fits(q):
         return _against_small_queries(q, c, k, exclude_self)
-    if _fits(c, dim):
+    if _fits(c):
         return _against_small_corpus(q, c, k, exclude_self)
     return knn_join_blocked(queries, corpus, k, query_id, id_col, vector, BLOCK_ROWS, exclude_self)
 

@@ -50,12 +50,24 @@ def upsert_batch(spark: SparkSession, path: str, rows: DataFrame, batch_id: int,
     kept.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/version={batch_id}")
 
 
+def compact_index(spark: SparkSession, path: str, target: str) -> None:
+    """Writes the current rows of an index as one version at ``target``; further syncs may go on from there."""
+    current = _current(_versions(spark, path)).drop("version")
+    current.repartition("bucket").write.partitionBy("bucket").parquet(f"{target}/version=0")
+
+
 def stream_index_sync(stream: DataFrame, pk: str, order: list[str], path: str, checkpoint: str,
                       buckets: int = BUCKETS) -> None:
     """Brings an index table up to date with a change stream and stops."""
     spark = stream.sparkSession
-    run_available(stream, checkpoint, "append", lambda rows, batch_id: upsert_batch(
-        spark, path, rows, batch_id, pk, order, buckets))
+
+    def upsert(rows: DataFrame, batch_id: int) -> None:
+        # Read twice: for the buckets it touches and for its rows.
+        rows.persist()
+        upsert_batch(spark, path, rows, batch_id, pk, order, buckets)
+        rows.unpersist()
+
+    run_available(stream, checkpoint, "append", upsert)
 
 
 def stream_monitor(stream: DataFrame, id_col: str, scorers: list[Scorer], rate: float) -> DataFrame:

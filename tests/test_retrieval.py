@@ -42,7 +42,7 @@ def test_all_paths_equal_brute_force(spark, monkeypatch, path):
     v[17] = v[18] = v[250]
     q, c = frame(spark, v, "query_id"), frame(spark, v)
     if path == "corpus":
-        monkeypatch.setattr(retrieval, "_fits", lambda df, dim: "id" in df.columns)
+        monkeypatch.setattr(retrieval, "_fits", lambda df: "id" in df.columns)
     if path == "blocks":
         out = retrieval.knn_join_blocked(q, c, 7, block_rows=70, exclude_self=True)
     else:

@@ -39,6 +39,17 @@ def test_index_upsert_newest_wins_and_replay_changes_nothing(spark, folder):
         assert read() == {1: 1.5, 2: 2.0, 3: 3.5, 4: 4.0}
 
 
+def test_index_goes_on_after_compaction(spark, folder):
+    read = lambda path: {r["id"]: r["x"] for r in index.read_index(spark, path).collect()}
+    batch = lambda *rows: spark.createDataFrame(list(rows), SCHEMA)
+    index.upsert_batch(spark, folder("a"), batch(row(1, 0, x=1.0), row(2, 0, x=2.0)), 0, "id", ["ts"], buckets=2)
+    index.upsert_batch(spark, folder("a"), batch(row(1, 1, x=1.5)), 1, "id", ["ts"], buckets=2)
+    index.compact_index(spark, folder("a"), folder("b"))
+    assert read(folder("b")) == read(folder("a")) == {1: 1.5, 2: 2.0}
+    index.upsert_batch(spark, folder("b"), batch(row(2, 5, x=9.0)), 2, "id", ["ts"], buckets=2)
+    assert read(folder("b")) == {1: 1.5, 2: 9.0}
+
+
 def test_index_deletes(spark, folder):
     path = folder("index")
     batch = lambda *rows: spark.createDataFrame(list(rows), "id bigint, seq int, gone boolean")
