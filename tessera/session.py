@@ -63,7 +63,7 @@ def pin(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores if it comes in fewer partitions than there are cores.
 
-    For work that is heavy per row on a small input. A large table has more partitions than cores
+    ``df`` must be a plain read. For work that is heavy per row on a small input. A large table has more partitions than cores
     and is left alone, so no shuffle is added there.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism

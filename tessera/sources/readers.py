@@ -9,7 +9,10 @@ from tessera.functions.text import file_name
 from tessera.session import spread
 
 
-def load_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
+def load_table(spark: SparkSession, directory: str | None, name: str) -> DataFrame:
+    """A Parquet table of a directory, or a table of the catalog if there is no directory."""
+    if directory is None:
+        return spark.table(name)
     return spark.read.parquet(f"{directory.rstrip('/')}/{name}.parquet")
 
 

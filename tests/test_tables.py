@@ -133,3 +133,42 @@ def test_accuracy_prefers_the_verdict(spark):
     df = spark.createDataFrame([("a", "a", None), ("a", "b", True), ("a", "a", False), ("a", "b", None)], "p string, t string, v boolean")
     assert evaluation.accuracy(df, "p", "t", "v").first()["accuracy"] == 0.5
     assert evaluation.accuracy(df, "p", "t").first()["accuracy"] == 0.5
+
+
+def test_context_styles(spark):
+    from tessera.operators import documents
+
+    df = spark.createDataFrame([("q", 2, "d2", "two", None), ("q", 1, "d1", "one", "H"), ("r", 1, "d3", "x", "K")],
+                               "q string, rank int, id string, text string, head string")
+    pack = lambda style: {r["q"]: r["context"] for r in documents.context_pack(
+        df, "q", "rank", "id", "text", style, "head", queries=spark.createDataFrame([("q",), ("none",)], "q string")).collect()}
+    assert pack("numbered") == {"q": "[1] Id: d1\nContent: one\n\n---\n[2] Id: d2\nContent: two\n", "none": "INSUFFICIENT_INFORMATION"}
+    assert pack("passage")["q"] == "Passage: one\nPassage: two\n"
+    assert pack("headings")["q"] == "Headings: H, Content: one\n\nHeadings: , Content: two"
+    assert pack("plain")["q"] == "one\n\ntwo"
+    with pytest.raises(ValueError):
+        pack("odd")
+
+
+def test_messages_of_typed_parts(spark):
+    from tessera.operators import documents
+
+    part = "array<struct<type string, text string>>"
+    df = spark.createDataFrame([(1, "plain", None), (2, None, [("text", "a"), ("image", "z"), ("text", None), ("text", "b")])],
+                               f"id int, content string, parts {part}")
+    got = {r["id"]: r["m"] for r in df.select("id", documents.message_text(F.col("content"), F.col("parts")).alias("m")).collect()}
+    assert got == {1: "plain", 2: "a  b"}
+
+
+def test_long_conversations_come_in_parts(spark):
+    from tessera.operators import documents
+
+    df = spark.range(25).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.lit("user").alias("role"), F.col("id").cast("string").alias("text"))
+    rows = documents.transcript(df, part_turns=10).orderBy("part").collect()
+    assert [r["transcript"].count("user: ") for r in rows] == [10, 10, 5]
+    assert "\n".join(r["transcript"] for r in rows) == "\n".join(f"user: {i}" for i in range(25))
+
+
+def test_catalog_table(spark):
+    spark.range(3).createOrReplaceTempView("three_rows")
+    assert readers.load_table(spark, None, "three_rows").count() == 3
