@@ -200,17 +200,21 @@ def q_nearest_rank(spark, sf):
     return agg.nearest_rank_percentile(load_table(spark, sf, "events"), ["event_type"], "value", [0.5, 0.95, 0.99])
 
 
-@query("spill_flags", """
-SELECT event_type, user_id % 7 AS model, round(avg(value), 2) AS mean_hit,
-       round(avg(CAST(json_extract_string(props, '$.k') AS DOUBLE) / 50), 2) AS mean_read,
-       round(max(CAST(json_extract_string(props, '$.k') AS DOUBLE) / 50), 2) AS max_read,
-       round(avg(CAST(json_extract_string(props, '$.k') AS DOUBLE) / 50), 2) > 1.0 AS spilled
-FROM events GROUP BY 1, 2""")
+# Whole numbers, so that the mean is the same in any order of rows; two digits, half up.
+MEAN_SQL = "CAST((200 * sum({c}) + count(*)) // (2 * count(*)) AS DOUBLE) / 100"
+
+
+@query("spill_flags", f"""
+WITH e AS (SELECT event_type, user_id % 7 AS model, CAST(json_extract_string(props, '$.k') AS BIGINT) AS hit FROM events)
+SELECT event_type, model, {MEAN_SQL.format(c='hit')} AS mean_hit, {MEAN_SQL.format(c='(hit % 3)')} AS mean_read,
+       CAST(max(hit % 3) AS DOUBLE) AS max_read, {MEAN_SQL.format(c='(hit % 3)')} > 1.0 AS spilled
+FROM e GROUP BY 1, 2""")
 def q_spill_flags(spark, sf):
+    hit = F.get_json_object("props", "$.k").cast("bigint")
     rows = load_table(spark, sf, "events").select(
-        "event_type", (F.col("user_id") % 7).alias("model"), "value",
-        (F.get_json_object("props", "$.k").cast("double") / 50).alias("blocks"))
-    return agg.spill_flags(rows, ["event_type", "model"], "value", "blocks")
+        "event_type", (F.col("user_id") % 7).alias("model"), hit.cast("double").alias("hit"),
+        (hit % 3).cast("double").alias("read"))
+    return agg.spill_flags(rows, ["event_type", "model"], "hit", "read")
 
 
 @query("load_test_summary", """

@@ -15,7 +15,7 @@ from tessera.streaming import index, sources, state, windows
 def event_stream(spark, sf):
     fit_local(spark)
     schema = load_table(spark, sf, "events").schema
-    return sources.event_time(sources.stream_file_ingest(spark, sf, schema, "events.parquet"), "ts")
+    return sources.event_time(sources.stream_table(spark, sf, "events", schema), "ts")
 
 
 def closed_event_stream(spark, sf):
@@ -64,7 +64,7 @@ SELECT doc_id, CASE WHEN len(regexp_extract_all(text, '[0-9]{16}')) > 0 THEN tru
 FROM documents WHERE CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0 < 0.5""")
 def q_monitor(spark, sf):
     schema = load_table(spark, sf, "documents").schema
-    stream = sources.stream_file_ingest(spark, sf, schema, "documents.parquet")
+    stream = sources.stream_table(spark, sf, "documents", schema)
     scorers = [Scorer("has_card", "bool", lambda: F.regexp_like("text", F.lit("[0-9]{16}"))),
                Scorer("chars", "num", lambda: F.char_length("text"))]
     out = scratch_path(spark, "scores")

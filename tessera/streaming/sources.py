@@ -21,6 +21,12 @@ def stream_file_ingest(spark: SparkSession, path: str, schema: StructType | str,
     return reader.load(path)
 
 
+def stream_table(spark: SparkSession, directory: str, name: str, schema: StructType | str) -> DataFrame:
+    """A Parquet table of a directory as a stream, whether it is one file or a folder of files."""
+    # A pattern stands for both; a plain path to one file is refused.
+    return stream_file_ingest(spark, f"{directory.rstrip('/')}/{{{name}.parquet}}", schema)
+
+
 def event_time(df: DataFrame, ts: str) -> DataFrame:
     """Event time as a timestamp with time zone: watermarks reject the type without."""
     return df.withColumn(ts, F.col(ts).cast("timestamp"))
