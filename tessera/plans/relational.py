@@ -455,11 +455,11 @@ def q_order_limit(spark, sf):
 
 
 @query("sort_by_delta", """
-SELECT s_suppkey, round(avg(l_tax - l_discount), 6) AS delta FROM supplier LEFT JOIN lineitem ON s_suppkey = l_suppkey
+SELECT s_suppkey, round(avg(l_tax - l_discount), 9) AS delta FROM supplier LEFT JOIN lineitem ON s_suppkey = l_suppkey
 GROUP BY 1 ORDER BY delta NULLS LAST, s_suppkey""")
 def q_sort_by_delta(spark, sf):
     gaps = load_table(spark, sf, "lineitem").groupBy("l_suppkey").agg(
-        F.round(F.avg(F.col("l_tax") - F.col("l_discount")), 6).alias("delta"))
+        F.round(F.avg(F.col("l_tax") - F.col("l_discount")), 9).alias("delta"))
     suppliers = load_table(spark, sf, "supplier").select("s_suppkey")
     joined = suppliers.join(gaps, suppliers.s_suppkey == gaps.l_suppkey, "left").select("s_suppkey", "delta")
     return ranking.sort_by_delta(joined, "delta", "s_suppkey")
