@@ -28,7 +28,7 @@ def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load_table(spark, sf_dir, "documents").select("doc_id", "text")
     path = scratch_path(spark, "tokens")
     token_files.write_tokens(docs, path, public_tokenizers.path("byte_bpe_50k.json"))
-    return token_files.with_crc(token_files.read_tokens(spark, path))
+    return token_files.token_digest(spark, path)
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,26 +4,28 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-#: Pieces that one task keeps with their ids.
-MEMO = 300_000
-#: A space before a visible character: the byte-level pattern always starts a piece there, so the cut changes no id.
-CUT = re.compile(r" (?=\S)")
+#: Pieces in each of the two generations that a Python worker keeps with their ids, over all its tasks.
+MEMO = 250_000
+#: Stands for a line feed in the key of a piece; a text that holds it is encoded in one call.
+MARK = "\x00"
 
 
 class Encoder:
-    """Ids of whole texts. With the byte-level pattern a text is cut at spaces and every different piece is encoded once.
+    """Ids of whole texts. With the byte-level pattern, words are encoded once and put together.
 
-    Any other tokenizer, and a text that holds one of its special strings, is encoded in one call.
+    The pattern starts a piece at every space before a visible character, and a lone line feed is a piece of its own. So where all white
+    space is single spaces and line feeds inside the text, the ids of the words follow each other. Any other text, a text
+    with a special string and every text of another kind of tokenizer is encoded in one call. Words used lately are kept, in two
+    generations of bounded size.
     """
 
     def __init__(self, path: str) -> None:
@@ -34,22 +36,55 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
-        self.by_piece = (pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
-                         and not spec.get("normalizer"))
+        self.feed = self._ids("\n")
+        self.by_word = (pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+                        and not spec.get("normalizer") and len(self.feed) == 1)
         self.special = [t["content"] for t in spec.get("added_tokens") or []]
-        self.memo: dict[str, list[int]] = {}
-
-    def encode(self, text: str) -> np.ndarray:
-        if not self.by_piece or any(s in text for s in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
-        head, *pieces = CUT.split(text)
-        new = list(set(pieces).difference(self.memo))
-        if len(self.memo) + len(new) > MEMO:
-            self.memo, new = {}, list(set(pieces))
-        if new:
-            self.memo.update(zip(new, (e.ids for e in self.tokenizer.encode_batch([" " + p for p in new], add_special_tokens=False))))
-        first = self.tokenizer.encode(head, add_special_tokens=False).ids if head else []
-        return np.fromiter(chain(first, chain.from_iterable(map(self.memo.__getitem__, pieces))), np.int32)
+        self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
+
+    def _pieces(self, text: str) -> list[str] | None:
+        words = text.split() if self.by_word else []
+        single = sum(map(len, words)) + len(words) - 1 == len(text) and text.count(" ") + text.count("\n") == len(words) - 1
+        if not words or not single or MARK in text or any(s in text for s in self.special):
+            return None
+        return (MARK + text.replace("\n", " " + MARK)).split(" ")
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        cut = [self._pieces(t) for t in texts]
+        seen = set().union(*(c for c in cut if c))
+        if len(self.memo) > MEMO:
+            self.older, self.memo = self.memo, {}
+        missing = seen.difference(self.memo)
+        known = [p for p in missing if p in self.older]
+        self.memo.update((p, self.older[p]) for p in known)
+        missing.difference_update(known)
+        new = list(missing)
+        for at in range(0, len(new), 5_000):
+            self._learn(new[at:at + 5_000])
+        find = self.memo.__getitem__
+        return [self._ids(t) if c is None else np.frombuffer(b"".join(map(find, c)), np.int32)[1:] for t, c in zip(texts, cut)]
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Encodes pieces as the lines of one text, once after a line feed and once after a space."""
+        feed = self.feed.tobytes()
+        for group, lead, first in (([p for p in pieces if p[0] == MARK], "", feed), ([p for p in pieces if p[0] != MARK], " ", b"")):
+            if group:
+                ids = self._ids("\n".join(lead + p.removeprefix(MARK) for p in group))
+                cuts = (4 * np.flatnonzero(ids == self.feed[0])).tolist()
+                if len(cuts) != len(group) - 1:
+                    raise AssertionError("lines do not match pieces")
+                raw = ids.tobytes()
+                self.memo.update((p, first + raw[i + 4:j]) for p, i, j in zip(group, [-4, *cuts], [*cuts, len(raw)]))
+
+
+@cache
+def encoder(path: str) -> Encoder:
+    """The worker's encoder; it goes from task to task with its words."""
+    return Encoder(path)
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
@@ -71,12 +106,12 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, id_col: str =
     ordered = rows.repartitionByRange(*names, "_h").sortWithinPartitions(*names, "_h", "text").select("doc_id", "text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, before = Encoder(tokenizer_path), TaskContext.get().partitionId(), 0
+        part, before = TaskContext.get().partitionId(), 0
         end = np.array([end_id], np.int32)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 piece = batch.slice(at, 500)
-                ids = [np.concatenate([encoder.encode(t.as_py()), end]) for t in piece.column("text")]
+                ids = [np.append(x, end) for x in encoder(tokenizer_path).encode(piece.column("text").to_pylist())]
                 sizes = np.fromiter(map(len, ids), np.int64, len(ids))
                 ends = before + np.cumsum(sizes)
                 lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.array(np.concatenate(ids)))
@@ -91,19 +126,20 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, id_col: str =
     writer.option("parquet.block.size", str(row_group_bytes)).option("parquet.page.row.count.limit", str(page_rows)).parquet(path)
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, tokens): the written rows with ``start``, the number of ids in all documents before.
+def _starts(rows: DataFrame) -> DataFrame:
+    """(part, before): ids in all earlier parts, from the metadata columns; as many rows as there were writing tasks."""
+    sums = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    return F.broadcast(sums.selectExpr("part", "sum(n) over (order by part) - n as before"))
 
-    ``start`` needs only the metadata columns: one sum per part, as many rows as there were tasks.
-    """
+
+def read_tokens(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, start, n_tokens, tokens): the written rows with ``start``, the number of ids in all documents before."""
     rows = spark.read.parquet(path)
-    sums = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"))
-    before = sums.selectExpr("part", "sum(n) over (order by part) - n as before")
-    return rows.join(before, "part").select("doc_id", (F.col("before") + F.col("local_start")).alias("start"), "n_tokens", "tokens")
+    return rows.join(_starts(rows), "part").select("doc_id", (F.col("before") + F.col("local_start")).alias("start"), "n_tokens", "tokens")
 
 
-def with_crc(tokens: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of read token lists; ids count as little-endian unsigned 32-bit integers."""
+def token_digest(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of the written rows; ids count as little-endian unsigned 32-bit integers."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,7 +148,9 @@ def with_crc(tokens: DataFrame) -> DataFrame:
             ids = lists.values.to_numpy(zero_copy_only=False).astype("<u4")
             crcs = pa.array([zlib.crc32(ids[i:j]) for i, j in zip(offsets, offsets[1:])], pa.int64())
             sizes = pa.array(np.diff(offsets).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), sizes, crcs],
-                                             names=["doc_id", "start", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("doc_id"), batch.column("local_start"), sizes, crcs],
+                                             names=["part", "doc_id", "local_start", "n_tokens", "ids_crc32"])
 
-    return tokens.select("doc_id", "start", "tokens").mapInArrow(work, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    rows = spark.read.parquet(path)
+    digests = rows.select("part", "doc_id", "local_start", "tokens").mapInArrow(work, "part int, doc_id bigint, local_start bigint, n_tokens bigint, ids_crc32 bigint")
+    return digests.join(_starts(rows), "part").select("doc_id", (F.col("before") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")

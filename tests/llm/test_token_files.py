@@ -21,10 +21,11 @@ def test_pieces_give_the_ids_of_whole_texts():
     rng = random.Random(4)
     parts = ["the", "Haus", "ñ", "it's", " ", "  ", "\n", "\t", "\u00a0", "\u2003", "\x1c", "12", "!?", "日本", "'ll", "\r\n", "<|endoftext|>", "a" * 300, "\u180e", "\ufeff", "\x85", "😀"]
     encoder = token_files.Encoder(PATH)
-    assert encoder.by_piece
-    for _ in range(3000):
-        text = "".join(rng.choice(parts) + rng.choice(["", " ", " "]) for _ in range(rng.randrange(12)))
-        assert encoder.encode(text).tolist() == plain(text), repr(text)
+    assert encoder.by_word
+    texts = ["".join(rng.choice(parts) + rng.choice(["", " ", " "]) for _ in range(rng.randrange(12))) for _ in range(3000)]
+    texts += [" ".join(rng.choices(["a", "the", "Haus.", "x\ny", "日本"], k=rng.randrange(1, 9))) for _ in range(500)]
+    for text, ids in zip(texts, encoder.encode(texts)):
+        assert ids.tolist() == plain(text), repr(text)
 
 
 def test_memo_is_bounded():
@@ -32,16 +33,18 @@ def test_memo_is_bounded():
     try:
         encoder = token_files.Encoder(PATH)
         for i in range(30):
-            text = " ".join(f"w{j}" for j in range(i, i + 8))
-            assert encoder.encode(text).tolist() == plain(text)
-            assert len(encoder.memo) <= 20
+            text = " ".join(f"w{j}" for j in range(i, i + 8)) + "\nend"
+            assert encoder.encode([text])[0].tolist() == plain(text)
+            assert len(encoder.memo) <= 30 and len(encoder.older) <= 30
     finally:
         token_files.MEMO = old
 
 
 def check(spark, frame, rows, folder):
     token_files.write_tokens(frame, folder, PATH)
-    got = [tuple(r) for r in token_files.with_crc(token_files.read_tokens(spark, folder)).orderBy("start").collect()]
+    read = {(r["doc_id"], r["start"]): r["tokens"] for r in token_files.read_tokens(spark, folder).collect()}
+    assert sorted(map(tuple, read.values())) == sorted((*plain(t), 0) for _, t in rows)
+    got = [tuple(r) for r in token_files.token_digest(spark, folder).orderBy("start").collect()]
     want, at = [], 0
     texts = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
     assert [g[0] for g in got] == [r[0] for r in texts]
@@ -61,7 +64,7 @@ def test_round_trip(spark, docs, folder):
 
 def test_empty(spark, docs, folder):
     token_files.write_tokens(docs([]), folder("e"), PATH)
-    assert token_files.with_crc(token_files.read_tokens(spark, folder("e"))).count() == 0
+    assert token_files.token_digest(spark, folder("e")).count() == 0
 
 
 def test_files_are_encoded_as_stated(docs, folder, tmp_path):
