@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.llm import language, licenses, lines, mixing, simhash, token_files, urls
+from tessera.llm import decontaminate, forest, hmm, language, licenses, lines, mixing, simhash, token_files, urls
 from tessera.session import scratch_path
 from tessera.sources.readers import load_table
 
@@ -22,6 +22,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (_crc_mod(5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.nearest_neighbours(load_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -31,6 +35,12 @@ def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digest(spark, path)
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.with_matches(docs, load_table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.item_id", "m.score", "m.overlap")
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(load_table(spark, sf_dir, "documents"))
 
@@ -39,6 +49,12 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(load_table(spark, sf_dir, "documents"))
 
 
+def op7_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load_table(spark, sf_dir, "documents")
+    scored = hmm.score_texts(docs, F.coalesce(_crc_mod(7) != 2, F.lit(True)))
+    return scored.select("doc_id", (~F.col("is_training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load_table(spark, sf_dir, "documents")
     docs = docs.select("doc_id", "text", F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("row"))
@@ -105,5 +121,5 @@ from page left join page_rule using (page_id) left join alias on alias.node = pa
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_language_id, op3_token_ids, op5_license_scan, op6_simhash, op8_line_dedup, op9_mixing, op10_url_filter)}
+    op1_language_id, op2_nearest, op3_token_ids, op4_decontamination, op5_license_scan, op6_simhash, op7_hmm_score, op8_line_dedup, op9_mixing, op10_url_filter)}
 ORACLES = {"op8_line_dedup": OP8_SQL, "op10_url_filter": OP10_SQL}
