@@ -46,34 +46,37 @@ class Encoder:
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
 
-    def _pieces(self, text: str) -> list[str] | None:
-        words = text.split() if self.by_word else []
-        single = sum(map(len, words)) + len(words) - 1 == len(text) and text.count(" ") + text.count("\n") == len(words) - 1
-        if not words or not single or MARK in text or any(s in text for s in self.special):
-            return None
-        return (MARK + text.replace("\n", " " + MARK)).split(" ")
-
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [self._pieces(t) for t in texts]
-        seen = set().union(*(c for c in cut if c))
+        whole = [not self.by_word or not t or MARK in t or any(s in t for s in self.special) for t in texts]
+        cut = [[] if w else (MARK + t.replace("\n", " " + MARK)).split(" ") for t, w in zip(texts, whole)]
         if len(self.memo) > MEMO:
             self.older, self.memo = self.memo, {}
-        missing = seen.difference(self.memo)
-        known = [p for p in missing if p in self.older]
-        self.memo.update((p, self.older[p]) for p in known)
-        missing.difference_update(known)
-        new = list(missing)
-        for at in range(0, len(new), 5_000):
-            self._learn(new[at:at + 5_000])
+        missing = set().union(*cut).difference(self.memo)
+        # empty pieces and those with other white space mark the texts to encode in one call
+        odd = {p for p in missing if p not in self.older and (p == MARK or p.split() != [p])}
+        if odd:
+            whole = [w or not odd.isdisjoint(c) for w, c in zip(whole, cut)]
+        self._recall(missing - odd)
         find = self.memo.__getitem__
-        return [self._ids(t) if c is None else np.frombuffer(b"".join(map(find, c)), np.int32)[1:] for t, c in zip(texts, cut)]
+        return [self._ids(t) if w else np.frombuffer(b"".join(map(find, c)), np.int32)[1:] for t, w, c in zip(texts, whole, cut)]
+
+    def _recall(self, pieces: set[str]) -> None:
+        """Fills the memo. The pattern also starts a piece where punctuation follows a letter, so such a word is put together."""
+        older, memo = self.older, self.memo
+        new = {p for p in pieces if p not in older}
+        memo.update((p, older[p]) for p in pieces.difference(new))
+        ends = {p: stem for p in new if (stem := p.rstrip(".,!?;:")) != p and stem[-1:].isalpha() and stem[-1] < "\u0250"}
+        parts = new.difference(ends).union(ends.values(), (MARK + p[len(stem):] for p, stem in ends.items())).difference(memo)
+        memo.update((p, older[p]) for p in parts if p in older)
+        self._learn(list(parts.difference(memo)))
+        memo.update((p, memo[stem] + memo[MARK + p[len(stem):]][4:]) for p, stem in ends.items())
 
     def _learn(self, pieces: list[str]) -> None:
         """Encodes pieces as the lines of one text, once after a line feed and once after a space."""
         feed = self.feed.tobytes()
         for group, lead, first in (([p for p in pieces if p[0] == MARK], "", feed), ([p for p in pieces if p[0] != MARK], " ", b"")):
             if group:
-                ids = self._ids("\n".join(lead + p.removeprefix(MARK) for p in group))
+                ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(lead + p.removeprefix(MARK) for p in group)], add_special_tokens=False)[0].ids, np.int32)
                 cuts = (4 * np.flatnonzero(ids == self.feed[0])).tolist()
                 if len(cuts) != len(group) - 1:
                     raise AssertionError("lines do not match pieces")
