@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -54,46 +55,39 @@ def count_words(texts: DataFrame, classes: int) -> DataFrame:
     return texts.select("raw").mapInArrow(work, "word binary, class int, n bigint").groupBy("word", "class").agg(F.sum("n").alias("n"))
 
 
-@dataclass
 class Lexicon:
-    """What tasks know of the words: the most frequent ones with number and count, and the totals of the word classes."""
+    """What tasks know of the words: the most frequent ones in order, as (word, class, count), and the totals of the word classes.
+
+    Symbols are the first ``own`` words, the classes of all other words, and the end.
+    """
 
-    counts: dict[bytes, tuple[int, int]]
-    own: int
-    classes: int
-    ends: int
-    tokens: int
-    distinct: int
-    log_class: np.ndarray
+    def __init__(self, top: list[tuple[bytes, int, int]], own: int, log_class: np.ndarray, ends: int) -> None:
+        self.numbers = {w: i for i, (w, _, _) in enumerate(top)}
+        self.own, self.classes, self.ends, self.log_class = own, len(log_class), ends, log_class
+        self.logs = np.log10(np.array([n for _, _, n in top], np.float64) + 1)
+        kinds = np.array([c for _, c, _ in top], np.int32)
+        first = np.arange(len(top)) < own
+        self.symbol_of = np.where(first, np.arange(len(top)), own + kinds).astype(np.int32)
+        self.inside_of = np.where(first, 0.0, self.logs - log_class[kinds])
 
     @property
     def symbols(self) -> int:
-        """The first ``own`` words, the classes of all other words, and the end."""
         return self.own + self.classes + 1
 
     def encode(self, raw: bytes | None) -> tuple[np.ndarray, int, float, float, Counter]:
         """(symbols with the end, known tokens, sum of log10 (count + 1), the same for class words less their class totals, other words)."""
         words = words_of(raw)
-        out, known, base, inside, others = np.empty(len(words) + 1, np.int32), 0, 0.0, 0.0, Counter()
+        found = np.fromiter(map(self.numbers.get, words, repeat(-1)), np.int32, len(words))
+        out = np.empty(len(words) + 1, np.int32)
         out[-1] = self.own + self.classes
-        kinds: dict[bytes, int] = {}
-        for word, times in Counter(words).items():
-            number, n = self.counts.get(word, (-1, 0))
-            if 0 <= number < self.own:
-                kinds[word] = number
-            else:
-                c = word_class(word, self.classes)
-                kinds[word] = self.own + c
-                inside += times * ((np.log10(n + 1) if n else 0.0) - self.log_class[c])
-            if n:
-                known += times
-                base += times * np.log10(n + 1)
-            else:
-                others[word] = times
-        out[:-1] = [kinds[w] for w in words]
-        if self.ends:
-            known += 1
-        return out, known, float(base + np.log10(self.ends + 1)), float(inside), others
+        new = np.flatnonzero(found < 0)
+        known = found[found >= 0]
+        out[:-1][found >= 0] = self.symbol_of[known]
+        others = Counter(words[i] for i in new)
+        kinds = {w: word_class(w, self.classes) for w in others}
+        out[new] = [self.own + kinds[words[i]] for i in new]
+        inside = float(self.inside_of[known].sum()) - sum(n * float(self.log_class[kinds[w]]) for w, n in others.items())
+        return out, len(known) + (self.ends > 0), float(self.logs[known].sum() + np.log10(self.ends + 1)), inside, others
 
 
 @dataclass
@@ -219,7 +213,7 @@ def score_texts(docs: DataFrame, is_training: Column, id_col: str = "doc_id", te
     and the end; a word has (count + 1) / (words + different words + 1) of its class. ``score`` is the log10 probability of the whole
     token sequence, a proper distribution over texts; ``base_score`` the sum of log10 ((count + 1) / (N + V + 1)) of the unigram counts.
 
-    All counts come from the rows with ``is_training`` (null counts as false). The ``sent_words`` most frequent words (of at most 64 bytes) go to every task; other
+    All counts come from the rows with ``is_training`` (null counts as false). The most frequent words (of at most 64 bytes, in steps of equal log count, ``sent_words`` at most) go to every task; other
     words are joined with their counts by word, after they are summed per text. A null or empty text has the end only. Without training rows every token has count 0.
     Repeated rows stay; other columns are ignored.
     """
@@ -229,14 +223,21 @@ def score_texts(docs: DataFrame, is_training: Column, id_col: str = "doc_id", te
     counts = pin(count_words(rows.where("train"), classes))
     ends = rows.where("train").count()
     per_class = {r["class"]: (r["n"], r["v"]) for r in counts.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
-    listed = counts.where(F.length("word") <= SENT_BYTES).orderBy(F.desc("n"), "word").limit(sent_words).select("word", "class", "n").collect()
-    top = [(bytes(r["word"]), r["class"], r["n"]) for r in listed]
+    short = counts.where(F.length("word") <= SENT_BYTES).withColumn("step", F.floor(F.log2("n") * 16))
+    least, room = None, sent_words
+    for r in sorted(short.groupBy("step").count().collect(), key=lambda r: -r["step"]):
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["step"]
+    listed = short.where(F.col("step") >= F.lit(least)).select("word", "class", "n").collect()
+    top = sorted(((bytes(r["word"]), r["class"], r["n"]) for r in listed), key=lambda x: (-x[2], x[0]))
     for word, c, n in top[:own_words]:
         per_class[c] = (per_class[c][0] - n, per_class[c][1] - 1)
     tokens = sum(n for n, _ in per_class.values()) + sum(n for _, _, n in top[:own_words]) + ends
     distinct = sum(v for _, v in per_class.values()) + len(top[:own_words]) + (ends > 0)
     log_class = np.array([np.log10(sum(per_class.get(c, (0, 0))) + 1) for c in range(classes)])
-    lexicon = Lexicon({w: (i, n) for i, (w, _, n) in enumerate(top)}, min(own_words, len(top)), classes, ends, tokens, distinct, log_class)
+    lexicon = Lexicon(top, min(own_words, len(top)), log_class, ends)
     sent = spark.sparkContext.broadcast(lexicon)
     entry = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int32())]))
 
