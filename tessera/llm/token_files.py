@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Pieces in each of the two generations that a Python worker keeps with their ids, over all its tasks.
-MEMO = 250_000
+MEMO = 200_000
 #: Stands for a line feed in the key of a piece; a text that holds it is encoded in one call.
 MARK = "\x00"
 
@@ -66,14 +66,16 @@ class Encoder:
         new = {p for p in pieces if p not in older}
         memo.update((p, older[p]) for p in pieces.difference(new))
         ends = {p: stem for p in new if (stem := p.rstrip(".,!?;:")) != p and stem[-1:].isalpha() and stem[-1] < "\u0250"}
-        parts = new.difference(ends).union(ends.values(), (MARK + p[len(stem):] for p, stem in ends.items())).difference(memo)
-        memo.update((p, older[p]) for p in parts if p in older)
-        self._learn(list(parts.difference(memo)))
-        memo.update((p, memo[stem] + memo[MARK + p[len(stem):]][4:]) for p, stem in ends.items())
-
-    def _learn(self, pieces: list[str]) -> None:
+        parts = set(ends.values()).union(MARK + p[len(stem):] for p, stem in ends.items())
+        known = {p: old for p in parts if (old := memo.get(p) or older.get(p))}
+        learnt = self._learn(list(new.difference(ends).union(parts).difference(known)))
+        memo.update((p, learnt[p]) for p in new.difference(ends))
+        known.update(learnt)
+        memo.update((p, known[stem] + known[MARK + p[len(stem):]][4:]) for p, stem in ends.items())
+
+    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
         """Encodes pieces as the lines of one text, once after a line feed and once after a space."""
-        feed = self.feed.tobytes()
+        feed, out = self.feed.tobytes(), {}
         for group, lead, first in (([p for p in pieces if p[0] == MARK], "", feed), ([p for p in pieces if p[0] != MARK], " ", b"")):
             if group:
                 ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(lead + p.removeprefix(MARK) for p in group)], add_special_tokens=False)[0].ids, np.int32)
@@ -81,7 +83,8 @@ class Encoder:
                 if len(cuts) != len(group) - 1:
                     raise AssertionError("lines do not match pieces")
                 raw = ids.tobytes()
-                self.memo.update((p, first + raw[i + 4:j]) for p, i, j in zip(group, [-4, *cuts], [*cuts, len(raw)]))
+                out.update((p, first + raw[i + 4:j]) for p, i, j in zip(group, [-4, *cuts], [*cuts, len(raw)]))
+        return out
 
 
 @cache
