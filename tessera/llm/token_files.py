@@ -56,22 +56,25 @@ class Encoder:
         odd = {p for p in missing if p not in self.older and (p == MARK or p.split() != [p])}
         if odd:
             whole = [w or not odd.isdisjoint(c) for w, c in zip(whole, cut)]
-        self._recall(missing - odd)
+        passing = self._recall(missing - odd)
         find = self.memo.__getitem__
-        return [self._ids(t) if w else np.frombuffer(b"".join(map(find, c)), np.int32)[1:] for t, w, c in zip(texts, whole, cut)]
+        out = [self._ids(t) if w else np.frombuffer(b"".join(map(find, c)), np.int32)[1:] for t, w, c in zip(texts, whole, cut)]
+        for p in passing:
+            del self.memo[p]
+        return out
+
+    def _recall(self, pieces: set[str]) -> list[str]:
+        """Fills the memo; returns the pieces that need not stay.
 
-    def _recall(self, pieces: set[str]) -> None:
-        """Fills the memo. The pattern also starts a piece where punctuation follows a letter, so such a word is put together."""
+        The pattern also starts a piece where punctuation follows a letter, so such a word is put together for the time being.
+        """
         older, memo = self.older, self.memo
-        new = {p for p in pieces if p not in older}
-        memo.update((p, older[p]) for p in pieces.difference(new))
-        ends = {p: stem for p in new if (stem := p.rstrip(".,!?;:")) != p and stem[-1:].isalpha() and stem[-1] < "\u0250"}
-        parts = set(ends.values()).union(MARK + p[len(stem):] for p, stem in ends.items())
-        known = {p: old for p in parts if (old := memo.get(p) or older.get(p))}
-        learnt = self._learn(list(new.difference(ends).union(parts).difference(known)))
-        memo.update((p, learnt[p]) for p in new.difference(ends))
-        known.update(learnt)
-        memo.update((p, known[stem] + known[MARK + p[len(stem):]][4:]) for p, stem in ends.items())
+        ends = {p: stem for p in pieces if (stem := p.rstrip(".,!?;:")) != p and stem[-1:].isalpha() and stem[-1] < "\u0250"}
+        parts = pieces.difference(ends).union(ends.values(), (MARK + p[len(stem):] for p, stem in ends.items())).difference(memo)
+        memo.update((p, older[p]) for p in parts if p in older)
+        memo.update(self._learn(list(parts.difference(memo))))
+        memo.update((p, memo[stem] + memo[MARK + p[len(stem):]][4:]) for p, stem in ends.items())
+        return list(ends)
 
     def _learn(self, pieces: list[str]) -> dict[str, bytes]:
         """Encodes pieces as the lines of one text, once after a line feed and once after a space."""
