@@ -72,8 +72,9 @@ def text_topk(corpus: DataFrame, text: str | None, k: int, model: ModelFactory |
     return vector_topk(rows, query_vector(text, model), k, **kw)
 
 
-def scan_all(corpus: DataFrame, n: int, id_col: str = "id") -> DataFrame:
-    return corpus.orderBy(id_col).limit(n)
+def scan_all(corpus: DataFrame, id_col: str = "id") -> DataFrame:
+    """Every row of an index in id order, for an export."""
+    return corpus.orderBy(id_col)
 
 
 # ---------------------------------------------------------------- k nearest rows for a table of queries

@@ -86,9 +86,9 @@ def q_text_topk(spark, sf):
     return retrieval.text_topk(corpus, QUESTION, 10, HashedEmbedder(DIM), id_col="doc_id", columns=["source"])
 
 
-@query("scan_all", "SELECT vec_id AS id, label FROM embeddings ORDER BY vec_id LIMIT 1000")
+@query("scan_all", "SELECT vec_id AS id, label FROM embeddings")
 def q_scan_all(spark, sf):
-    return retrieval.scan_all(vectors(spark, sf).select("id", "label"), 1000)
+    return retrieval.scan_all(vectors(spark, sf).select("id", "label"))
 
 
 @query("keyword_topk", f"""
