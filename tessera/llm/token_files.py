@@ -14,10 +14,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Pieces in each of the two generations that a Python worker keeps with their ids, over all its tasks.
-MEMO = 200_000
+MEMO = 400_000
 #: Stands for a line feed in the key of a piece; a text that holds it is encoded in one call.
 MARK = "\x00"
 
+#: How a byte-level vocabulary writes the bytes that are not visible characters: from U+0100 on, in order.
+BYTE_CHARS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
+SPACE = BYTE_CHARS.pop(ord(" "))
+#: Line feeds stay, as they part the words.
+del BYTE_CHARS[ord("\n")]
+
 
 class Encoder:
     """Ids of whole texts. With the byte-level pattern, words are encoded once and put together.
@@ -40,6 +46,19 @@ class Encoder:
         self.by_word = (pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
                         and not spec.get("normalizer") and len(self.feed) == 1)
         self.special = [t["content"] for t in spec.get("added_tokens") or []]
+        model = spec.get("model") or {}
+        self.letters = None
+        if self.by_word and model.get("type") == "BPE" and not any(model.get(k) for k in ("continuing_subword_prefix", "end_of_word_suffix", "dropout")):
+            from tokenizers.models import BPE
+            from tokenizers.pre_tokenizers import CharDelimiterSplit
+
+            # the memo stands before the model, so its own would only cost time
+            pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+            self.letters = Tokenizer(BPE(model["vocab"], pairs, cache_capacity=0, ignore_merges=bool(model.get("ignore_merges"))))
+            self.letters.pre_tokenizer = CharDelimiterSplit("\n")
+            vocab = self.tokenizer.get_vocab()
+            self.widths = np.zeros(max(vocab.values()) + 1, np.int64)
+            self.widths[list(vocab.values())] = list(map(len, vocab))
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -69,16 +88,34 @@ class Encoder:
         The pattern also starts a piece where punctuation follows a letter, so such a word is put together for the time being.
         """
         older, memo = self.older, self.memo
-        ends = {p: stem for p in pieces if (stem := p.rstrip(".,!?;:")) != p and stem[-1:].isalpha() and stem[-1] < "\u0250"}
+        ends = {p: stem for p in pieces if p[-1] in ".,!?;:" and (stem := p.rstrip(".,!?;:")) and stem[-1:].isalpha() and stem[-1] < "\u0250"}
         parts = pieces.difference(ends).union(ends.values(), (MARK + p[len(stem):] for p, stem in ends.items())).difference(memo)
         memo.update((p, older[p]) for p in parts if p in older)
         memo.update(self._learn(list(parts.difference(memo))))
         memo.update((p, memo[stem] + memo[MARK + p[len(stem):]][4:]) for p, stem in ends.items())
         return list(ends)
 
+    def _learn_words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words of letters alone, each after a space. The pattern does not cut them, so the model gets them as they are.
+
+        Its vocabulary writes bytes as characters; the characters of the ids show where each word ends.
+        """
+        lines = "\n".join(words).encode().decode("latin-1").translate(BYTE_CHARS)
+        ids = np.array(self.letters.encode_batch_fast([SPACE + lines.replace("\n", "\n" + SPACE)], add_special_tokens=False)[0].ids, np.int32)
+        ends = np.cumsum(self.widths[ids])
+        last = np.cumsum(np.fromiter(map(len, lines.split("\n")), np.int64, len(words)) + 1)
+        cuts = np.searchsorted(ends, last)
+        if ends[-1] != last[-1] or (ends[cuts] != last).any():
+            raise AssertionError("ids do not match words")
+        raw, stops = ids.tobytes(), (4 * (cuts + 1)).tolist()
+        return {p: raw[i:j] for p, i, j in zip(words, [0, *stops], stops)}
+
     def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        """Encodes pieces as the lines of one text, once after a line feed and once after a space."""
+        """Encodes pieces as the lines of one text, once after a line feed and once after a space; words of letters go another way."""
         feed, out = self.feed.tobytes(), {}
+        if self.letters and (words := [p for p in pieces if p.isalpha() and (p.isascii() or max(p) < "\u0250")]):
+            out = self._learn_words(words)
+            pieces = [p for p in pieces if p not in out]
         for group, lead, first in (([p for p in pieces if p[0] == MARK], "", feed), ([p for p in pieces if p[0] != MARK], " ", b"")):
             if group:
                 ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(lead + p.removeprefix(MARK) for p in group)], add_special_tokens=False)[0].ids, np.int32)
