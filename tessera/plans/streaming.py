@@ -53,7 +53,7 @@ def q_index_sync(spark, sf):
     """Events as changes of a table of users, one file of changes per batch, files in no time order."""
     events = load_table(spark, sf, "events")
     feed, path, checkpoint = (scratch_path(spark, n) for n in ("feed", "index", "checkpoint"))
-    save_table(events.repartition(4, "event_type"), feed)
+    save_table(events.repartition(4, "event_id"), feed)
     changes = sources.stream_file_ingest(spark, feed, events.schema, files_per_batch=1)
     index.stream_index_sync(changes, "user_id", ["ts", "event_id"], path, checkpoint, buckets=8)
     return index.read_index(spark, path).select("user_id", "event_id", "event_type", "value")
@@ -123,7 +123,7 @@ def q_latest_state(spark, sf):
     fit_local(spark)
     events = load_table(spark, sf, "events")
     feed, out = scratch_path(spark, "feed"), scratch_path(spark, "state")
-    save_table(events.repartition(4, "event_type"), feed)
+    save_table(events.repartition(4, "event_id"), feed)
     stream = sources.stream_file_ingest(spark, feed, events.schema, files_per_batch=1).withColumn(
         "state", F.when(F.col("event_type") == "error", F.lit("DOWN")).otherwise(F.lit("ACTIVE")))
     ready = state.stream_latest_state(stream, "user_id", "state", "event_id", 3)

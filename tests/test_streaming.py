@@ -39,6 +39,19 @@ def test_index_upsert_newest_wins_and_replay_changes_nothing(spark, folder):
         assert read() == {1: 1.5, 2: 2.0, 3: 3.5, 4: 4.0}
 
 
+def test_index_keeps_rows_under_a_new_checkpoint(spark, folder):
+    read = lambda path: {r["id"]: r["x"] for r in index.read_index(spark, path).collect()}
+    batch = lambda *rows: spark.createDataFrame(list(rows), SCHEMA)
+    index.upsert_batch(spark, folder("a"), batch(row(1, 0, x=1.0), row(2, 0, x=2.0)), 0, "id", ["ts"], buckets=2)
+    index.compact_index(spark, folder("a"), folder("b"))
+    for n, x in enumerate((3.0, 4.0)):
+        feed = folder(f"feed{n}")
+        batch(row(3 + n, 0, x=x)).write.parquet(feed)
+        stream = spark.readStream.schema(spark.read.parquet(feed).schema).parquet(feed)
+        index.stream_index_sync(stream, "id", ["ts"], folder("b"), folder(f"checkpoint{n}"), buckets=2)
+    assert read(folder("b")) == {1: 1.0, 2: 2.0, 3: 3.0, 4: 4.0}
+
+
 def test_index_goes_on_after_compaction(spark, folder):
     read = lambda path: {r["id"]: r["x"] for r in index.read_index(spark, path).collect()}
     batch = lambda *rows: spark.createDataFrame(list(rows), SCHEMA)
