@@ -7,7 +7,10 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Digits of a score in a report.
 SCORE_DIGITS = 6
+#: Digits a ranking uses: all but the last, where the order of a sum makes equal vectors differ.
+RANK_DIGITS = 12
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -50,7 +53,7 @@ def cosine_to(vector: list[float]):
 
     @F.arrow_udf("double")
     def score(column: pa.Array) -> pa.Array:
-        return pa.array(np.round(unit_rows(matrix(column, len(target))) @ target, SCORE_DIGITS) + 0.0)
+        return pa.array(np.round(unit_rows(matrix(column, len(target))) @ target, RANK_DIGITS) + 0.0)
 
     return score
 
@@ -69,7 +72,7 @@ class BestMatches:
         """``scores`` is queries x rows; pairs marked in ``hidden`` do not count."""
         if not scores.size:
             return
-        scores = np.round(scores, SCORE_DIGITS) + 0.0
+        scores = np.round(scores, RANK_DIGITS) + 0.0
         if hidden is not None:
             scores[hidden] = -np.inf
         if scores.shape[1] > self.k:

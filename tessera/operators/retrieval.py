@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.core import rows_of
 from tessera.functions.text import tokenize_words
-from tessera.functions.vectors import SCORE_DIGITS, BestMatches, cosine_to, matrix, norm, push_tiles, unit_rows
+from tessera.functions.vectors import RANK_DIGITS, BestMatches, cosine_to, matrix, norm, push_tiles, unit_rows
 from tessera.inference.models import HashedEmbedder, ModelFactory
 from tessera.inference.runner import ai_query
 from tessera.operators.ranking import topk_per_group
@@ -298,7 +298,7 @@ def keyword_scores(corpus: DataFrame, text: str, keep: list[str | Column], colum
         df, tf = stats[f"df_{i}"], F.col("_tf")[i]
         idf = math.log(1 + (stats["n"] - df + 0.5) / (df + 0.5))
         total = total + idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("_len") / F.lit(stats["avg_len"])))
-    return counted.select(*names, F.when(F.col("_tf").isNotNull(), F.round(total, SCORE_DIGITS)).alias("score"))
+    return counted.select(*names, F.when(F.col("_tf").isNotNull(), F.round(total, RANK_DIGITS)).alias("score"))
 
 
 def keyword_topk(corpus: DataFrame, text: str, k: int = 6, id_col: str = "id", column: str = "text",
@@ -363,7 +363,7 @@ def reciprocal_rank_fusion(scored: DataFrame, id_col: str, scores: list[str], k:
             ranks = exact_ranks(scored, s, targets, id_col).select(F.col("id").alias(id_col), F.col("rank").alias(f"_rank_{n}"))
             fused = fused.join(ranks, id_col, "left")
             total = total + F.coalesce(1.0 / (rrf_k + F.col(f"_rank_{n}")), F.lit(0.0))
-    return fused.select(*columns, F.round(total, 9).alias("score")).orderBy(F.col("score").desc(), F.col(id_col)).limit(k)
+    return fused.select(*columns, F.round(total, RANK_DIGITS).alias("score")).orderBy(F.col("score").desc(), F.col(id_col)).limit(k)
 
 
 def hybrid_topk(corpus: DataFrame, text: str, k: int, model: ModelFactory | None = None, condition: Column | None = None,

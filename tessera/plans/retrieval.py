@@ -20,6 +20,11 @@ QUESTION = "the reshen onthe und der"
 VECTORS_SQL = "e AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
 
 
+def shown(df, **digits):
+    """Scores rounded for the report."""
+    return df.withColumns({c: F.round(c, n) for c, n in (digits or {"score": SCORE_DIGITS}).items()})
+
+
 def vectors(spark, sf):
     return load_table(spark, sf, "embeddings").withColumnRenamed("vec_id", "id")
 
@@ -42,24 +47,24 @@ TOPK_SQL = f"""WITH {VECTORS_SQL}
 SELECT id, label, {sqltext.cosine('v', QUERY_SQL)} AS score FROM e"""
 
 
-@query("vector_topk", f"{TOPK_SQL} ORDER BY score DESC, id LIMIT 10")
+@query("vector_topk", sqltext.shown(f"{TOPK_SQL} ORDER BY score DESC, id LIMIT 10", score=6))
 def q_vector_topk(spark, sf):
-    return retrieval.vector_topk(vectors(spark, sf), QUERY, 10, columns=["label"])
+    return shown(retrieval.vector_topk(vectors(spark, sf), QUERY, 10, columns=["label"]))
 
 
-@query("vector_topk_prefilter", f"{TOPK_SQL} WHERE label = 3 ORDER BY score DESC, id LIMIT 10")
+@query("vector_topk_prefilter", sqltext.shown(f"{TOPK_SQL} WHERE label = 3 ORDER BY score DESC, id LIMIT 10", score=6))
 def q_prefilter(spark, sf):
-    return retrieval.vector_topk_prefilter(vectors(spark, sf), QUERY, 10, F.col("label") == 3, columns=["label"])
+    return shown(retrieval.vector_topk_prefilter(vectors(spark, sf), QUERY, 10, F.col("label") == 3, columns=["label"]))
 
 
-@query("vector_topk_postfilter", f"SELECT * FROM ({TOPK_SQL} ORDER BY score DESC, id LIMIT 10) WHERE label = 3")
+@query("vector_topk_postfilter", sqltext.shown(f"SELECT * FROM ({TOPK_SQL} ORDER BY score DESC, id LIMIT 10) WHERE label = 3", score=6))
 def q_postfilter(spark, sf):
-    return retrieval.vector_topk_postfilter(vectors(spark, sf), QUERY, 10, F.col("label") == 3, columns=["label"])
+    return shown(retrieval.vector_topk_postfilter(vectors(spark, sf), QUERY, 10, F.col("label") == 3, columns=["label"]))
 
 
 @query("zero_vector_rule", "SELECT vec_id AS id, 0.0::DOUBLE AS score FROM embeddings ORDER BY vec_id LIMIT 10")
 def q_zero_vector(spark, sf):
-    return retrieval.vector_topk(vectors(spark, sf), [0.0] * DIM, 10)
+    return shown(retrieval.vector_topk(vectors(spark, sf), [0.0] * DIM, 10))
 
 
 @query("embed_text", f"""
@@ -75,15 +80,15 @@ def q_embed_text(spark, sf):
                       F.round(probe, 6).alias("probe"))
 
 
-@query("text_topk", f"""
+@query("text_topk", sqltext.shown(f"""
 WITH {sqltext.embed('d', 'documents', 'doc_id', 'text')},
  {sqltext.embed('q', f"(SELECT 0 AS qid, '{QUESTION}' AS text)", 'qid', 'text')}
 SELECT d.key AS doc_id, source, {sqltext.cosine('d.v', 'q.v')} AS score
-FROM d JOIN documents ON doc_id = d.key, q WHERE lang <> 'fr' ORDER BY score DESC, doc_id LIMIT 10""")
+FROM d JOIN documents ON doc_id = d.key, q WHERE lang <> 'fr' ORDER BY score DESC, doc_id LIMIT 10""", score=6))
 def q_text_topk(spark, sf):
     docs = heavy_table(spark, sf, "documents").where("lang <> 'fr'")
     corpus = retrieval.embed_text(docs, "text", HashedEmbedder(DIM))
-    return retrieval.text_topk(corpus, QUESTION, 10, HashedEmbedder(DIM), id_col="doc_id", columns=["source"])
+    return shown(retrieval.text_topk(corpus, QUESTION, 10, HashedEmbedder(DIM), id_col="doc_id", columns=["source"]))
 
 
 @query("scan_all", "SELECT vec_id AS id, label FROM embeddings")
@@ -91,14 +96,14 @@ def q_scan_all(spark, sf):
     return retrieval.scan_all(vectors(spark, sf).select("id", "label"))
 
 
-@query("keyword_topk", f"""
+@query("keyword_topk", sqltext.shown(f"""
 WITH {sqltext.bm25('b', 'documents', 'doc_id', 'text', QUESTION.split())}
-SELECT key AS doc_id, score, (SELECT count(*) FROM b) AS total FROM b ORDER BY score DESC, key LIMIT 6""")
+SELECT key AS doc_id, score, (SELECT count(*) FROM b) AS total FROM b ORDER BY score DESC, key LIMIT 6""", score=6))
 def q_keyword_topk(spark, sf):
-    return retrieval.keyword_topk(heavy_table(spark, sf, "documents"), QUESTION, 6, "doc_id")
+    return shown(retrieval.keyword_topk(heavy_table(spark, sf, "documents"), QUESTION, 6, "doc_id"))
 
 
-@query("hybrid_topk", f"""
+@query("hybrid_topk", sqltext.shown(f"""
 WITH {sqltext.embed('d', 'documents', 'doc_id', 'text')},
  {sqltext.embed('q', f"(SELECT 0 AS qid, '{QUESTION}' AS text)", 'qid', 'text')},
  {sqltext.bm25('b', 'documents', 'doc_id', 'text', QUESTION.split())},
@@ -106,34 +111,34 @@ WITH {sqltext.embed('d', 'documents', 'doc_id', 'text')},
  sr AS (SELECT key, score, row_number() OVER (ORDER BY score DESC, key) AS r FROM s),
  br AS (SELECT key, score, row_number() OVER (ORDER BY score DESC, key) AS r FROM b)
 SELECT sr.key AS doc_id, sr.score AS vector_score, br.score AS keyword_score,
-       round(1.0 / (60 + sr.r) + coalesce(1.0 / (60 + br.r), 0), 9) AS score
-FROM sr LEFT JOIN br USING (key) ORDER BY 4 DESC, 1 LIMIT 10""")
+       round(1.0 / (60 + sr.r) + coalesce(1.0 / (60 + br.r), 0), 12) AS score
+FROM sr LEFT JOIN br USING (key) ORDER BY 4 DESC, 1 LIMIT 10""", vector_score=6, keyword_score=6, score=9))
 def q_hybrid(spark, sf):
     corpus = retrieval.embed_text(heavy_table(spark, sf, "documents").select("doc_id", "text"), "text", HashedEmbedder(DIM))
-    return retrieval.hybrid_topk(corpus, QUESTION, 10, HashedEmbedder(DIM), id_col="doc_id")
+    return shown(retrieval.hybrid_topk(corpus, QUESTION, 10, HashedEmbedder(DIM), id_col="doc_id"), vector_score=6, keyword_score=6, score=9)
 
 
-@query("knn_join", f"""
+@query("knn_join", sqltext.shown(f"""
 WITH {MEANS_SQL}
 SELECT query_id, e.id, {sqltext.cosine('q.v', 'e.v')} AS score,
        CAST(row_number() OVER (PARTITION BY query_id ORDER BY {sqltext.cosine('q.v', 'e.v')} DESC, e.id) AS INTEGER) AS rank
-FROM q, e QUALIFY rank <= 10""")
+FROM q, e QUALIFY rank <= 10""", score=6))
 def q_knn_join(spark, sf):
-    return retrieval.knn_join(label_means(spark, sf), vectors(spark, sf), 10)
+    return shown(retrieval.knn_join(label_means(spark, sf), vectors(spark, sf), 10))
 
 
-@query("knn_join_blocked", f"""
+@query("knn_join_blocked", sqltext.shown(f"""
 WITH {VECTORS_SQL}
 SELECT q.id AS query_id, e.id, {sqltext.cosine('q.v', 'e.v')} AS score,
        CAST(row_number() OVER (PARTITION BY q.id ORDER BY {sqltext.cosine('q.v', 'e.v')} DESC, e.id) AS INTEGER) AS rank
-FROM e q JOIN e ON q.id <> e.id QUALIFY rank <= 10""")
+FROM e q JOIN e ON q.id <> e.id QUALIFY rank <= 10""", score=6))
 def q_knn_blocked(spark, sf):
     rows = vectors(spark, sf)
     queries = rows.select(F.col("id").alias("query_id"), "embedding")
-    return retrieval.knn_join_blocked(queries, rows, 10, exclude_self=True, block_rows=1000)
+    return shown(retrieval.knn_join_blocked(queries, rows, 10, exclude_self=True, block_rows=1000))
 
 
-@query("ann_topk", f"""
+@query("ann_topk", sqltext.shown(f"""
 WITH {VECTORS_SQL},
  pl AS (SELECT t, b, list(CASE WHEN substr(md5('7-' || t || '-' || b || '-' || d), 1, 1) < '8' THEN 1.0::DOUBLE ELSE -1.0 END ORDER BY d) AS p
         FROM range(8) x(t), range(4) y(b), range(64) z(d) GROUP BY 1, 2),
@@ -144,11 +149,11 @@ WITH {VECTORS_SQL},
 SELECT query_id, id, {sqltext.cosine('q.v', 'r.v')} AS score,
        CAST(row_number() OVER (PARTITION BY query_id ORDER BY {sqltext.cosine('q.v', 'r.v')} DESC, id) AS INTEGER) AS rank, candidates
 FROM (SELECT pr.query_id, pr.id, candidates FROM pr JOIN cand USING (query_id)) JOIN e r USING (id) JOIN (SELECT id AS query_id, v FROM e) q USING (query_id)
-QUALIFY rank <= 10""")
+QUALIFY rank <= 10""", score=6))
 def q_ann(spark, sf):
     rows = vectors(spark, sf)
     queries = rows.select(F.col("id").alias("query_id"), "embedding")
-    return retrieval.ann_topk(queries, rows, 10, bits=4, tables=8, exclude_self=True)
+    return shown(retrieval.ann_topk(queries, rows, 10, bits=4, tables=8, exclude_self=True))
 
 
 def signs(column):

@@ -25,7 +25,12 @@ def embed(name: str, source: str, key: str, text: str, dim: int = 64) -> str:
 
 
 def cosine(a: str, b: str) -> str:
-    return f"round(coalesce(CASE WHEN isnan(list_cosine_similarity({a}, {b})) THEN 0 ELSE list_cosine_similarity({a}, {b}) END, 0), 6)"
+    return f"round(coalesce(CASE WHEN isnan(list_cosine_similarity({a}, {b})) THEN 0 ELSE list_cosine_similarity({a}, {b}) END, 0), 12)"
+
+
+def shown(sql: str, **digits: int) -> str:
+    """``sql`` with its scores rounded for the report; it ranks on the full ones."""
+    return f"SELECT * REPLACE ({', '.join(f'round({c}, {n}) AS {c}' for c, n in digits.items())}) FROM ({sql})"
 
 
 def bm25(name: str, source: str, key: str, text: str, terms: list[str]) -> str:
@@ -37,7 +42,7 @@ def bm25(name: str, source: str, key: str, text: str, terms: list[str]) -> str:
 {name}_f AS (SELECT key, q, len(t) AS dl, len(list_filter(t, lambda x: x = q)) AS tf FROM {name}_t, (VALUES {wanted}) w(q)),
 {name}_d AS (SELECT q, count(*) FILTER (tf > 0) AS df FROM {name}_f GROUP BY 1),
 {name} AS (SELECT key, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2
-        / (tf + 1.2 * (0.25 + 0.75 * dl / avg_len))), 6) AS score
+        / (tf + 1.2 * (0.25 + 0.75 * dl / avg_len))), 12) AS score
     FROM {name}_f JOIN {name}_d USING (q), {name}_s WHERE tf > 0 GROUP BY key)"""
 
 

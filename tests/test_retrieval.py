@@ -24,16 +24,16 @@ def frame(spark, vectors, key="id"):
 
 def brute(queries, corpus, k, exclude_self=False):
     unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-    scores = np.round(unit(queries) @ unit(corpus).T, 6) + 0.0
+    scores = np.round(unit(queries) @ unit(corpus).T, 12) + 0.0
     out = set()
     for q, row in enumerate(scores):
         order = sorted((i for i in range(len(corpus)) if not (exclude_self and i == q)), key=lambda i: (-row[i], i))[:k]
-        out |= {(q, i, row[i], r + 1) for r, i in enumerate(order)}
+        out |= {(q, i, round(row[i], 6), r + 1) for r, i in enumerate(order)}
     return out
 
 
 def got(df):
-    return {(r["query_id"], r["id"], r["score"], r["rank"]) for r in df.collect()}
+    return {(r["query_id"], r["id"], round(r["score"], 6), r["rank"]) for r in df.collect()}
 
 
 @pytest.mark.parametrize("path", ["queries", "corpus", "blocks"])
@@ -119,7 +119,7 @@ def bm25(texts, terms, k1=1.2, b=0.75):
             tf = d.count(t)
             s += math.log(1 + (len(docs) - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(d) / avg))
         if any(t in d for t in terms):
-            out[i] = round(s, 6)
+            out[i] = round(s, 12)
     return out
 
 
@@ -130,7 +130,7 @@ def test_keyword_scores(spark):
     df = spark.createDataFrame(list(enumerate(TEXTS)), "id bigint, text string")
     rows = retrieval.keyword_topk(df, "red FOX red", 10).collect()
     want = bm25(TEXTS, ["red", "fox"])
-    assert {r["id"]: r["score"] for r in rows} == want and rows[0]["total"] == len(want)
+    assert {r["id"]: r["score"] for r in rows} == pytest.approx(want, abs=1e-11) and rows[0]["total"] == len(want)
     assert retrieval.keyword_topk(df, "zebra", 3).count() == 0
     assert retrieval.keyword_topk(df, "?!", 3).count() == 0
 
@@ -144,8 +144,8 @@ def test_hybrid_rank_fusion(spark):
     words = bm25(TEXTS, ["red", "fox"])
     rank = lambda d: {i: n + 1 for n, (i, _) in enumerate(sorted(d.items(), key=lambda x: (-x[1], x[0])))}
     rn, rw = rank(near), rank(words)
-    want = {i: round(1 / (60 + rn[i]) + (1 / (60 + rw[i]) if i in rw else 0), 9) for i in near}
-    assert {r["id"]: r["score"] for r in out} == want
+    want = {i: round(1 / (60 + rn[i]) + (1 / (60 + rw[i]) if i in rw else 0), 12) for i in near}
+    assert {r["id"]: r["score"] for r in out} == pytest.approx(want, abs=1e-11)
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
@@ -157,7 +157,7 @@ def test_fusion_equals_full_ranking(spark, seed):
     df = spark.createDataFrame(rows, "id bigint, a double, b double").repartition(5)
     rank = lambda n: {r[0]: p + 1 for p, r in enumerate(sorted((r for r in rows if r[n] is not None), key=lambda r: (-r[n], r[0])))}
     ra, rb = rank(1), rank(2)
-    full = {r[0]: round(1 / (5 + ra[r[0]]) + (1 / (5 + rb[r[0]]) if r[0] in rb else 0), 9) for r in rows}
+    full = {r[0]: round(1 / (5 + ra[r[0]]) + (1 / (5 + rb[r[0]]) if r[0] in rb else 0), 12) for r in rows}
     want = sorted(full.items(), key=lambda x: (-x[1], x[0]))[:8]
     got = retrieval.reciprocal_rank_fusion(df, "id", ["a", "b"], 8, rrf_k=5).collect()
     assert [(r["id"], r["score"]) for r in got] == want
@@ -173,3 +173,11 @@ def test_index_checks(spark, folder):
         retrieval.index_build(rows, "id", "embedding", 31, folder("short"))
     counts, missing = retrieval.index_freshness(rows, rows.where("id > 2"), "id")
     assert not counts.first()["ready"] and {r["id"] for r in missing.collect()} == {0, 1, 2}
+
+
+def test_ranking_tells_scores_apart_below_the_digits_of_a_report(spark):
+    rows = spark.createDataFrame([(1, [1.0, 1e-4]), (2, [1.0, 0.0])], "id bigint, embedding array<double>")
+    asked = spark.createDataFrame([(0, [1.0, 0.0])], "query_id bigint, embedding array<double>")
+    assert [r["id"] for r in retrieval.vector_topk(rows, [1.0, 0.0], 1).collect()] == [2]
+    assert [r["id"] for r in retrieval.knn_join(asked, rows, 1).collect()] == [2]
+    assert [r["id"] for r in retrieval.knn_join_blocked(asked, rows, 1).collect()] == [2]
