@@ -109,7 +109,7 @@ def extract_fields(text: Column, fields: list[FieldPattern]) -> Column:
     return F.struct(*[extract_field(text, f).alias(f.name) for f in fields])
 
 
-UNSURE = "Could not reliably determine context sufficiency."
+UNSURE = "No context to judge by, so documents are searched."
 
 
 def route_with_default(question: Column, history: Column, context: Column, share: float = 0.6) -> Column:

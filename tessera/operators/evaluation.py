@@ -104,11 +104,11 @@ def citation_correctness(traces: DataFrame, id_col: str = "trace_id", answer: st
     found = traces.select(id_col, extract_citations(F.col(answer)).alias("cited"), observed_ids(F.col(spans)).alias("seen"))
     listed = lambda ids: F.array_join(F.array_sort(ids), ", ")
     judged = let(F.array_except("cited", "seen"), lambda unseen: F.when(
-        F.size("cited") == 0, _feedback(False, F.lit("No [arxiv:ID] citation in the answer.")))
+        F.size("cited") == 0, _feedback(False, F.lit("The answer cites nothing.")))
         .when(F.size(unseen) > 0, _feedback(False, F.concat(
-            F.lit("Cited IDs not seen in any tool output: "), listed(unseen), F.lit("."))))
+            F.lit("Cited without a source: "), listed(unseen), F.lit("."))))
         .otherwise(_feedback(True, F.concat(
-            F.lit("All cited IDs were observed in tool outputs: "), listed(F.col("cited")), F.lit(".")))))
+            F.lit("Every citation has a source: "), listed(F.col("cited")), F.lit(".")))))
     return found.select(id_col, judged.alias("_j")).select(id_col, "_j.*")
 
 

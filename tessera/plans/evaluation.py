@@ -158,9 +158,9 @@ TRACE_SQL = """t AS (SELECT doc_id AS trace_id, lang, text, list_distinct(
 
 
 @query("citation_correctness", f"""WITH {TRACE_SQL}
-SELECT trace_id, len(cited) > 0 AND len(unseen) = 0 AS value, CASE WHEN len(cited) = 0 THEN 'No [arxiv:ID] citation in the answer.'
-  WHEN len(unseen) > 0 THEN 'Cited IDs not seen in any tool output: ' || array_to_string(unseen, ', ') || '.'
-  ELSE 'All cited IDs were observed in tool outputs: ' || array_to_string(cited, ', ') || '.' END AS rationale FROM c""")
+SELECT trace_id, len(cited) > 0 AND len(unseen) = 0 AS value, CASE WHEN len(cited) = 0 THEN 'The answer cites nothing.'
+  WHEN len(unseen) > 0 THEN 'Cited without a source: ' || array_to_string(unseen, ', ') || '.'
+  ELSE 'Every citation has a source: ' || array_to_string(cited, ', ') || '.' END AS rationale FROM c""")
 def q_citation_correctness(spark, sf):
     return ev.citation_correctness(traces(spark, sf))
 

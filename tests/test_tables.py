@@ -113,8 +113,8 @@ def test_citations_against_tool_outputs(spark):
     rows = [(1, "no", spans), (2, "[arxiv:1] [arxiv:2]", spans), (3, "[arxiv:9] [arxiv:1]", spans), (4, "[arxiv:1]", [])]
     traces = spark.createDataFrame(rows, f"trace_id int, answer string, spans {SPAN}")
     got = {r["trace_id"]: (r["value"], r["rationale"]) for r in evaluation.citation_correctness(traces).collect()}
-    assert got[1] == (False, "No [arxiv:ID] citation in the answer.") and got[2][0] is True
-    assert got[3] == (False, "Cited IDs not seen in any tool output: 9.") and got[4][0] is False
+    assert got[1] == (False, "The answer cites nothing.") and got[2][0] is True
+    assert got[3] == (False, "Cited without a source: 9.") and got[4][0] is False
     found = {r["trace_id"]: (r["total"], r["calls"]) for r in evaluation.num_results(traces).collect()}
     assert found[1] == (3.0, 2) and found[4] == (0.0, 0)
 
