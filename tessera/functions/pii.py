@@ -129,6 +129,38 @@ def label_type(label: Column) -> Column:
     return let(strip_ws(F.lower(label)), choose)
 
 
+#: Pieces of a Python literal: quoted texts, and what stands between them.
+LITERAL_PIECE = r"""(?s)'[^'\\]*+(?:\\.[^'\\]*+)*+'|"[^"\\]*+(?:\\.[^"\\]*+)*+"|[^'"]++"""
+
+
+def literal_as_json(shown: Column) -> Column:
+    """A Python literal of lists, tuples, dicts, texts, numbers, None, True and False as JSON; null if its quotes do not match.
+
+    Texts may hold escaped quotes and the escapes that JSON also has, and two-digit hex ones. Prefixed texts and texts side by side
+    do not count as one text, so the result is no JSON.
+    """
+    backslash = "\x00"  # no literal holds it
+
+    def text(piece: Column) -> Column:
+        out = F.substring(piece, F.lit(2), F.char_length(piece) - 2)
+        for old, new in (("\\\\", backslash), ("\\'", "'"), ('\\"', '"'), ('"', '\\"'), ("\t", "\\t")):
+            out = F.replace(out, F.lit(old), F.lit(new))
+        out = F.regexp_replace(out, F.lit(r"\\x([0-9A-Fa-f]{2})"), F.lit(r"\\u00$1"))
+        return F.concat(F.lit('"'), F.replace(out, F.lit(backslash), F.lit("\\\\")), F.lit('"'))
+
+    def between(piece: Column) -> Column:
+        out = F.translate(piece, "()", "[]")
+        for word, name in (("None", "null"), ("True", "true"), ("False", "false"), (r",(\s*[\]}])", "$1")):
+            out = F.regexp_replace(out, F.lit(word if word.startswith(",") else rf"\b{word}\b"), F.lit(name))
+        return out
+
+    def joined(pieces: Column) -> Column:
+        told = F.transform(pieces, lambda p: F.when(p.startswith("'") | p.startswith('"'), text(p)).otherwise(between(p)))
+        return F.when((F.array_join(pieces, "") == shown) & ~F.contains(shown, F.lit(backslash)), F.array_join(told, ""))
+
+    return let(F.regexp_extract_all(shown, F.lit(LITERAL_PIECE), F.lit(0)), joined)
+
+
 SPAN_DDL = "label string, type string, text string, value string, start int, end int"
 
 
@@ -149,9 +181,8 @@ def truth(spans: Column, text: Column) -> Column:
         return F.struct(label_type(F.coalesce(s["label"], s["type"], F.lit(""))).alias("type"),
                         strip_ws(value).alias("value"))
 
-    literal = F.from_json(spans, f"array<struct<{SPAN_DDL}>>", {"allowSingleQuotes": "true", "mode": "PERMISSIVE"})
-    listed = let(parsed_json(spans), lambda v: F.when(v.isNotNull(), as_objects(v)))
-    rows = F.coalesce(listed, literal, F.from_json(F.lit("[]"), f"array<struct<{SPAN_DDL}>>"))
+    listed = lambda shown: let(parsed_json(shown), lambda v: F.when(v.isNotNull(), as_objects(v)))
+    rows = F.coalesce(listed(spans), let(literal_as_json(spans), listed), F.from_json(F.lit("[]"), f"array<struct<{SPAN_DDL}>>"))
     return F.filter(F.transform(rows, entity), lambda e: F.char_length(e["value"]) > 1)
 
 

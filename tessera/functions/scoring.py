@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import VariantType
 
 from tessera.functions.core import let
+from tessera.functions.responses import kind_of
 from tessera.functions.text import strip_ws
 
 # Texts that count as "nothing was extracted".
@@ -70,6 +72,19 @@ def score_list(extracted: Column, expected: Column) -> Column:
     return _with_nulls(extracted, expected, full, text=False)
 
 
+def score_list_answer(answer: Column, expected: Column) -> Column:
+    """``score_list`` for a variant answer: a value that is no list counts as an empty list, a null or missing one as no answer."""
+    def judge(both: Column) -> Column:
+        kind, value = both["kind"], both["value"]
+        nothing = F.coalesce(kind == "null", F.lit(True))
+        empty = nothing | ((kind == "string") & F.try_variant_get(value, "$", "string").isin(*EMPTY_MARKS))
+        listed = F.when(kind == "array", F.try_variant_get(value, "$", "array<string>")).otherwise(F.array().cast("array<string>"))
+        return (F.when(both["expected"].isNull(), F.when(empty, F.lit(1.0)).otherwise(F.lit(0.0)))
+                .when(nothing, F.lit(0.0)).otherwise(score_list(listed, both["expected"])))
+
+    return let(F.struct(kind_of(answer).alias("kind"), answer.alias("value"), expected.alias("expected")), judge)
+
+
 SCORERS = {"text": score_text, "date": score_date, "list": score_list}
 
 
@@ -77,9 +92,11 @@ def score_extraction(joined: DataFrame, fields: dict[str, str], extracted: str =
                      expected: str = "expected") -> DataFrame:
     """Score per field of two structs, and their mean as ``accuracy``.
 
-    ``fields`` gives each field its kind: text, date or list.
+    ``fields`` gives each field its kind: text, date or list. A list that was extracted is an array or a variant.
     """
-    scores = {f: SCORERS[kind](F.col(f"{extracted}.{f}"), F.col(f"{expected}.{f}")) for f, kind in fields.items()}
+    types = {f.name: f.dataType for f in joined.schema[extracted].dataType.fields}
+    rules = {f: score_list_answer if kind == "list" and isinstance(types[f], VariantType) else SCORERS[kind] for f, kind in fields.items()}
+    scores = {f: rule(F.col(f"{extracted}.{f}"), F.col(f"{expected}.{f}")) for f, rule in rules.items()}
     out = joined.select("*", *[c.alias(f"score_{f}") for f, c in scores.items()])
     total = sum((F.col(f"score_{f}") for f in fields), F.lit(0.0))
     return out.withColumn("accuracy", total / len(fields))

@@ -27,7 +27,8 @@ def extraction_benchmark(extractions: DataFrame, golden: DataFrame, key: str, fi
     that is no JSON are skipped, as are they in the mean; throughput counts all golden rows, and
     ``coverage`` says how many of them were scored.
     """
-    types = {"list": "array<string>"}
+    # an answer may hold another kind of value where a list is expected
+    types = {"list": "variant"}
     ddl = ", ".join(f"{f} {types.get(kind, 'string')}" for f, kind in fields.items())
     expected = golden.select(key, F.struct(*[F.col(f) for f in fields]).alias("expected"))
     joined = golden_inner_join(extractions.select(key, F.col(response).alias("extracted")), expected, key)
@@ -98,6 +99,13 @@ def observed_ids(spans: Column) -> Column:
     return F.array_distinct(F.filter(ids, lambda i: F.coalesce(i != "", F.lit(False))))
 
 
+def trace_bleu(traces: DataFrame, id_col: str = "trace_id", question: str = "question", spans: str = "spans") -> DataFrame:
+    """(id, bleu): ``bleu1`` of the question against all summaries in the tool outputs of its trace, 0 without any."""
+    items = F.flatten(F.transform(tool_spans(F.col(spans)), lambda s: as_list(s["outputs"], ITEM_DDL)))
+    found = F.filter(F.transform(items, lambda i: i["summary"]), lambda s: F.coalesce(s != "", F.lit(False)))
+    return bleu1(traces.select(id_col, question, F.array_join(found, " ").alias("_found")), [id_col], "_found", question)
+
+
 def citation_correctness(traces: DataFrame, id_col: str = "trace_id", answer: str = "answer",
                          spans: str = "spans") -> DataFrame:
     """(id, value, rationale): true if something is cited and every cited id was seen in a tool output."""

@@ -165,6 +165,28 @@ def q_citation_correctness(spark, sf):
     return ev.citation_correctness(traces(spark, sf))
 
 
+@query("trace_bleu", f"""
+WITH p AS (SELECT doc_id, regexp_extract_all(lower(lang || ' ' || source || ' the of'), {sqltext.WORDS}) AS c,
+       CASE WHEN doc_id % 6 = 5 THEN [] ELSE regexp_extract_all(lower(text || CASE WHEN doc_id % 6 < 2 THEN ' ' || source ELSE '' END), {sqltext.WORDS}) END AS r
+   FROM documents WHERE text IS NOT NULL),
+ w AS (SELECT doc_id, unnest(c) AS word, 1 AS c, 0 AS r FROM p UNION ALL SELECT doc_id, unnest(r), 0, 1 FROM p),
+ n AS (SELECT doc_id, word, sum(c) AS c, sum(r) AS r FROM w GROUP BY 1, 2),
+ s AS (SELECT doc_id, sum(least(c, r)) AS hits, sum(c) AS c, sum(r) AS r FROM n GROUP BY 1)
+SELECT doc_id AS trace_id, round(coalesce(hits / c * CASE WHEN c >= r THEN 1 ELSE exp(1 - r / greatest(1, c)) END, 0), 4) AS bleu FROM s""")
+def q_trace_bleu(spark, sf):
+    """A trace per document: a search that finds its text or fails, a lookup that finds its source for some, and a model call."""
+    form = F.col("doc_id") % 6
+    item = lambda c: F.to_json(F.struct(F.col("doc_id").cast("string").alias("arxiv_id"), c.alias("summary")))
+    span = lambda kind, name, out: F.struct(
+        F.lit(kind).alias("span_type"), F.lit(name).alias("name"), F.lit("{}").alias("inputs"), out.alias("outputs"))
+    found = F.when(form == 5, F.lit("timeout")).otherwise(F.concat(F.lit("["), item(F.col("text")), F.lit(', {"arxiv_id": "0"}]')))
+    looked = F.when(form < 2, item(F.col("source"))).otherwise(item(F.lit("")))
+    spans = F.array(span("TOOL", "search_arxiv", found), span("SpanType.TOOL", "get_paper", looked), span("CHAT_MODEL", "model", item(F.lit("the of"))))
+    question = F.concat_ws(" ", "lang", "source", F.lit("the of"))
+    rows = load_table(spark, sf, "documents").where("text IS NOT NULL")
+    return ev.trace_bleu(rows.select(F.col("doc_id").alias("trace_id"), question.alias("question"), spans.alias("spans")))
+
+
 @query("num_results", """
 SELECT doc_id AS trace_id, CAST(CASE WHEN doc_id % 6 = 5 THEN 0 ELSE 2 END AS DOUBLE) AS total, CAST(1 AS INTEGER) AS calls
 FROM documents""")

@@ -108,6 +108,26 @@ def q_truth(spark, sf):
         found, lambda e: F.concat_ws("=", e["type"], e["value"])), ";").alias("entities"))
 
 
+@query("pii_truth_literals", f"""
+SELECT doc_id, array_to_string(list_transform(regexp_extract_all(text, '{EMAIL}'), lambda v: 'EMAIL=' || CASE doc_id % 4
+  WHEN 2 THEN 'it''s "' || v || '" \\' WHEN 3 THEN v || '''s (None,)' ELSE v END), ';') AS entities FROM documents""")
+def q_truth_literals(spark, sf):
+    """Spans as Python shows them: None with a range, a tuple with True, escapes, and both kinds of quotes."""
+    text, form = F.col("text"), F.col("doc_id") % 4
+
+    def one(v):
+        start = F.instr(text, v) - 1
+        return (F.when(form == 0, F.format_string("{'label': 'email', 'text': None, 'start': %d, 'end': %d}", start, start + F.char_length(v)))
+                .when(form == 1, F.format_string("{'label': 'email', 'checked': True, 'text': '%s'}", v))
+                .when(form == 2, F.format_string("{'type': 'email', 'value': 'it\\'s \"%s\" \\\\'}", v))
+                .otherwise(F.format_string("{\"label\": 'email', 'text': \"%s's (None,)\", 'ok': False,}", v)))
+
+    shown = F.array_join(F.transform(F.regexp_extract_all(text, F.lit(EMAIL), F.lit(0)), one), ", ")
+    listed = F.when(shown == "", F.lit("()")).when(form == 1, F.concat(F.lit("("), shown, F.lit(",)"))).otherwise(F.concat(F.lit("["), shown, F.lit("]")))
+    found = pii.truth(listed, text)
+    return docs(spark, sf).select("doc_id", F.array_join(F.transform(found, lambda e: F.concat_ws("=", e["type"], e["value"])), ";").alias("entities"))
+
+
 @query("pii_detect", f"""WITH {FOUND_SQL}
 SELECT doc_id, array_to_string(list_transform(es, lambda e: e.entity_type || '=' || e.original_value), ';') AS entities FROM found""")
 def q_detect(spark, sf):

@@ -266,6 +266,23 @@ def q_score_list(spark, sf):
     return load_table(spark, sf, "part").select("p_partkey", F.round(score, 6).alias("score"))
 
 
+@query("score_list_answer", """
+SELECT p_partkey, CAST(CASE WHEN p_partkey % 7 = 0 THEN CASE WHEN p_partkey % 6 > 2 THEN 1 ELSE 0 END
+  WHEN p_partkey % 6 IN (3, 4) THEN 0 WHEN p_partkey % 7 < 4 THEN CASE WHEN p_partkey % 6 = 0 THEN 0 ELSE 1 END
+  WHEN p_partkey % 6 = 0 THEN 0.95 ELSE 0 END AS DOUBLE) AS score FROM part""")
+def q_score_list_answer(spark, sf):
+    """Answers with a list, a text, a number, null, no such key and an empty text, against nothing, an empty list and one item."""
+    form, brand = F.col("p_partkey") % 6, F.col("p_brand")
+    answer = (F.when(form == 0, F.to_json(F.struct(F.array(brand, F.col("p_type")).alias("tags"))))
+              .when(form == 1, F.to_json(F.struct(brand.alias("tags")))).when(form == 2, F.lit('{"tags": 7}'))
+              .when(form == 3, F.lit('{"tags": null}')).when(form == 4, F.lit("{}")).otherwise(F.lit('{"tags": ""}')))
+    expected = F.when(F.col("p_partkey") % 7 == 0, F.lit(None)).when(
+        F.col("p_partkey") % 7 < 4, F.array().cast("array<string>")).otherwise(F.array(brand))
+    rows = load_table(spark, sf, "part").select("p_partkey", F.from_json(answer, "tags variant").alias("extracted"), F.struct(expected.alias("tags")).alias("expected"))
+    scored = scoring.score_extraction(rows, {"tags": "list"})
+    return scored.select("p_partkey", F.round("score_tags", 6).alias("score"))
+
+
 @query("score_date", f"""
 SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 5 <> 3 THEN 1 ELSE 0 END AS DOUBLE) AS score FROM ({DATE_SQL})""")
 def q_score_date(spark, sf):

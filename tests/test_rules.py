@@ -197,6 +197,33 @@ def test_truth_reads_json_literals_and_ranges(spark):
     assert got("nothing") == []
 
 
+@pytest.mark.parametrize("spans", [
+    [{"label": "name", "text": None, "start": 5, "end": 8}, {"label": "city", "text": "Ulm", "sure": True, "seen": False}],
+    ({"label": "name", "text": "O'Neil \"x\""},), (), [{"type": "email", "value": "a\\b'c\\'d"}], [{"type": "dob", "value": "a\tb\nc\x85d é"}],
+    [{"label": "None", "text": "(True, None)"}, {"label": "iban", "text": "[a,]"}], [{"label": "city", "score": 0.5, "at": (1, 2), "text": "New York"}]])
+def test_truth_reads_python_literals(spark, spans):
+    shown = "mail ann@x.org now"
+    want = []
+    for s in spans:
+        found = s.get("text", s.get("value")) or shown[s["start"]:s["end"]]
+        want.append((pii.LABEL_TYPES.get(s.get("label", s.get("type")).lower(), "OTHER"), found.strip()))
+    assert [tuple(e) for e in value(spark, pii.truth(a, b), a=repr(spans), b=shown)] == want
+
+
+@pytest.mark.parametrize("spans", ["[{'label': 'name', 'text': 'it's'}]", "[{'label': 'name', 'text': u'abc'}]", "['a' 'b'", "'", ""])
+def test_truth_of_unreadable_spans_is_empty(spark, spans):
+    assert value(spark, pii.truth(a, b), a=spans, b="text") == []
+
+
+@pytest.mark.parametrize("answer, expected, score", [
+    ('"a"', [], 1.0), ("7", [], 1.0), ('{"x": 1}', [], 1.0), ("[]", [], 1.0), ('["a"]', [], 0.0), ("null", [], 0.0), (None, [], 0.0),
+    ('"a"', ["a"], 0.0), ('["a1", "x"]', ["a1"], 0.95), ("null", None, 1.0), (None, None, 1.0), ('""', None, 1.0), ('"<UNKNOWN>"', None, 1.0),
+    ('"a"', None, 0.0), ("[]", None, 0.0)])
+def test_score_list_answer(spark, answer, expected, score):
+    want = (F.lit(None) if expected is None else F.array(*[F.lit(v) for v in expected])).cast("array<string>")
+    assert value(spark, scoring.score_list_answer(F.try_parse_json(a), want), a=answer) == pytest.approx(score)
+
+
 @pytest.mark.parametrize("number, ok", [("4111-1111-1111-1111", True), ("4111 1111 1111 1112", False)])
 def test_luhn(spark, number, ok):
     assert value(spark, pii.luhn_ok(a), a=number) is ok
