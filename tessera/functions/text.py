@@ -11,7 +11,7 @@ WHITE_SPACE = (
     "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 WORD = r"[\p{L}\p{N}_]+"
-CITATION = r"(?i)\[arxiv:([\w.\-/]+?)\]"
+CITATION = r"(?i)\[arxiv:([\p{L}\p{N}_.\-/]+?)\]"
 
 
 def strip_ws(text: Column) -> Column:

@@ -41,7 +41,10 @@ def load_binary(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
         "path", "filename", "modificationTime", "length", "content")
 
 
-def load_csv(spark: SparkSession, path: str, drop: list[str] | None = None) -> DataFrame:
-    """CSV with header; unwanted columns dropped, everything read as text, column names kept."""
-    rows = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"')
+def load_csv(spark: SparkSession, path: str, drop: list[str] | None = None, multi_line: bool = False) -> DataFrame:
+    """CSV with header; unwanted columns dropped, everything read as text, column names kept.
+
+    ``multi_line`` is for values that hold line feeds; a file then goes to one task, whatever its size.
+    """
+    rows = spark.read.csv(path, header=True, inferSchema=False, multiLine=multi_line, escape='"')
     return rows.drop(*(drop or []))

@@ -31,8 +31,10 @@ def test_whole_text_and_binary(spark, tmp_path):
 def test_csv_round_trip(spark, folder):
     df = spark.createDataFrame([(1, 'say "hi",\nnow', [1, 2], b"z", None)], "id int, `odd name` string, xs array<int>, raw binary, n double")
     writers.save_csv(df, folder("csv"))
-    back = readers.load_csv(spark, folder("csv"), drop=["n"])
+    back = readers.load_csv(spark, folder("csv"), drop=["n"], multi_line=True)
     assert back.columns == ["id", "odd name", "xs"] and tuple(back.first()) == ("1", 'say "hi",\nnow', "[1,2]")
+    writers.save_csv(spark.createDataFrame([('say "hi", now', "")], "a string, b string"), folder("flat"))
+    assert tuple(readers.load_csv(spark, folder("flat"), drop=["b"]).first()) == ('say "hi", now',)
 
 
 def test_save_modes(spark, folder):
