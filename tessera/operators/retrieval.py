@@ -230,6 +230,7 @@ def ann_topk(queries: DataFrame, corpus: DataFrame, k: int, bits: int = 4, table
 
     Bucket sizes are counted first and a large bucket is split in even parts, so a bucket with a
     third of all rows becomes many tasks. ``candidates`` counts the rows a query was compared with.
+    Queries whose buckets hold fewer than k rows are searched exactly, so none is incomplete.
     """
     q, c = _sides(queries, corpus, query_id, id_col, vector)
     sign = sign_buckets(_dim(c, "vector"), bits, tables, seed)
@@ -252,7 +253,13 @@ def ann_topk(queries: DataFrame, corpus: DataFrame, k: int, bits: int = 4, table
     matches = probes.groupBy(*by).cogroup(rows.groupBy(*by)).applyInArrow(_block_kernel(k, exclude_self), MATCH_DDL)
     # The same pair may come from several tables, always with the same score.
     once = matches.groupBy("query_id", "id").agg(F.max("score").alias("score"))
-    return _final(once, k).join(counts, "query_id")
+    found = pin(_final(once, k).join(counts, "query_id"))
+    full = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= k).select("query_id")
+    short = pin(q.where(F.col("query_id").isNotNull()).join(full, "query_id", "left_anti"))
+    if short.isEmpty():
+        return found
+    exact = knn_join(short, c, k, vector="vector", exclude_self=exclude_self)
+    return found.join(full, "query_id", "left_semi").unionByName(exact.withColumn("candidates", F.lit(c.count()).cast("bigint")))
 
 
 def recall_at_k(approximate: DataFrame, exact: DataFrame, k: int) -> DataFrame:

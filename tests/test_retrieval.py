@@ -108,6 +108,18 @@ def test_ann_hot_bucket_is_split_and_stays_whole(spark):
     assert [r["id"] for r in out.where("query_id = 0").orderBy("rank").collect()] == [0, 1, 2, 3]
 
 
+def test_ann_leaves_no_query_incomplete(spark):
+    v = np.random.default_rng(3).normal(size=(330, 16))
+    q, c = frame(spark, v[:30], "query_id"), frame(spark, v[30:])
+    out = retrieval.ann_topk(q, c, 10, bits=12, tables=2)
+    assert {r["query_id"]: r["n"] for r in out.groupBy("query_id").agg(F.count("id").alias("n")).collect()} == {i: 10 for i in range(30)}
+    exact = {(r["query_id"], r["id"]) for r in retrieval.knn_join(q, c, 10).collect()}
+    searched = [(r["query_id"], r["id"]) for r in out.where("candidates = 300").collect()]
+    assert len(searched) > 200 and exact.issuperset(searched)
+    few = retrieval.ann_topk(q, c.limit(4), 10, bits=4, tables=2)
+    assert few.count() == 30 * 4
+
+
 def bm25(texts, terms, k1=1.2, b=0.75):
     docs = [t.lower().split() for t in texts]
     avg = sum(map(len, docs)) / len(docs)
