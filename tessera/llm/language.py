@@ -77,8 +77,9 @@ def fit_language_model(labelled: DataFrame, id_col: str = "doc_id", text_col: st
     """Fits on a bounded sample: about ``sample_per_label`` rows per label, ``landmarks`` of them as landmarks.
 
     The sample is the rows with the smallest id hashes, drawn evenly from hash classes, so it is the same in every run.
-    Landmarks are at most ``landmark_chars`` long (the landmark table is kept by every task). Rows without text or label are
-    left out; rows that repeat an id come together. Every task adds up its part of the normal equations; only these
+    Landmarks are rows of at most ``landmark_chars``; a label with too few of these has the middles of longer rows too, so every
+    label has landmarks (their table is kept by every task; the fit itself is on whole texts). Rows with a letter come first. Rows
+    without text or label are left out; rows that repeat an id come together. Every task adds up its part of the normal equations; only these
     matrices (landmarks x landmarks) reach the driver. Without labelled rows the model knows no language.
     """
     spark = labelled.sparkSession
@@ -92,10 +93,12 @@ def fit_language_model(labelled: DataFrame, id_col: str = "doc_id", text_col: st
     sample = pin(rows.join(F.broadcast(pin(chosen)), ["id", "label"], "left_semi"))
     langs = [r[0] for r in sample.select("label").distinct().orderBy("label").collect()]
     each = max(1, landmarks // max(1, len(langs)))
-    short = sample.where(F.length("text") <= landmark_chars).selectExpr("label", "text", "row_number() over (partition by label order by h, id, text) n")
-    marks = [r["text"] for r in short.where(F.col("n") <= each).orderBy("label", "n").collect()]
+    middle = F.substring("text", F.greatest(F.lit(1), F.floor((F.length("text") - landmark_chars) / 2) + 1).cast("int"), F.lit(landmark_chars))
+    parts = sample.select("label", "h", "id", middle.alias("text"), (F.length("text") > landmark_chars).alias("cut"))
+    ordered = parts.selectExpr("label", "text", r"row_number() over (partition by label order by not text rlike '\\p{L}', cut, h, id, text) n")
+    marks = [r["text"] for r in ordered.where(F.col("n") <= each).orderBy("label", "n").collect()]
     vocabulary, incidence = _landmarks(marks, longest)
-    if not langs or not marks:
+    if not langs:
         return KernelModel([], vocabulary, incidence, np.zeros((len(marks) + 1, 0), np.float32), longest)
     gram = incidence.T.astype(np.float64) @ incidence
     values, vectors = np.linalg.eigh(gram)

@@ -55,3 +55,17 @@ def test_nothing_to_learn_from(docs):
 def test_one_label(docs, landmarks):
     model = language.fit_language_model(docs([(i, "abc", "en") for i in range(3)]), landmarks=landmarks)
     assert [r["lang_pred"] for r in language.predict_language(docs([(1, "abc")]), model, ["doc_id"]).collect()] == ["en"]
+
+
+def test_labels_of_long_texts_only(docs):
+    """Labels whose rows are all longer than a landmark have landmarks, next to labels with short rows and alone."""
+    long = [(i, f"{a} " * 900, g) for i, (a, g) in enumerate([("the house and the tree", "en"), ("das Haus und der Baum", "de")] * 5)]
+    short = [(20 + i, "la casa y el árbol", "es") for i in range(5)] + [(30, "", "de"), (31, "12", "de")]
+    asked = [(1, "the house"), (2, "der Baum und das Haus"), (3, "the tree " * 9_000)]
+    for rows in (long, long + short):
+        model = language.fit_language_model(docs(rows))
+        assert model.langs == sorted({r[2] for r in rows}) and model.incidence.shape[1] == len(rows)
+        got = language.predict_language(docs(asked), model, ["doc_id"]).orderBy("doc_id").collect()
+        assert [r["lang_pred"] for r in got] == ["en", "de", "en"]
+    few = language.fit_language_model(docs(long + short), landmarks=3)
+    assert few.incidence.shape[1] == 3 and (few.incidence.sum(axis=0) > 2).all()
