@@ -14,7 +14,8 @@ from tessera.llm.queries import REST, TARGETS
 from tessera.session import pin, scratch_path
 from tessera.sources.readers import load_table
 
-#: A document stays if its best language output is at least this (0.5 is the middle between a language and all others).
+#: A document stays if its best language output is at least this, or half of one over the number of languages: a text that resembles a language
+#: has one over that number at least (the outputs always add up to the same), one that resembles none has 0 (``KernelModel.outputs``).
 MIN_SCORE = 0.25
 #: SQL cannot express the language model, so the pipeline is tested against a brute-force version.
 ORACLE_SQL = None
@@ -30,7 +31,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         return docs.where(F.col("text").rlike(r"\p{L}"))
     names = [f"_d{i}" for i in range(len(docs.columns))]
     judged = language.predict_language(docs.toDF(*names), model, names, names[docs.columns.index("text")])
-    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
+    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= min(MIN_SCORE, 0.5 / len(model.langs)))).select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

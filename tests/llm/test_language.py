@@ -69,3 +69,25 @@ def test_labels_of_long_texts_only(docs):
         assert [r["lang_pred"] for r in got] == ["en", "de", "en"]
     few = language.fit_language_model(docs(long + short), landmarks=3)
     assert few.incidence.shape[1] == 3 and (few.incidence.sum(axis=0) > 2).all()
+
+
+UNSEEN = ["Tämä on pitkä suomenkielinen lause, jossa kerrotaan hyvästä säästä, ruoasta ja työstä ilman yhtään tuttua sanaa, kuten myös kylmästä talvesta",
+          "Привет мир, как дела", "日本語", "これは日本語の文章です。東京は日本の首都です", "Zażółć gęślą jaźń oraz dużo innych słów po polsku, których nikt nie rozumie"]
+
+
+def test_texts_of_unseen_languages_score_zero(spark, sf, docs):
+    """The outputs of a row add up to two less the languages, so without a floor every best output is one of that number at least."""
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    model = language.fit_language_model(table)
+    clean = ["The", "on the", "la", "der", "et le", "and the"]
+    got = {r["doc_id"]: r for r in language.predict_language(docs(list(enumerate(UNSEEN + clean))), model, ["doc_id"]).collect()}
+    assert all(got[i]["score"] == 0 and got[i]["lang_pred"] in model.langs for i in range(len(UNSEEN)))
+    assert all(got[i]["score"] > 0.9 / len(model.langs) for i in range(len(UNSEEN), len(got)))
+    texts = [r["text"] for r in table.where("lang is not null and text rlike '[a-z]'").collect()]
+    assert sum(not model.resembles(t) for t in texts) <= len(texts) // 100
+
+
+def test_floor_counts_a_landmark_only_by_the_others(docs):
+    """A label whose texts have nothing in common is no reason to reject its texts."""
+    model = language.fit_language_model(docs([(i, chr(97 + i) * 9, "en") for i in range(20)]), landmarks=20)
+    assert model.floors.tolist() == [0] and model.resembles("aaa") and not model.resembles("日本語")

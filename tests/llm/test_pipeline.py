@@ -8,6 +8,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from tessera.llm import decontaminate, language, mixing
 from tessera.llm.queries import REST, TARGETS
+from test_language import UNSEEN
 from test_simhash import roots, slow_print
 
 WHOLE = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
@@ -80,3 +81,14 @@ def test_empty_table(spark, docs, sf, folder):
 def test_tokens_without_files(spark, docs, sf):
     got = corpus_pipeline.tokens(spark, docs([(2, "b"), (1, "a")]), sf).orderBy("start").collect()
     assert [r["doc_id"] for r in got] == [1, 2]
+
+
+def test_unseen_languages_are_dropped(spark, docs, sf):
+    """Also with more labels than 1 / MIN_SCORE, where an uncertain text of a known language scores less than that."""
+    own = spark.read.parquet(f"{sf}/documents.parquet").where("lang is not null and text rlike '[a-z]'").select("doc_id", "text", "lang")
+    texts = [(r["doc_id"], r["text"], r["lang"]) for r in own.collect()]
+    odd = [(10**6 + i, t, None) for i, t in enumerate(UNSEEN)]
+    clean = [(2 * 10**6 + i, t, None) for i, t in enumerate(["The", "on the", "la", "der", "et le"])]
+    for rows in (texts, [(i, t, f"{g}{i % 2}") for i, t, g in texts]):
+        got = {r["doc_id"] for r in corpus_pipeline.language_id(spark, docs(rows + odd + clean), sf).select("doc_id").collect()}
+        assert not got & {r[0] for r in odd} and got >= {r[0] for r in clean} and len(got) > 0.98 * len(texts)
