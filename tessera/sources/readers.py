@@ -41,10 +41,14 @@ def load_binary(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
         "path", "filename", "modificationTime", "length", "content")
 
 
-def load_csv(spark: SparkSession, path: str, drop: list[str] | None = None, multi_line: bool = False) -> DataFrame:
+def load_csv(spark: SparkSession, path: str, drop: list[str] | None = None, multi_line: bool | None = None) -> DataFrame:
     """CSV with header; unwanted columns dropped, everything read as text, column names kept.
 
-    ``multi_line`` is for values that hold line feeds; a file then goes to one task, whatever its size.
+    ``multi_line`` is for values that hold line feeds; a file then goes to one task, whatever its size. If it is not given, the lines are
+    looked through first: files are split only if no line leaves a quote open.
     """
+    if multi_line is None:
+        plain = F.regexp_replace(F.regexp_replace("value", '""', ""), '(^|,)"[^"]*+"(?=,|$)', "$1")
+        multi_line = not spark.read.text(path).where(plain.contains('"')).isEmpty()
     rows = spark.read.csv(path, header=True, inferSchema=False, multiLine=multi_line, escape='"')
     return rows.drop(*(drop or []))

@@ -37,6 +37,14 @@ def test_csv_round_trip(spark, folder):
     assert tuple(readers.load_csv(spark, folder("flat"), drop=["b"]).first()) == ('say "hi", now',)
 
 
+def test_csv_with_line_feeds_is_whole_by_default(spark, tmp_path):
+    cases = {"open": ('a,b\n1,"x\ny, ""z"""\n2,w\n', [("1", 'x\ny, "z"'), ("2", "w")]), "quote": ('a,b\n"""p\nq",""\n', [('"p\nq', None)]),
+             "flat": ('a,b\n"1, ""2""",""\n"x",y\n', [('1, "2"', None), ("x", "y")])}
+    for name, (text, want) in cases.items():
+        (tmp_path / name).write_text(text)
+        assert [tuple(r) for r in readers.load_csv(spark, str(tmp_path / name)).collect()] == want
+
+
 def test_save_modes(spark, folder):
     df = spark.range(4).withColumn("p", F.col("id") % 2)
     writers.save_table(df, folder("t"), "overwrite", ["p"])
