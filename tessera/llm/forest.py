@@ -90,7 +90,8 @@ def nearest_neighbours(table: DataFrame, is_query, id_col: str = "vec_id", vec_c
     Equal vectors are indexed once with their ``k + 1`` smallest ids, which are all that a result can name, so a vector that a third of all rows
     share is one entry. The trees are fitted on ``sample_rows`` rows at most (smallest id hashes); every row is indexed, once per tree.
     A query takes leaves from one priority queue over all trees until they hold about ``share`` of the rows; queries and rows
-    of a leaf meet in blocks of bounded size, and only the ``k`` best per block go on. Scores are exact products of the
+    of a leaf meet in blocks of bounded size, and only the ``k`` best per block go on, of all that are not below the block's ``k + 1``-th
+    best product less its rounding, so ties are whole. Scores are exact products of the
     original vectors in double precision; ties go to the smaller id.
 
     Vectors that are null or zero, hold null or non-finite components, or have another length than most of the sample, take no part, nor
@@ -153,18 +154,26 @@ def nearest_neighbours(table: DataFrame, is_query, id_col: str = "vec_id", vec_c
         out: list[list] = [[], [], []]
         if left.num_rows and right.num_rows:
             ask, have = (_matrix(t.column("vec").combine_chunks(), dim) for t in (left, right))
-            ids, owners = left.column("id").to_pylist(), right.column("ids").to_pylist()
-            most = min(len(have), 2 * (k + 1))
+            ids = left.column("id").to_pylist()
+            most, flat = min(len(have), k + 1), right.column("ids").combine_chunks()
+            named, first, longest = flat.flatten().to_numpy(), flat.value_lengths().to_numpy().cumsum(), np.linalg.norm(have, axis=1).max()
+            first = np.concatenate([[0], first])
             for at in range(0, len(ask), 512):
                 near = ask[at:at + 512] @ have.T
-                best = np.argpartition(-near, most - 1, axis=1)[:, :most] if most < len(have) else np.tile(np.arange(len(have)), (len(near), 1))
-                for i, chosen in enumerate(best):
-                    own = ids[at + i]
+                least = np.partition(near, len(have) - most, axis=1)[:, len(have) - most]
+                slack = 4 * dim * np.finfo(float).eps * longest * np.linalg.norm(ask[at:at + 512], axis=1)
+                for i, row in enumerate(near):
+                    own, chosen = ids[at + i], np.flatnonzero(row >= least[i] - slack[i])
                     scores = np.einsum("ij,j->i", have[chosen], ask[at + i])
-                    found = sorted((-s, v) for s, c in zip(scores.tolist(), chosen.tolist()) for v in owners[c] if v != own)[:k]
-                    out[0] += [own] * len(found)
-                    out[1] += [v for _, v in found]
-                    out[2] += [-s for s, _ in found]
+                    sizes = first[chosen + 1] - first[chosen]
+                    found = named[np.repeat(first[chosen + 1] - sizes.cumsum(), sizes) + np.arange(sizes.sum())]
+                    scores = np.repeat(scores, sizes)
+                    other = found != own
+                    found, scores = found[other], scores[other]
+                    order = np.lexsort((found, -scores))[:k]
+                    out[0] += [own] * len(order)
+                    out[1] += found[order].tolist()
+                    out[2] += scores[order].tolist()
         return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)], names=names)
 
     found = (questions.groupBy(*keys).cogroup(stored.groupBy(*keys))

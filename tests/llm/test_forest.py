@@ -64,3 +64,11 @@ def test_empty_and_few(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (20, [2.0, 0.0])], "vec_id bigint, embedding array<float>")
     got = [tuple(r) for r in forest.nearest_neighbours(few, ASK).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 20, 2.0), (0, 2, 1, 1.0), (20, 1, 0, 2.0), (20, 2, 1, 2.0)]
+
+
+def test_ties_of_many_vectors_go_to_the_smaller_ids(spark):
+    """Far more different vectors than 2 (k + 1) have the same product with the query."""
+    rows = [(0, [1.0, 0.0, 0.0])] + [(i, [1.0, float(i * 7919 % 401), float(i * 31 % 17 - 8)]) for i in range(1, 400)]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = forest.nearest_neighbours(table, F.col("vec_id") == 0, k=5, trees=2, depth=1, share=1.0).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == [(i, 1.0) for i in range(1, 6)]
