@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.llm import decontaminate, forest, hmm, language, licenses, lines, mixing, simhash, token_files, urls
+from tessera.llm import decontaminate, forest, hmm, infill, language, licenses, lines, mixing, negatives, pieces, simhash, token_files, urls
 from tessera.session import scratch_path
 from tessera.sources.readers import load_table
 
@@ -120,6 +120,59 @@ select page.page_id, page.host, page.path, page_rule.rule, coalesce(page_rule.ve
 from page left join page_rule using (page_id) left join alias on alias.node = page.node
 """
 
+
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(load_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+OP11_SQL = """
+with fine as (select distinct vec_id, case when vec_id % 7 = 0 then ((label + 1) % 10 + 10) % 10 else label end as label,
+    list_transform(embedding, lambda v: floor(256 * v::double)) as x from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda v: v is null or not isfinite(v))) = 0),
+used as (select * from fine qualify row_number() over (partition by vec_id order by label, x) = 1),
+scored as (select a.vec_id as anchor_id, r.vec_id as id, a.label = r.label as same, list_inner_product(a.x, r.x)::bigint as score
+  from used a join used r on len(a.x) = len(r.x) and a.vec_id <> r.vec_id where a.vec_id % 100 = 0),
+positive as (select anchor_id, id, score from scored where same qualify row_number() over (partition by anchor_id order by score desc, id) <= 5)
+select p.anchor_id, p.id as positive_id, row_number() over (partition by p.anchor_id, p.id order by n.score desc, n.id)::int as rank,
+  n.id as negative_id, p.score as positive_score, n.score as negative_score
+from positive p join scored n on p.anchor_id = n.anchor_id and not n.same and 80 * p.score <= 100 * n.score and n.score <= p.score
+qualify rank <= 5
+"""
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    coded = pieces.encode_pieces(load_table(spark, sf_dir, "documents").select("doc_id", "text"), model, packed=True)
+    read = pieces.decode_pieces(coded.select("doc_id", "ids"), model)
+    return read.select("doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+                       F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.fill_in_middle(load_table(spark, sf_dir, "documents"))
+    text = infill.restored(F.col("form"), F.col("output"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2(F.encode("output", "UTF-8"), 256).alias("output_sha256"),
+                       F.sha2(F.encode(text, "UTF-8"), 256).alias("restored_sha256"))
+
+
+OP13_SQL = """
+with hashed as (select doc_id, coalesce(text, '') as text, sha256('1:' || coalesce(doc_id::varchar, '')) as d from documents),
+cut as (select doc_id, text, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') as tokens, ('0x' || d[1:8])::bigint as h1,
+  ('0x' || d[9:16])::bigint as h2, ('0x' || d[17:24])::bigint as h3, ('0x' || d[25:32])::bigint as h4 from hashed),
+placed as (select *, len(tokens) as n, least(h1 % (len(tokens) + 1), h2 % (len(tokens) + 1)) as a, greatest(h1 % (len(tokens) + 1), h2 % (len(tokens) + 1)) as b,
+  case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 90 then 'plain'
+    when h4 % 100 < 20 then 'spm' else 'psm' end as form from cut),
+parts as (select *, array_to_string(tokens[1:a], '') as prefix, array_to_string(tokens[a + 1:b], '') as middle, array_to_string(tokens[b + 1:], '') as suffix from placed)
+select doc_id, n, form, case when form <> 'plain' then length(prefix) end as prefix_chars, case when form <> 'plain' then length(middle) end as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256, sha256(text) as restored_sha256
+from parts
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_language_id, op2_nearest, op3_token_ids, op4_decontamination, op5_license_scan, op6_simhash, op7_hmm_score, op8_line_dedup, op9_mixing, op10_url_filter)}
-ORACLES = {"op8_line_dedup": OP8_SQL, "op10_url_filter": OP10_SQL}
+    op1_language_id, op2_nearest, op3_token_ids, op4_decontamination, op5_license_scan, op6_simhash, op7_hmm_score, op8_line_dedup, op9_mixing, op10_url_filter,
+    op11_hard_negatives, op12_sentencepiece, op13_fill_in_middle)}
+ORACLES = {"op8_line_dedup": OP8_SQL, "op10_url_filter": OP10_SQL, "op11_hard_negatives": OP11_SQL, "op13_fill_in_middle": OP13_SQL}
