@@ -27,17 +27,19 @@ def label_by_examples(rows: DataFrame, examples: DataFrame, k: int, id_col: str
 
 
 def rag_answer(questions: DataFrame, corpus: DataFrame, k: int, template: str, embedder: ModelFactory, model: ModelFactory,
-               question_id: str = "item_id", doc_id: str = "doc_id") -> DataFrame:
+               question_id: str = "item_id", doc_id: str = "doc_id", near: DataFrame | None = None) -> DataFrame:
     """Questions to k nearest documents, one context each, a prompt and the model's answer, as one job.
 
     Adds ``ids`` (documents in rank order), ``context``, ``prompt`` and ``answer``. A question without
-    any document gets the marker for an empty context.
+    any document gets the marker for an empty context. ``near`` (query_id, id, rank) takes the place of the vector search.
     """
-    # Stored, because the search counts and loads the questions: the embedder reads each of them once.
-    asked = pin(embed_text(questions, "question", embedder).withColumn("query_id", F.col(question_id)))
-    known = embed_text(corpus, "text", embedder).withColumn("id", F.col(doc_id))
+    asked = questions.withColumn("query_id", F.col(question_id))
+    if near is None:
+        # Stored, because the search counts and loads the questions: the embedder reads each of them once.
+        asked = pin(embed_text(asked, "question", embedder))
+        near = knn_join(asked, embed_text(corpus, "text", embedder).withColumn("id", F.col(doc_id)), k)
     # k rows per question, stored: the planner knows their size, and few rows spare the documents a shuffle.
-    near = pin(knn_join(asked, known, k))
+    near = pin(near)
     ranked = corpus.join(near.withColumnRenamed("id", doc_id), doc_id)
     contexts = context_pack(ranked, "query_id", "rank", doc_id, "text", queries=asked, ids="ids")
     prompt = compose_prompt(template, context=F.col("context"), question=F.col("question"))
