@@ -36,7 +36,7 @@ class ItemIndex:
     def __init__(self, items: list[tuple[int, str, str | None]], size: int = 5, overlap: float = 0.8, k1: float = 1.2, b: float = 0.75) -> None:
         self.size, self.overlap = size, overlap
         self.ids, self.words, self.answers = [], [], []
-        for i, question, answer in sorted(items):
+        for i, question, answer in sorted(items, key=lambda x: (x[0], x[1], x[2] is not None, x[2] or "")):
             words, tail = words_of(question), words_of(answer)
             if words or tail:
                 whole = words + tail
@@ -157,7 +157,9 @@ def with_matches(docs: DataFrame, items: DataFrame, text_col: str = "text", item
     an answer column the last quarter of the item's words is taken for it. ``score`` is BM25 of the best such passage.
 
     Items without words are not searched, null ids are allowed for texts but not for items. A null or empty text has no
-    matches. Rows keep their columns, a column named like ``out`` is replaced; repeated rows are each searched.
+    matches; a very long one is searched passage by passage. Without items no text has a match, an empty table gives an empty one. Items
+    that share an id are searched each for itself and may both be named; equal hits of one passage do not compete, all are returned. Rows keep
+    their columns, a column named like ``out`` is replaced; repeated rows are each searched.
     """
     spark = docs.sparkSession
     answer = F.col(answer_col) if answer_col else F.lit(None).cast("string")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -75,19 +77,23 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                   phrases: tuple[tuple[str, str], ...] = PHRASES, anchors: int = 3, share: float = 0.7) -> DataFrame:
     """(id, n_words, n_base, first_word, last_word, base_labels, labels, score) per row.
 
-    Index: each template's ``anchors`` rarest words over all documents, with their places in it. A text's anchor words are
-    looked up; a template is laid over the text where at least two of its anchors stand in their relative positions. It gives its
+    Index: each template's ``anchors`` rarest words over all documents, with their places in it; words that it holds more than once
+    come after the others and count at their first place. A text's anchor words are looked up; a template is laid over the text where at
+    least two of its anchors (the only one, if it has one) stand in their relative positions. It gives its
     label if its key phrase stands there complete and the matched words carry at least ``share`` of its weight (inverse document
     frequency). ``score`` is the best such share, 0 without one. ``n_base``, ``first_word`` and ``last_word`` are the number of
     places of ``phrases`` and their smallest and largest word number.
 
     All of it is one row at a time after a first pass that counts the template words. A null or empty text has no words,
-    empty labels and null places. Repeated rows stay; other columns are ignored.
+    empty labels and null places; a very long one is one row's work. Repeated rows stay; other columns are ignored; an empty table gives an
+    empty result. Places of one phrase never tie, equal shares of several templates give all their labels.
     """
+    if anchors < 1:
+        raise ValueError("at least one anchor is needed")
     vocabulary = sorted({w for t in templates for w in t.words})
     rows = docs.select(F.col(id_col).alias("_id"), words_of(F.col(text_col)).alias("_words"))
     weight = word_weights(docs.select(F.col(text_col).alias("_text")), words_of(F.col("_text")), vocabulary)
-    rare = {t: sorted({w for w in t.words if t.words.count(w) == 1}, key=lambda w: (-weight[w], w))[:anchors] for t in templates}
+    rare = {t: sorted(set(t.words), key=lambda w: (t.words.count(w) > 1, -weight[w], w))[:anchors] for t in templates}
     lasts = {p.split()[-1] for p, _ in phrases}
     looked = F.array(*[F.lit(w) for w in sorted(lasts.union(*rare.values()))])
     hit = F.transform("_words", lambda w, i: F.when(F.array_contains(looked, w), F.struct(w.alias("w"), i.alias("i"))))
@@ -108,7 +114,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def best(t: Template) -> Column:
         own = [places(w, t.words.index(w)) for w in rare[t]]
-        laid = F.array_union(F.array_union(F.array_intersect(own[0], own[1]), F.array_intersect(own[0], own[2])), F.array_intersect(own[1], own[2]))
+        laid = reduce(F.array_union, [F.array_intersect(a, b) for a, b in combinations(own, 2)]) if len(own) > 1 else own[0]
         total = sum(weight[w] for w in t.words)
         def worth(o: Column) -> Column:
             same = lambda n: (o + n >= 0) & F.coalesce(_at(o + n) == t.words[n], F.lit(False))

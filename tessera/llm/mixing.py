@@ -76,18 +76,20 @@ def mix(docs: DataFrame, weights: dict[str, float], rest: float, id_col: str = "
 
     The number of a row in its stream comes from numbers in ``classes`` hash classes of the stream, so a source with a third of all
     rows is spread over that many groups. The driver sees one count per stream, and the schedule sent to the tasks has at most
-    ``(streams ** 2)`` rows. A null id is hashed like any other, rows that share an id are ordered among themselves without
-    preference. Columns named ``mix_slot`` and ``mix_position`` are replaced. An empty table stays empty.
+    ``(streams ** 2)`` rows. A null id is hashed like any other, rows that share an id are ordered by a
+    hash of the whole row, so a task that runs again numbers them alike (rows that are wholly equal are interchangeable). Columns named ``mix_slot`` and ``mix_position`` are replaced. An empty table stays empty.
     """
     if any(w <= 0 for w in weights.values()) or rest <= 0:
         raise ValueError("weights must be positive")
     names = {source: i for i, source in enumerate(sorted(weights))}
     shares = {**{i: weights[source] for source, i in names.items()}, len(names): rest}
     docs = docs.drop("mix_slot", "mix_position")
+    own = [f.name for f in docs.schema if "map" not in f.dataType.simpleString()]
     number = F.lit(len(names))
     for source, i in names.items():
         number = F.when(F.col(source_col) == source, i).otherwise(number)
     keyed = docs.withColumn("_s", number).withColumn("_h", F.xxhash64(F.col(id_col).cast("string"))).withColumn("_c", F.pmod("_h", F.lit(classes)))
+    keyed = keyed.withColumn("_o", F.xxhash64(*own))
     counts = keyed.groupBy("_s", "_c").agg(F.count(F.lit(1)).alias("_n"))
     rows = {r["_s"]: r["n"] for r in counts.groupBy("_s").agg(F.sum("_n").alias("n")).collect()}
     stretches = plan(rows, shares, block, frame)
@@ -96,7 +98,7 @@ def mix(docs: DataFrame, weights: dict[str, float], rest: float, id_col: str = "
     before = counts.selectExpr("_s as _s2", "_c as _c2", "sum(_n) over (partition by _s order by _c) - _n as _before")
     kind = "array<struct<s:int,`from`:bigint,upto:bigint,quota:bigint,size:bigint,start:bigint,gaps:bigint,places:array<int>>>"
     table = docs.sparkSession.range(1).select(F.explode(F.from_json(F.lit(json.dumps(stretches)), kind)).alias("_p"))
-    numbered = (keyed.selectExpr("*", "row_number() over (partition by _s, _c order by _h) - 1 as _i")
+    numbered = (keyed.selectExpr("*", "row_number() over (partition by _s, _c order by _h, _o) - 1 as _i")
                 .join(before, (F.col("_s") == F.col("_s2")) & (F.col("_c") == F.col("_c2")))
                 .withColumn("_i", F.col("_i") + F.col("_before")).withColumn("_k", F.floor(F.col("_i") / block)))
     placed = numbered.join(F.broadcast(table), (F.col("_s") == F.col("_p.s")) & (F.col("_k") >= F.col("_p.from")) & (F.col("_k") < F.col("_p.upto")))

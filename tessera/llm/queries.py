@@ -99,13 +99,14 @@ OP10_SQL = r"""
 with recursive parts as (select page_id, url, html, position('://' in url) as cut from pages),
 split as (select page_id, url, html, case when cut > 0 then substr(url, cut + 3) else '' end as tail, coalesce(cut, 0) > 0 as ok from parts),
 page as (select page_id, url, html, ok, coalesce(translate(regexp_extract(tail, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
-  coalesce(regexp_extract(tail, '^[^/?#]*([^?#]*)', 1), '') as path, case when ok then regexp_extract(url, '^[^#]*') end as node from split),
+  coalesce(regexp_extract(tail, '^[^/?#]*([^?#]*)', 1), '') as path, case when ok then regexp_replace(regexp_replace(translate(regexp_extract(url, '(?s)^.*?://[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '^(http://.*):80$', '\1'), '^(https://.*):443$', '\1') || regexp_extract(url, '(?s)^.*?://[^/?#]*([^#]*)', 1) end as node from split),
 tag as (select node, url, regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*?\brel\s*=\s*["'']?canonical["'']?[^>]*>'), '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) as t from page where ok
   union all select node, url, regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*?\bhttp-equiv\s*=\s*["'']?refresh["'']?[^>]*>'), '(?is)\burl\s*=\s*["'']?([^"''\s>;]+)', 1) from page where ok),
 target as (select node, replace(t, '&amp;', '&') as t, regexp_extract(url, '^[^/?#]*://[^/?#]*') as origin, regexp_extract(url, '^[^?#]*') as base, regexp_extract(url, '^[^/?#]*:') as scheme
   from tag where t <> '' and not starts_with(t, '#')),
-edge as (select distinct node as a, regexp_extract(case when regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') then t when starts_with(t, '//') then scheme || t
-  when starts_with(t, '/') then origin || t when starts_with(t, '?') then base || t when base = origin then origin || '/' || t else regexp_extract(base, '^.*/') || t end, '^[^#]*') as b from target),
+whole as (select node, case when regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') then t when starts_with(t, '//') then scheme || t
+  when starts_with(t, '/') then origin || t when starts_with(t, '?') then base || t when base = origin then origin || '/' || t else regexp_extract(base, '^.*/') || t end as b from target),
+edge as (select distinct node as a, regexp_replace(regexp_replace(translate(regexp_extract(b, '(?s)^.*?://[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '^(http://.*):80$', '\1'), '^(https://.*):443$', '\1') || regexp_extract(b, '(?s)^.*?://[^/?#]*([^#]*)', 1) as b from whole),
 pair as (select a, b from edge union select b, a from edge),
 reach as (select a, b from pair union select reach.a, pair.b from reach join pair on reach.b = pair.a),
 rules(verdict, site, begins) as (values ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),

@@ -60,7 +60,10 @@ def page_links(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
 
 
 def node_of(url: Column) -> Column:
-    return F.regexp_extract(url, r"(?s)^[^#]*", 0)
+    """The url without its fragment, its scheme and host lower-cased (A-Z), without the usual port of http and https."""
+    begin = F.translate(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*", 0), UPPER, LOWER)
+    begin = F.regexp_replace(F.regexp_replace(begin, r"^(http://.*):80$", "$1"), r"^(https://.*):443$", "$1")
+    return F.concat(begin, F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^#]*)", 1))
 
 
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
@@ -73,7 +76,8 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str
     aliases, but never over an explicit allow. Aliases count even if they are no pages themselves.
 
     A null url, or one without ``://``, has an empty host and path and no alias. A null page has no links. Pages that share an
-    url are judged alike; repeated rows stay. Other columns are ignored.
+    url are judged alike; repeated rows stay. Other columns are ignored. Very long urls and pages are one row's work; an empty table gives an
+    empty result.
     """
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("_url"))
     edges = page_links(pages, url_col, html_col)

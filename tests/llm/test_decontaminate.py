@@ -91,3 +91,11 @@ def test_empty_tables(spark, docs):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert d.with_matches(docs([(1, "a b c")]), none).collect()[0]["matches"] == []
     assert d.with_matches(docs([]), spark.createDataFrame([(1, "a b c d e f")], "item_id bigint, text string")).count() == 0
+
+
+def test_items_with_one_id_and_question(spark, docs):
+    question = "what is the name of the tall red tower"
+    table = spark.createDataFrame([(1, question, None), (1, question, "grandview spire of the north"), (1, None, "grandview spire of the north"), (1, None, None)],
+                                  "item_id bigint, q string, a string")
+    got = d.with_matches(docs([(1, question)]), table, question_col="q", answer_col="a").collect()
+    assert [m["item_id"] for m in got[0]["matches"]] == [1]

@@ -1,6 +1,7 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import licenses
@@ -12,12 +13,12 @@ def words(text):
     return WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
 
 
-def slow(rows, templates=licenses.TEMPLATES, share=0.7):
+def slow(rows, templates=licenses.TEMPLATES, share=0.7, anchors=3):
     import math
     vocabulary = {w for t in templates for w in t.words}
     bags = [set(words(t)) for _, t in rows]
     weight = {w: 1 + math.log((1 + len(rows)) / (1 + sum(w in b for b in bags))) for w in vocabulary}
-    rare = {t: sorted({w for w in t.words if t.words.count(w) == 1}, key=lambda w: (-weight[w], w))[:3] for t in templates}
+    rare = {t: sorted(set(t.words), key=lambda w: (t.words.count(w) > 1, -weight[w], w))[:anchors] for t in templates}
     out = []
     for i, text in rows:
         ws = words(text)
@@ -32,7 +33,7 @@ def slow(rows, templates=licenses.TEMPLATES, share=0.7):
             laid = range(-len(t.words), len(ws))
             same = lambda o, n: 0 <= o + n < len(ws) and ws[o + n] == t.words[n]  # noqa: E731, B023
             for o in laid:
-                if sum(same(o, t.words.index(w)) for w in rare[t]) < 2 or not all(same(o, n) for n in t.key_at):
+                if sum(same(o, t.words.index(w)) for w in rare[t]) < min(2, len(rare[t])) or not all(same(o, n) for n in t.key_at):
                     continue
                 worth = min(1.0, sum(weight[w] for n, w in enumerate(t.words) if same(o, n)) / sum(weight[w] for w in t.words))
                 if worth >= share:
@@ -61,3 +62,17 @@ def test_matches_brute_force(docs):
 
 def test_empty(docs):
     assert licenses.scan_licenses(docs([])).count() == 0
+
+
+@pytest.mark.parametrize("anchors", [1, 2, 5])
+def test_any_number_of_anchors(docs, anchors):
+    """Also templates with fewer words than anchors, and with words that stand in them more than once."""
+    rng = random.Random(anchors)
+    own = (*licenses.TEMPLATES[:3], licenses.Template("short", "wtfpl", "wtfpl"), licenses.Template("two", "free free", "free free"),
+           licenses.Template("twice", "do what you want do what you like", "want do what"))
+    rows = [(i, " ".join(rng.choices(["free", "wtfpl", "do", "what", "you", "want", "like", "the"], k=rng.randrange(20))) + rng.choice(["", " do what you want do what you like"]))
+            for i in range(120)]
+    got = [(*tuple(r)[:-1], round(r[-1], 9)) for r in licenses.scan_licenses(docs(rows), templates=own, anchors=anchors).collect()]
+    assert sorted(got, key=repr) == slow(rows, own, anchors=anchors)
+    with pytest.raises(ValueError):
+        licenses.scan_licenses(docs(rows), anchors=0)

@@ -57,6 +57,8 @@ def test_stages_keep_columns_and_odd_rows(spark, docs, sf, folder):
     base = [(i, t, g, "src1") for i, (t, g) in enumerate([("the house and the tree by the lake", "en"), ("das Haus und der Baum am See dort", "de")] * 4)]
     rows = base + [(None, None, None, None), (50, "", "en", None), (51, "123", None, "src0"), (0, base[0][1], "en", "src1"), (52, "the tree " * 50_000, None, "x"), (None, "und der Baum steht dort", "de", "y")]
     frame = docs(rows).withColumn("score", F.lit(1)).withColumn("mix_slot", F.lit("k")).withColumn("_text", F.lit("t")).withColumn("component_id", F.lit(3))
+    frame = frame.withColumn("_row", F.concat(F.lit("r"), "doc_id")).withColumn("_matches", F.array(F.lit(5))).withColumn("mix_position", F.lit(8)).withColumn("matches", F.lit("m"))
+    extra = ["score", "mix_slot", "_text", "component_id", "_matches", "mix_position", "matches"]
     path = folder("in")
     frame.write.parquet(path)
     table, sizes = spark.read.parquet(path), []
@@ -66,6 +68,9 @@ def test_stages_keep_columns_and_odd_rows(spark, docs, sf, folder):
         out.write.parquet(folder(str(i)))
         table = spark.read.parquet(folder(str(i)))
         sizes.append(table.count())
+        if i < 4:
+            assert {tuple(map(str, r)) for r in table.select(*extra).distinct().collect()} == {("1", "k", "t", "3", "[5]", "8", "m")}
+            assert table.where("doc_id is not null and _row <> concat('r', doc_id)").isEmpty()
     assert sizes[0] == 11 and sizes[1] == 4 and sizes[2] == sizes[3] == sizes[4] == 4
 
 

@@ -43,3 +43,16 @@ def test_empty_and_repeated_rows(spark):
     assert judged(spark, []) == {}
     frame = spark.createDataFrame([(1, "http://a.net/", None)] * 3, SCHEMA)
     assert urls.judge_urls(frame, URL_RULES).count() == 3
+
+
+def test_case_of_hosts_and_usual_ports_make_no_other_node(spark):
+    link = '<link rel=canonical href="{}">'.format
+    rows = [(1, "http://one.com/a", link("http://Two.com/b")), (2, "http://two.com/b", link("HTTP://bad.NET:80/x")), (3, "http://bad.net/x", None),
+            (4, "https://three.com:443/C", link("http://bad.net/x")), (5, "https://THREE.com/C", None), (6, "https://three.com/c", None), (7, "https://three.com:80/C", None)]
+    assert {k: v[3] for k, v in judged(spark, rows).items()} == {1: "block", 2: "block", 3: "block", 4: "block", 5: "block", 6: "allow", 7: "allow"}
+
+
+def test_very_long_urls_and_pages(spark):
+    far = "http://far.com/" + "x/" * 50_000
+    rows = [(1, far, "<p>" * 200_000 + '<link rel=canonical href="http://bad.net/">'), (2, "http://bad.net/", None)]
+    assert {k: v[3] for k, v in judged(spark, rows).items()} == {1: "block", 2: "block"}
