@@ -21,16 +21,23 @@ MIN_SCORE = 0.25
 ORACLE_SQL = None
 
 
+def plain_names(docs: DataFrame) -> tuple[list[str], dict[str, str]]:
+    """Names that clash with none of an operator's own, and the name that stands for each column."""
+    names = [f"_d{i}" for i in range(len(docs.columns))]
+    return names, dict(zip(docs.columns, names))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts that are null, have no letter or resemble no language of the labelled rows.
 
-    Rows without a label train nothing. Without any labelled row nothing is known to judge by, so all texts with a letter stay.
+    Rows without a label train nothing. Without any labelled row nothing is known to judge by, so all texts with a letter stay. Repeated
+    rows are judged alike, other columns go along as they are.
     """
     model = language.fit_language_model(docs)
     if not model.langs:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    names = [f"_d{i}" for i in range(len(docs.columns))]
-    judged = language.predict_language(docs.toDF(*names), model, names, names[docs.columns.index("text")])
+    names, own = plain_names(docs)
+    judged = language.predict_language(docs.toDF(*names), model, names, own["text"])
     return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= min(MIN_SCORE, 0.5 / len(model.langs)))).select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
 
 
@@ -39,23 +46,26 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Null and empty texts have fingerprint zero, so one of them stays. A row without an id stays only if its group has no other.
     """
-    rows = pin(docs.withColumn("_row", F.monotonically_increasing_id()))
-    keyed = rows.select(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_row").alias("key"), "text")
+    names, own = plain_names(docs)
+    rows = pin(docs.toDF(*names).withColumn("_row", F.monotonically_increasing_id()))
+    keyed = rows.select(F.struct(F.col(own["doc_id"]).isNull().alias("n"), F.col(own["doc_id"]).alias("doc_id"), "_row").alias("key"), F.col(own["text"]).alias("text"))
     groups = simhash.simhash_groups(keyed, "key", "text", shingle=3, max_bits=3)
     kept = groups.where(F.col("key._row") == F.col("component_id._row")).select("key._row")
-    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
+    return rows.join(kept, "_row", "left_semi").select(*names).toDF(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in which a benchmark item stands; null and empty texts stay."""
-    found = decontaminate.with_matches(docs, load_table(spark, sf_dir, "benchmark"), out="_matches")
-    return found.where(F.size("_matches") == 0).select(*docs.columns)
+    names, own = plain_names(docs)
+    found = decontaminate.with_matches(docs.toDF(*names), load_table(spark, sf_dir, "benchmark"), text_col=own["text"], out="_matches")
+    return found.where(F.size("_matches") == 0).select(*names).toDF(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, sorted in the interleaved order of the sources; unknown and null sources share the rest."""
-    mixed = mixing.mix(docs, TARGETS, REST)
-    return mixed.orderBy("mix_position").select(*docs.columns)
+    """All rows, repeated ones too, sorted in the interleaved order of the sources; unknown and null sources share the rest. Other columns go along."""
+    names, own = plain_names(docs)
+    mixed = mixing.mix(docs.toDF(*names), TARGETS, REST, own["doc_id"], own["source"])
+    return mixed.orderBy("mix_position").select(*names).toDF(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
