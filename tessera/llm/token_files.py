@@ -10,11 +10,14 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Pieces in each of the two generations that a Python worker keeps with their ids, over all its tasks.
-MEMO = 400_000
+MEMO = 250_000
+#: Rows whose words are cut and looked up together.
+SLICE = 1500
 #: Stands for a line feed in the key of a piece; a text that holds it is encoded in one call.
 MARK = "\x00"
 
@@ -66,21 +69,57 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        whole = [not self.by_word or not t or MARK in t or any(s in t for s in self.special) for t in texts]
-        cut = [[] if w else (MARK + t.replace("\n", " " + MARK)).split(" ") for t, w in zip(texts, whole)]
+        ids, sizes = self.encode_column(pa.array(texts, pa.string()))
+        return np.split(ids, np.cumsum(sizes)[:-1]) if len(texts) else []
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, number of ids of each).
+
+        The words of all texts are cut and numbered at once; only the different ones are looked up.
+        """
+        if not self.by_word or not len(texts):
+            lists = [self._ids(t) for t in texts.to_pylist()]
+            return np.concatenate([np.zeros(0, np.int32), *lists]), np.fromiter(map(len, lists), np.int64, len(lists))
+        bad = pc.match_substring(texts, MARK)
+        for special in self.special:
+            bad = pc.or_(bad, pc.match_substring(texts, special))
+        whole = pc.or_(bad, pc.equal(texts, "")).to_numpy(zero_copy_only=False)
+        marked = pc.binary_join_element_wise(pa.scalar(MARK), pc.replace_substring(texts, "\n", " " + MARK), "")
+        words = pc.split_pattern(marked, " ")
+        bounds = words.offsets.to_numpy().astype(np.int64)
+        coded = words.values.dictionary_encode()
+        which = coded.indices.to_numpy()
+        pieces = coded.dictionary.to_pylist()
         if len(self.memo) > MEMO:
             self.older, self.memo = self.memo, {}
-        missing = set().union(*cut).difference(self.memo)
-        # empty pieces and those with other white space mark the texts to encode in one call
-        odd = {p for p in missing if p not in self.older and (p == MARK or p.split() != [p])}
+        missing = set(pieces).difference(self.memo)
+        # empty pieces and those with other white space mark the texts to encode in one call; so do those of texts that are in any case
+        odd = {p for p in missing if p not in self.older and (p == MARK or p.split() != [p] or MARK in p[1:])}
         if odd:
-            whole = [w or not odd.isdisjoint(c) for w, c in zip(whole, cut)]
+            at = np.fromiter((p in odd for p in pieces), bool, len(pieces))[which]
+            whole = whole | np.logical_or.reduceat(at, bounds[:-1])
         passing = self._recall(missing - odd)
-        find = self.memo.__getitem__
-        out = [self._ids(t) if w else np.frombuffer(b"".join(map(find, c)), np.int32)[1:] for t, w, c in zip(texts, whole, cut)]
+        found = [self.memo.get(p, b"") for p in pieces]
         for p in passing:
             del self.memo[p]
-        return out
+        widths = np.fromiter(map(len, found), np.int32, len(found)) >> 2
+        store, begins = np.frombuffer(b"".join(found), np.int32), np.cumsum(widths, dtype=np.int32) - widths
+        # the first piece of a text has the ids of a line feed before it, which the text has not
+        begin, width = begins[which], widths[which]
+        begin[bounds[:-1]] += 1
+        width[bounds[:-1]] -= 1
+        width[bounds[:-1]] = np.maximum(width[bounds[:-1]], 0)
+        if whole.any():
+            width[np.repeat(whole, np.diff(bounds))] = 0
+        ends = np.cumsum(width, dtype=np.int32)
+        ids = store[np.repeat(begin - ends + width, width) + np.arange(ends[-1], dtype=np.int32)]
+        sizes = np.diff(np.append(0, ends)[bounds])
+        if whole.any():
+            parts = np.split(ids, np.cumsum(sizes)[:-1])
+            for i in np.flatnonzero(whole).tolist():
+                parts[i] = self._ids(texts[i].as_py())
+            ids, sizes = np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
+        return ids, sizes
 
     def _recall(self, pieces: set[str]) -> list[str]:
         """Fills the memo; returns the pieces that need not stay.
@@ -153,15 +192,14 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, id_col: str =
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before = TaskContext.get().partitionId(), 0
-        end = np.array([end_id], np.int32)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                piece = batch.slice(at, 500)
-                ids = [np.append(x, end) for x in encoder(tokenizer_path).encode(piece.column("text").to_pylist())]
-                sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            for at in range(0, batch.num_rows, SLICE):
+                piece = batch.slice(at, SLICE)
+                ids, sizes = encoder(tokenizer_path).encode_column(piece.column("text"))
+                ids, sizes = np.insert(ids, np.cumsum(sizes), end_id), sizes + 1
                 ends = before + np.cumsum(sizes)
-                lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.array(np.concatenate(ids)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), part, np.int32)), piece.column("doc_id"), pa.array(ends - sizes),
+                lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sizes), part, np.int32)), piece.column("doc_id"), pa.array(ends - sizes),
                                                   pa.array(sizes), lists], names=["part", "doc_id", "local_start", "n_tokens", "tokens"])
                 before = int(ends[-1])
 
