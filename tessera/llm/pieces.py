@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame, functions as F
 #: How a model writes a space.
 SPACE = "▁"
 #: Words in each of the two generations that a Python worker keeps with their ids, over all its tasks.
-MEMO = 300_000
+MEMO = 150_000
 #: Characters of texts that one batch of merge rounds takes at least (one text may be longer).
-ROUND_CHARS = 1 << 21
+ROUND_CHARS = 1 << 19
 NONE = np.int32(2**31 - 1)
 
 codecs.register_error("tessera-one-byte", lambda e: ("�", e.start + 1))
@@ -245,7 +245,7 @@ def piece_model(path: str) -> PieceModel:
     return PieceModel(path)
 
 
-def _slices(column: pa.Array, rows: int = 1000) -> Iterator[pa.Array]:
+def _slices(column: pa.Array, rows: int = 250) -> Iterator[pa.Array]:
     return (column.slice(i, rows) for i in range(0, len(column), rows))
 
 
