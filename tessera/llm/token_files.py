@@ -15,9 +15,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Pieces in each of the two generations that a Python worker keeps with their ids, over all its tasks.
-MEMO = 250_000
-#: Rows whose words are cut and looked up together.
-SLICE = 1500
+MEMO = 120_000
+#: Bytes of texts whose words are cut and looked up together (at least one text).
+SLICE = 10 << 20
 #: Stands for a line feed in the key of a piece; a text that holds it is encoded in one call.
 MARK = "\x00"
 
@@ -172,6 +172,16 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(first row, number of rows) of stretches of about ``SLICE`` bytes."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64))
+    at = 0
+    while at < len(ends):
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE, "right")))
+        yield at, upto - at
+        at = upto
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
                  order_cols: list[str] | None = None, end_id: int = 0, row_group_bytes: int = 32 << 20, page_rows: int = 2_000) -> None:
     """Encodes every whole text, appends ``end_id`` and writes files whose rows follow ``order_cols`` (by default the id).
@@ -193,8 +203,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, id_col: str =
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                piece = batch.slice(at, SLICE)
+            for at, rows in _slices(batch.column("text")):
+                piece = batch.slice(at, rows)
                 ids, sizes = encoder(tokenizer_path).encode_column(piece.column("text"))
                 ids, sizes = np.insert(ids, np.cumsum(sizes), end_id), sizes + 1
                 ends = before + np.cumsum(sizes)
