@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from tessera.functions.vectors import SCORE_DIGITS
 from tessera.inference.models import HashedEmbedder
-from tessera.operators import answering, ranking, retrieval
+from tessera.operators import answering, cells, ranking, retrieval
 from tessera.plans import sqltext
 from tessera.plans.registry import query
-from tessera.session import scratch_path
+from tessera.session import pin, scratch_path
 from tessera.sources.readers import heavy_table, load_table
 
 DIM = 64
@@ -156,6 +156,33 @@ def q_ann(spark, sf):
     return shown(retrieval.ann_topk(queries, rows, 10, bits=4, tables=8, exclude_self=True))
 
 
+@query("ann_cells", sqltext.shown(f"""
+WITH {VECTORS_SQL}
+SELECT q.id AS query_id, e.id, {sqltext.cosine('q.v', 'e.v')} AS score,
+       CAST(row_number() OVER (PARTITION BY q.id ORDER BY {sqltext.cosine('q.v', 'e.v')} DESC, e.id) AS INTEGER) AS rank
+FROM e q JOIN e ON q.id <> e.id AND q.id % 100 = 0 QUALIFY rank <= 10""", score=6))
+def q_ann_cells(spark, sf):
+    """The index of cells searched until its bounds say that the result is exact."""
+    rows = vectors(spark, sf)
+    index = cells.build_cells(rows, "id", "embedding", scratch_path(spark, "cells"))
+    queries = rows.where("id % 100 = 0").select(F.col("id").alias("query_id"), "embedding")
+    return shown(cells.cells_topk(index, queries, 10, exclude_self=True).drop("compared"))
+
+
+@query("ann_cells_recall")
+def q_ann_cells_recall(spark, sf):
+    """Recall of the nearest cells with a tenth of the documents, and the part of the documents that is compared, per query."""
+    docs = heavy_table(spark, sf, "documents").select("doc_id", "text")
+    known = pin(retrieval.embed_text(docs, "text", dim=DIM).select(F.col("doc_id").alias("id"), "embedding"))
+    queries = known.where("id % 100 = 0").select(F.col("id").alias("query_id"), "embedding")
+    index = cells.build_cells(known, "id", "embedding", scratch_path(spark, "cells"))
+    near = pin(cells.cells_topk(index, queries, 10, share=0.1))
+    compared = near.select("query_id", "compared").distinct()
+    recall = retrieval.recall_at_k(near, retrieval.knn_join(queries, known, 10), 10)
+    return recall.join(compared, "query_id").select(
+        "query_id", "recall", (F.col("compared") / F.lit(known.count())).alias("share"))
+
+
 def signs(column):
     """Vectors reduced to the sign of each number."""
     return F.transform(column, lambda x: F.when(x > 0, F.lit(1.0)).otherwise(F.lit(-1.0)))
