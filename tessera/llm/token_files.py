@@ -14,27 +14,30 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-#: Pieces in each of the two generations that a Python worker keeps with their ids, over all its tasks.
-MEMO = 120_000
 #: Bytes of texts whose words are cut and looked up together (at least one text).
-SLICE = 10 << 20
-#: Stands for a line feed in the key of a piece; a text that holds it is encoded in one call.
+SLICE = 5 << 20
+#: Stands for a line feed before a piece; a text that holds it is encoded in one call.
 MARK = "\x00"
+#: White space that is neither a space nor a line feed.
+OTHER_SPACE = "[\\t\\x0b-\\r\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+#: Letters up to U+024F: the pattern never cuts between them, and always after them where marks follow.
+LETTER = "[A-Za-z\\x{aa}\\x{b5}\\x{ba}\\x{c0}-\\x{d6}\\x{d8}-\\x{f6}\\x{f8}-\\x{24f}]"
+MARKS = ".,!?;:"
 
-#: How a byte-level vocabulary writes the bytes that are not visible characters: from U+0100 on, in order.
-BYTE_CHARS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
-SPACE = BYTE_CHARS.pop(ord(" "))
-#: Line feeds stay, as they part the words.
-del BYTE_CHARS[ord("\n")]
+#: How a byte-level vocabulary writes the bytes that are not visible characters: from U+0100 on, in order. Line feeds stay, as they part the words.
+BYTE_CHARS = np.arange(256, dtype="<u2")
+_HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+BYTE_CHARS[_HIDDEN] = 256 + np.arange(len(_HIDDEN))
+BYTE_CHARS[ord("\n")] = ord("\n")
 
 
 class Encoder:
-    """Ids of whole texts. With the byte-level pattern, words are encoded once and put together.
+    """Ids of whole texts. With the byte-level pattern, the different words of many texts are encoded once and put together.
 
     The pattern starts a piece at every space before a visible character, and a lone line feed is a piece of its own. So where all white
-    space is single spaces and line feeds inside the text, the ids of the words follow each other. Any other text, a text
-    with a special string and every text of another kind of tokenizer is encoded in one call. Words used lately are kept, in two
-    generations of bounded size.
+    space is single spaces and line feeds inside the text, the ids of the words follow each other. Marks at the end of a word of letters are
+    pieces of their own too. Any other text, a text with a special string and every text of another kind of tokenizer is encoded in one call.
+    Nothing is kept from call to call.
     """
 
     def __init__(self, path: str) -> None:
@@ -55,15 +58,13 @@ class Encoder:
             from tokenizers.models import BPE
             from tokenizers.pre_tokenizers import CharDelimiterSplit
 
-            # the memo stands before the model, so its own would only cost time
+            # every word comes once, so the model's own memory of words would only cost time
             pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
             self.letters = Tokenizer(BPE(model["vocab"], pairs, cache_capacity=0, ignore_merges=bool(model.get("ignore_merges"))))
             self.letters.pre_tokenizer = CharDelimiterSplit("\n")
             vocab = self.tokenizer.get_vocab()
-            self.widths = np.zeros(max(vocab.values()) + 1, np.int64)
+            self.widths = np.zeros(max(vocab.values()) + 1, np.int32)
             self.widths[list(vocab.values())] = list(map(len, vocab))
-        self.memo: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
@@ -73,10 +74,7 @@ class Encoder:
         return np.split(ids, np.cumsum(sizes)[:-1]) if len(texts) else []
 
     def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts one after another, number of ids of each).
-
-        The words of all texts are cut and numbered at once; only the different ones are looked up.
-        """
+        """(ids of all texts one after another, number of ids of each)."""
         if not self.by_word or not len(texts):
             lists = [self._ids(t) for t in texts.to_pylist()]
             return np.concatenate([np.zeros(0, np.int32), *lists]), np.fromiter(map(len, lists), np.int64, len(lists))
@@ -84,36 +82,24 @@ class Encoder:
         for special in self.special:
             bad = pc.or_(bad, pc.match_substring(texts, special))
         whole = pc.or_(bad, pc.equal(texts, "")).to_numpy(zero_copy_only=False)
-        marked = pc.binary_join_element_wise(pa.scalar(MARK), pc.replace_substring(texts, "\n", " " + MARK), "")
-        words = pc.split_pattern(marked, " ")
-        bounds = words.offsets.to_numpy().astype(np.int64)
+        words = pc.split_pattern(pc.binary_join_element_wise(pa.scalar(MARK), pc.replace_substring(texts, "\n", " " + MARK), ""), " ")
+        bounds = words.offsets.to_numpy()
         coded = words.values.dictionary_encode()
-        which = coded.indices.to_numpy()
-        pieces = coded.dictionary.to_pylist()
-        if len(self.memo) > MEMO:
-            self.older, self.memo = self.memo, {}
-        missing = set(pieces).difference(self.memo)
-        # empty pieces and those with other white space mark the texts to encode in one call; so do those of texts that are in any case
-        odd = {p for p in missing if p not in self.older and (p == MARK or p.split() != [p] or MARK in p[1:])}
-        if odd:
-            at = np.fromiter((p in odd for p in pieces), bool, len(pieces))[which]
-            whole = whole | np.logical_or.reduceat(at, bounds[:-1])
-        passing = self._recall(missing - odd)
-        found = [self.memo.get(p, b"") for p in pieces]
-        for p in passing:
-            del self.memo[p]
-        widths = np.fromiter(map(len, found), np.int32, len(found)) >> 2
-        store, begins = np.frombuffer(b"".join(found), np.int32), np.cumsum(widths, dtype=np.int32) - widths
-        # the first piece of a text has the ids of a line feed before it, which the text has not
+        which, pieces = coded.indices.to_numpy(), coded.dictionary
+        # empty pieces and those with other white space mark the texts to encode in one call
+        odd = pc.or_(pc.match_substring_regex(pieces, OTHER_SPACE), pc.or_(pc.equal(pieces, ""), pc.equal(pieces, MARK))).to_numpy(zero_copy_only=False)
+        if odd.any():
+            whole = whole | np.logical_or.reduceat(odd[which], bounds[:-1])
+        store, begins, widths = self._piece_ids(pieces, ~odd)
+        # the first piece of a text has the id of a line feed before it, which the text has not
         begin, width = begins[which], widths[which]
         begin[bounds[:-1]] += 1
-        width[bounds[:-1]] -= 1
-        width[bounds[:-1]] = np.maximum(width[bounds[:-1]], 0)
+        width[bounds[:-1]] = np.maximum(width[bounds[:-1]] - 1, 0)
         if whole.any():
             width[np.repeat(whole, np.diff(bounds))] = 0
         ends = np.cumsum(width, dtype=np.int32)
         ids = store[np.repeat(begin - ends + width, width) + np.arange(ends[-1], dtype=np.int32)]
-        sizes = np.diff(np.append(0, ends)[bounds])
+        sizes = np.diff(np.append(0, ends)[bounds]).astype(np.int64)
         if whole.any():
             parts = np.split(ids, np.cumsum(sizes)[:-1])
             for i in np.flatnonzero(whole).tolist():
@@ -121,49 +107,77 @@ class Encoder:
             ids, sizes = np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
         return ids, sizes
 
-    def _recall(self, pieces: set[str]) -> list[str]:
-        """Fills the memo; returns the pieces that need not stay.
-
-        The pattern also starts a piece where punctuation follows a letter, so such a word is put together for the time being.
-        """
-        older, memo = self.older, self.memo
-        ends = {p: stem for p in pieces if p[-1] in ".,!?;:" and (stem := p.rstrip(".,!?;:")) and stem[-1:].isalpha() and stem[-1] < "\u0250"}
-        parts = pieces.difference(ends).union(ends.values(), (MARK + p[len(stem):] for p, stem in ends.items())).difference(memo)
-        memo.update((p, older[p]) for p in parts if p in older)
-        memo.update(self._learn(list(parts.difference(memo))))
-        memo.update((p, memo[stem] + memo[MARK + p[len(stem):]][4:]) for p, stem in ends.items())
-        return list(ends)
-
-    def _learn_words(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of words of letters alone, each after a space. The pattern does not cut them, so the model gets them as they are.
+    def _piece_ids(self, pieces: pa.Array, fine: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, first, number) of each piece: those of its stem, then those of the marks at its end."""
+        stems = pc.utf8_rtrim(pieces, MARKS)
+        cut = pc.match_substring_regex(stems, LETTER + "$")
+        tail = pc.if_else(cut, pc.struct_field(pc.extract_regex(pieces, f"(?P<t>[{MARKS}]*)$"), "t"), "").dictionary_encode()
+        stem = pc.if_else(cut, stems, pieces).dictionary_encode()
+        used = np.zeros(len(stem.dictionary), bool)
+        used[stem.indices.to_numpy()[fine]] = True
+        store, first, width = self._word_ids(stem.dictionary, used)
+        there = np.flatnonzero(pc.not_equal(tail.dictionary, "").to_numpy(zero_copy_only=False))
+        first2, width2 = np.zeros(len(tail.dictionary), np.int32), np.zeros(len(tail.dictionary), np.int32)
+        store2, first2[there], width2[there] = self._lines(tail.dictionary.take(pa.array(there)), "")
+        a, b = stem.indices.to_numpy(), tail.indices.to_numpy()
+        wa, wb = width[a], np.where(fine, width2[b], 0).astype(np.int32)
+        total = wa + wb
+        begins = np.cumsum(total, dtype=np.int32) - total
+        out = np.empty(int(total.sum()), np.int32)
+        for own, start, count, at in ((store, first[a], wa, begins), (store2, first2[b], wb, begins + wa)):
+            steps = np.arange(int(count.sum()), dtype=np.int32) - np.repeat(np.cumsum(count, dtype=np.int32) - count, count)
+            out[np.repeat(at, count) + steps] = own[np.repeat(start, count) + steps]
+        return out, begins, total
+
+    def _word_ids(self, words: pa.Array, used: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, first, number) of words after a space, or after a line feed where ``MARK`` stands before them; unused ones have none."""
+        after_feed = pc.starts_with(words, MARK).to_numpy(zero_copy_only=False)
+        plain = pc.match_substring_regex(words, f"^{LETTER}+$").to_numpy(zero_copy_only=False) if self.letters else np.zeros(len(words), bool)
+        first, width = np.zeros(len(words), np.int32), np.zeros(len(words), np.int32)
+        stores, base = [], 0
+        for mask, encode in ((plain, self._letter_words), (~plain & ~after_feed, lambda w: self._lines(w, " ")),
+                             (~plain & after_feed, lambda w: self._lines(pc.utf8_slice_codeunits(w, 1), "", feed=True))):
+            at = np.flatnonzero(mask & used)
+            if len(at):
+                store, own, count = encode(words.take(pa.array(at)))
+                first[at], width[at] = own + base, count
+                stores.append(store)
+                base += len(store)
+        return np.concatenate([np.zeros(0, np.int32), *stores]), first, width
+
+    @staticmethod
+    def _joined(words: pa.Array, lead: str) -> bytes:
+        whole = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
+        return lead.encode() + pc.binary_join(whole, "\n" + lead)[0].as_buffer().to_pybytes()
+
+    def _letter_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Words of letters alone, each after a space. The pattern does not cut them, so the model gets them as they are.
 
         Its vocabulary writes bytes as characters; the characters of the ids show where each word ends.
         """
-        lines = "\n".join(words).encode().decode("latin-1").translate(BYTE_CHARS)
-        ids = np.array(self.letters.encode_batch_fast([SPACE + lines.replace("\n", "\n" + SPACE)], add_special_tokens=False)[0].ids, np.int32)
+        lines = BYTE_CHARS[np.frombuffer(self._joined(words, " "), np.uint8)].tobytes().decode("utf-16-le")
+        ids = np.array(self.letters.encode_batch_fast([lines], add_special_tokens=False)[0].ids, np.int32)
         ends = np.cumsum(self.widths[ids])
-        last = np.cumsum(np.fromiter(map(len, lines.split("\n")), np.int64, len(words)) + 1)
-        cuts = np.searchsorted(ends, last)
+        last = np.cumsum(pc.binary_length(words).to_numpy() + 1)
+        cuts = np.searchsorted(ends, last).astype(np.int32)
         if ends[-1] != last[-1] or (ends[cuts] != last).any():
             raise AssertionError("ids do not match words")
-        raw, stops = ids.tobytes(), (4 * (cuts + 1)).tolist()
-        return {p: raw[i:j] for p, i, j in zip(words, [0, *stops], stops)}
-
-    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        """Encodes pieces as the lines of one text, once after a line feed and once after a space; words of letters go another way."""
-        feed, out = self.feed.tobytes(), {}
-        if self.letters and (words := [p for p in pieces if p.isalpha() and (p.isascii() or max(p) < "\u0250")]):
-            out = self._learn_words(words)
-            pieces = [p for p in pieces if p not in out]
-        for group, lead, first in (([p for p in pieces if p[0] == MARK], "", feed), ([p for p in pieces if p[0] != MARK], " ", b"")):
-            if group:
-                ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(lead + p.removeprefix(MARK) for p in group)], add_special_tokens=False)[0].ids, np.int32)
-                cuts = (4 * np.flatnonzero(ids == self.feed[0])).tolist()
-                if len(cuts) != len(group) - 1:
-                    raise AssertionError("lines do not match pieces")
-                raw = ids.tobytes()
-                out.update((p, first + raw[i + 4:j]) for p, i, j in zip(group, [-4, *cuts], [*cuts, len(raw)]))
-        return out
+        stops = cuts + 1
+        first = np.append(0, stops[:-1]).astype(np.int32)
+        return ids, first, stops - first
+
+    def _lines(self, words: pa.Array, lead: str, feed: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Words as the lines of one text, each after ``lead``; with ``feed`` the line feed before a word belongs to it."""
+        if not len(words):
+            return np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        text = ("\n" if feed else "") + self._joined(words, lead).decode()
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
+        feeds = np.flatnonzero(ids == self.feed[0]).astype(np.int32)
+        if len(feeds) != len(words) - (not feed):
+            raise AssertionError("lines do not match words")
+        first = feeds if feed else np.append(-1, feeds).astype(np.int32) + 1
+        stops = np.append(feeds[1:] if feed else feeds, len(ids)).astype(np.int32)
+        return ids, first, stops - first
 
 
 @cache

@@ -29,16 +29,39 @@ def test_pieces_give_the_ids_of_whole_texts():
         assert ids.tolist() == plain(text), repr(text)
 
 
-def test_memo_is_bounded():
-    old, token_files.MEMO = token_files.MEMO, 20
-    try:
-        encoder = token_files.Encoder(PATH)
-        for i in range(30):
-            text = " ".join(f"w{j}" for j in range(i, i + 8)) + "\nend"
-            assert encoder.encode([text])[0].tolist() == plain(text)
-            assert len(encoder.memo) <= 40 and len(encoder.older) <= 40
-    finally:
-        token_files.MEMO = old
+def test_calls_do_not_depend_on_each_other():
+    encoder = token_files.Encoder(PATH)
+    for i in range(30):
+        text = " ".join(f"w{j}" for j in range(i, i + 8)) + "\nend"
+        assert encoder.encode([text])[0].tolist() == plain(text)
+    held = {k: v for k, v in vars(encoder).items() if isinstance(v, (dict, list, set))}
+    assert all(len(v) < 10 for v in held.values())
+
+
+def test_slices_of_a_column(monkeypatch):
+    import pyarrow as pa
+
+    texts = ["a" * n for n in (3, 900, 0, 50, 50, 5000, 1)] + [None]
+    monkeypatch.setattr(token_files, "SLICE", 100)
+    cut = list(token_files._slices(pa.array(texts, pa.string())))
+    assert [a for a, _ in cut] == [0, 1, 2, 5, 6] and sum(n for _, n in cut) == 8
+    assert list(token_files._slices(pa.array([], pa.string()))) == []
+
+
+def test_columns_of_many_texts_and_another_tokenizer():
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    texts = [" ".join(rng.choices(["Haus.", "the", "é!", "x,y", "12.", "it's", "\n", "\t", "naïve;", "日本.", "a\nb", "", "...", "<|endoftext|>", "\x00", "ſ.", "ɐ,"], k=rng.randrange(7))) for _ in range(4000)]
+    ids, sizes = token_files.Encoder(PATH).encode_column(pa.array(texts))
+    ends = np.cumsum(sizes)
+    for t, i, j in zip(texts, ends - sizes, ends):
+        assert ids[i:j].tolist() == plain(t), repr(t)
+    other = public_tokenizers.path("word_bpe_49k.json")
+    encoder, lib = token_files.Encoder(other), Tokenizer.from_file(other)
+    assert not encoder.by_word
+    for t, got in zip(texts[:300], encoder.encode(texts[:300])):
+        assert got.tolist() == lib.encode(t, add_special_tokens=False).ids
 
 
 def check(spark, frame, rows, folder):
