@@ -58,17 +58,20 @@ def op7_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load_table(spark, sf_dir, "documents")
     docs = docs.select("doc_id", "text", F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("row"))
-    kept = lines.drop_repeated_lines(docs, row_col="row")
+    kept = lines.drop_repeated_lines(docs, row_col="row", min_chars=60)
     return kept.select("doc_id", "n_lines", "n_removed", "longest_run", F.md5("text").alias("kept_md5"))
 
 
 OP8_SQL = """
 with cut as (select doc_id, text, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as pos
   from documents where text is not null),
-nexts as (select *, lead(line) over (partition by doc_id order by pos) as line2 from cut),
-marked as (select *, row_number() over (partition by line order by doc_id, pos) > 1 and length(line) >= 60 as later1,
-  line2 is not null and row_number() over (partition by line, line2 order by doc_id, pos) > 1 as later2 from nexts),
-gone as (select *, later1 or later2 or coalesce(lag(later2) over (partition by doc_id order by pos), false) as gone_too from marked),
+whole as (select doc_id, string_split(text, chr(10)) as ls from documents where text is not null),
+spans as (select doc_id, pos, h, array_to_string(ls[pos + 1:pos + h], chr(10)) as body, length(array_to_string(ls[pos + 1:pos + h], '')) as chars
+  from (select doc_id, ls, unnest(range(len(ls))) as pos from whole) join (select 2 ** k as h from range(1, 16) t(k)) on pos + h <= len(ls)),
+copies as (select doc_id, pos, h, chars, row_number() over (partition by h, body order by doc_id, pos) > 1 as later from spans),
+covered as (select distinct doc_id, unnest(range(pos, (pos + h)::bigint)) as pos from copies where later and chars >= 60),
+marked as (select *, row_number() over (partition by line order by doc_id, pos) > 1 and length(line) >= 60 as later1 from cut),
+gone as (select m.*, later1 or c.pos is not null as gone_too from marked m left join covered c using (doc_id, pos)),
 runs as (select *, pos - row_number() over (partition by doc_id, gone_too order by pos) as island from gone),
 longest as (select doc_id, max(n) as n from (select doc_id, count(*) as n from runs where gone_too group by doc_id, island) group by doc_id),
 docs as (select doc_id, count(*) as n_lines, count(*) filter (gone_too) as n_removed, string_agg(line, chr(10) order by pos) filter (not gone_too) as kept from gone group by doc_id)
