@@ -6,6 +6,13 @@ limit, and numbering over the whole table is split over range partitions.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import accumulate
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,36 +37,76 @@ def latest_per_key(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
     return topk_per_group(df, [key], order, 1, "_newest").drop("_newest")
 
 
+class _Running:
+    """A running sum or maximum over Arrow batches; a null adds nothing."""
+
+    def __init__(self, add: bool) -> None:
+        self.add, self.last = add, None
+
+    def push(self, column: pa.Array) -> pa.Array:
+        kind, cells = column.type, column
+        if pa.types.is_temporal(kind):
+            cells = cells.cast(pa.int64() if kind.bit_width == 64 else pa.int32()).cast(pa.int64())
+        if self.last is not None:
+            cells = pa.concat_arrays([pa.array([self.last], cells.type), cells])
+        if pa.types.is_integer(cells.type) or pa.types.is_floating(cells.type):
+            run = (pc.cumulative_sum if self.add else pc.cumulative_max)(cells, skip_nulls=True)
+            run = pc.fill_null_forward(run)
+        else:
+            def step(a, b):
+                return a if b is None else b if a is None else a + b if self.add else max(a, b)
+            run = pa.array(accumulate(cells.to_pylist(), step), cells.type)
+        run = run.slice(1) if self.last is not None else run
+        if len(run):
+            self.last = run[-1].as_py()
+        return run.cast(pa.int64() if kind.bit_width == 64 else pa.int32()).cast(kind) if pa.types.is_temporal(kind) else run
+
+
 def global_running(df: DataFrame, order: list[Column], sums: dict[str, Column] | None = None,
                    row_number: str | None = None, maxes: dict[str, Column] | None = None,
                    partitions: int | None = None) -> DataFrame:
     """Row number, running sums and running maxima over the whole table in the given total order.
 
-    Rows are range-partitioned and pinned, each range is worked on its own, and the range totals
-    (one row per range) are carried over. Pass narrow rows: they are written once.
+    One exchange: rows go to ranges of the order, are sorted there, get the running values of their range in one pass, and
+    are written. Then the totals of the ranges (one row per range) are carried over. Ranges come from a sample, so a value that many rows
+    share does not swell one as long as the order is total; without ``partitions`` their number follows the size of the rows. Pass narrow rows:
+    they are written once. Sums of integers are bigint; nulls add nothing.
     """
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    work = {name: (c, F.sum) for name, c in (sums or {}).items()}
-    work.update({name: (c, F.max) for name, c in (maxes or {}).items()})
+    work = {name: (c, True) for name, c in (sums or {}).items()}
+    work.update({name: (c, False) for name, c in (maxes or {}).items()})
     if row_number:
-        work[row_number] = (F.lit(1).cast("bigint"), F.sum)
+        work[row_number] = (F.lit(1).cast("bigint"), True)
     cells = df.select("*", *[c.alias(f"_in_{name}") for name, (c, _) in work.items()])
-    ranged = pin(cells.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()))
-    totals = ranged.groupBy("_range").agg(*[fn(f"_in_{name}").alias(f"_all_{name}") for name, (_, fn) in work.items()])
+    whole = {"tinyint", "smallint", "int", "bigint"}
+    kinds = {name: kind if not add or kind not in {*whole, "float"} else "bigint" if kind in whole else "double"
+             for name, (_, add) in work.items() for kind in [cells.schema[f"_in_{name}"].dataType.simpleString()]}
+    cells = cells.select(*df.columns, *[F.col(f"_in_{name}").cast(kind).alias(f"_in_{name}") for name, kind in kinds.items()])
+    ranged = (cells.repartitionByRange(partitions, *order) if partitions else cells.repartitionByRange(*order)).sortWithinPartitions(*order)
+    adds = {name: add for name, (_, add) in work.items()}
+    keep = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        states, at, part = {name: _Running(add) for name, add in adds.items()}, 0, TaskContext.get().partitionId()
+        for b in batches:
+            n = b.num_rows
+            values = [states[name].push(b.column(b.schema.get_field_index(f"_in_{name}"))) for name in adds]
+            yield pa.RecordBatch.from_arrays([*b.columns[:len(keep)], *values, pa.array(np.full(n, part, np.int32)), pa.array(np.arange(at, at + n))],
+                                             names=[*keep, *[f"_run_{name}" for name in adds], "_range", "_at"])
+            at += n
+
+    fields = [*[f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema], *[f"`_run_{name}` {kind}" for name, kind in kinds.items()], "_range int", "_at bigint"]
+    done = pin(ranged.mapInArrow(run, ", ".join(fields)))
+    totals = done.groupBy("_range").agg(*[F.max_by(f"_run_{name}", "_at").alias(f"_all_{name}") for name in adds])
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_range", *[fn(f"_all_{name}").over(before).alias(f"_off_{name}")
-                                        for name, (_, fn) in work.items()])
-    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    offsets = totals.select("_range", *[(F.sum if add else F.max)(f"_all_{name}").over(before).alias(f"_off_{name}") for name, add in adds.items()])
     # One row per range, so the size of the broadcast is the number of partitions.
-    joined = ranged.join(F.broadcast(offsets), "_range")
+    joined = done.join(F.broadcast(offsets), "_range")
 
-    def carried(name: str, fn) -> Column:
-        local, off = fn(f"_in_{name}").over(inside), F.col(f"_off_{name}")
-        return local + F.coalesce(off, F.lit(0)) if fn is F.sum else F.greatest(local, off)
+    def carried(name: str, add: bool) -> Column:
+        local, off = F.col(f"_run_{name}"), F.col(f"_off_{name}")
+        return F.coalesce(local + F.coalesce(off, F.lit(0)), off) if add else F.greatest(local, off)
 
-    out = joined.select("*", *[carried(name, fn).alias(name) for name, (_, fn) in work.items()])
-    return out.drop("_range", *[f"_in_{name}" for name in work], *[f"_off_{name}" for name in work])
+    return joined.select(*keep, *[carried(name, add).cast(kinds[name]).alias(name) for name, add in adds.items()])
 
 
 def min_length_filter(df: DataFrame, text: str, n: int, id_col: str, header: str | None = None) -> DataFrame:

@@ -41,9 +41,12 @@ def roll_up(windows: DataFrame, keys: list[str], width: str | None = None, slide
 
 def quantiles_of(windows: DataFrame, ps: list[float]) -> DataFrame:
     """Sketch rows with a column ``p50``, ``p99`` and so on for each of ``ps``, and ``distinct``, instead of the sketches."""
-    found = [F.kll_sketch_get_quantile_double("quantiles", F.lit(p)).alias(f"p{p * 100:g}") for p in ps]
+    some = F.coalesce(F.col("rows") > 0, F.lit(False))
+    # a sketch without values has no quantiles
+    held = F.when(some, F.kll_sketch_get_n_double("quantiles") > 0)
+    found = [F.when(held, F.kll_sketch_get_quantile_double("quantiles", F.lit(p))).alias(f"p{p * 100:g}") for p in ps]
     plain = [c for c in windows.columns if c not in ("quantiles", "distincts")]
-    return windows.select(*plain, *found, F.hll_sketch_estimate("distincts").alias("distinct"))
+    return windows.select(*plain, *found, F.when(some, F.hll_sketch_estimate("distincts")).alias("distinct"))
 
 
 def rank_holds(below: Column, upto: Column, n: Column, p: float, error: float = RANK_ERROR) -> Column:

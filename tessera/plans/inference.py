@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import language
+from tessera.functions.text import tokenize_words
 from tessera.inference import models, runner
 from tessera.operators import answering
 from tessera.operators.relational import replicate_rows
+from tessera.operators.valence import ValenceRules, text_valence
 from tessera.plans import sqltext
 from tessera.plans.registry import query
+from tessera.session import pin
 from tessera.sources.readers import heavy_table, load_table
 
 SUM_SQL = "length({t}) || ':' || md5({t})"
@@ -113,6 +116,39 @@ def q_sentiment(spark, sf):
     return docs(spark, sf).select("doc_id", language.sentiment(F.col("text"), LEXICON).alias("s")).select("doc_id", "s.*")
 
 
+#: Rules over frequent words of the test texts, and a lexicon of an eighth of all words with a polarity drawn from their hash.
+VALENCE = ValenceRules(negations=("of", "der"), degrees={"the": 0.293, "de": 0.293, "is": -0.293, "die": -0.293}, contrasts=("and", "und", "que"))
+
+
+@query("text_valence", f"""
+WITH d AS (SELECT doc_id, text, regexp_extract_all(text, {sqltext.WORDS}) AS ws FROM documents),
+ tok AS (SELECT doc_id, w, lower(w) AS l, i, upper(w) = w AND lower(w) <> w AS caps FROM (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS i FROM d)),
+ lex AS (SELECT l AS word, (CAST('0x' || substr(md5(l), 2, 1) AS INTEGER) - 7.5) / 3 AS valence FROM (SELECT DISTINCT l FROM tok) WHERE substr(md5(l), 1, 1) < '2'),
+ about AS (SELECT doc_id, max(i) FILTER (l IN ('and', 'und', 'que')) AS last, bool_or(NOT caps) AS mixed FROM tok GROUP BY 1),
+ near AS (SELECT *, lag(l, 1) OVER o AS p1, lag(l, 2) OVER o AS p2, lag(l, 3) OVER o AS p3 FROM tok WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+ deg(w, x) AS (VALUES ('the', 0.293::DOUBLE), ('de', 0.293), ('is', -0.293), ('die', -0.293)),
+ v1 AS (SELECT n.doc_id, i, last, p1, p2, p3, valence::DOUBLE AS v0, valence::DOUBLE + CASE WHEN caps AND mixed THEN sign(valence) * 0.733 ELSE 0 END
+    + sign(valence) * coalesce(a.x, 0) * 1.0 + sign(valence) * coalesce(b.x, 0) * 0.95 + sign(valence) * coalesce(c.x, 0) * 0.9 AS v
+   FROM near n JOIN lex ON l = word JOIN about USING (doc_id) LEFT JOIN deg a ON a.w = p1 LEFT JOIN deg b ON b.w = p2 LEFT JOIN deg c ON c.w = p3),
+ v2 AS (SELECT doc_id, round(v * CASE WHEN coalesce(p1 IN ('of', 'der'), false) OR coalesce(p2 IN ('of', 'der'), false) OR coalesce(p3 IN ('of', 'der'), false) THEN -0.74 ELSE 1 END
+    * CASE WHEN last IS NULL THEN 1 WHEN i < last THEN 0.5 WHEN i > last THEN 1.5 ELSE 1 END, 9) AS v FROM v1),
+ sums AS (SELECT doc_id, sum(v) AS s, sum(v + 1) FILTER (v > 0) AS p, sum(1 - v) FILTER (v < 0) AS n, count(*) FILTER (v <> 0) AS k FROM v2 GROUP BY 1),
+ marks AS (SELECT doc_id, coalesce(len(ws), 0) AS al, least(length(regexp_replace(coalesce(text, ''), '[^!]', '', 'g')), 4) * 0.292::DOUBLE
+    + CASE WHEN length(regexp_replace(coalesce(text, ''), '[^?]', '', 'g')) > 3 THEN 0.96::DOUBLE WHEN length(regexp_replace(coalesce(text, ''), '[^?]', '', 'g')) > 1
+      THEN length(regexp_replace(coalesce(text, ''), '[^?]', '', 'g')) * 0.18::DOUBLE ELSE 0 END AS m FROM d),
+ j AS (SELECT doc_id, m, coalesce(s, 0) AS s, coalesce(p, 0) AS p, coalesce(n, 0) AS n, al - coalesce(k, 0) AS u FROM marks LEFT JOIN sums USING (doc_id)),
+ z AS (SELECT doc_id, round(s + sign(s) * m, 9) AS s, p + CASE WHEN p > n THEN m ELSE 0 END AS p, n + CASE WHEN n > p THEN m ELSE 0 END AS n, u FROM j)
+SELECT doc_id, CASE WHEN p + n + u = 0 THEN 0.0 ELSE round(n / (p + n + u), 3) END AS neg, CASE WHEN p + n + u = 0 THEN 0.0 ELSE round(u / (p + n + u), 3) END AS neu,
+  CASE WHEN p + n + u = 0 THEN 0.0 ELSE round(p / (p + n + u), 3) END AS pos, round(s / sqrt(s * s + 15), 4) AS compound FROM z""")
+def q_text_valence(spark, sf):
+    """A lexicon of thousands of words, as a table."""
+    rows = docs(spark, sf).select("doc_id", "text")
+    word = rows.select(F.explode(tokenize_words(F.col("text"))).alias("word")).distinct()
+    digit = F.conv(F.substring(F.md5("word"), 2, 1), 16, 10).cast("int")
+    lexicon = pin(word.where(F.substring(F.md5("word"), 1, 1) < "2").select("word", ((digit - 7.5) / 3).alias("valence")))
+    return text_valence(rows, "doc_id", "text", lexicon, VALENCE)
+
+
 @query("sentiment_x30", f"""
 WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), {sqltext.WORDS})) AS w FROM documents),
  s AS (SELECT doc_id, sum(coalesce(v, 0)) AS s FROM t LEFT JOIN (VALUES {LEXICON_SQL}) l(w, v) USING (w) GROUP BY 1)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import tokenize_words
 from tessera.inference import models
-from tessera.operators import answering, postings, retrieval
+from tessera.operators import answering, postings, reranking, retrieval
 from tessera.plans import sqltext
 from tessera.plans.inference import SUM_SQL, TEMPLATE
 from tessera.plans.registry import query
@@ -157,3 +157,25 @@ def q_rag_expanded(spark, sf):
     near = postings.expanded_join(text_index(spark, sf), items(spark, sf), 4)
     questions = load_table(spark, sf, "benchmark").withColumnRenamed("text", "question")
     return answering.rag_answer(questions, docs, 4, TEMPLATE, models.HashedEmbedder(64), models.Checksum(), near=near).select("item_id", "ids", "answer")
+
+
+@query("semantic_rerank", sqltext.shown(f"""
+WITH {INDEX_SQL}, {PLAIN_SQL}, {SCORE_SQL},
+ found AS (SELECT qid, key AS id FROM score QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, key) <= 8),
+ sents AS (SELECT id * 100000 + n AS sid, id, s FROM (SELECT id, unnest(p) AS s, generate_subscripts(p, 1) AS n FROM (
+     SELECT doc_id AS id, regexp_split_to_array(text, '[.!?]+[ \n]+|\n+') AS p FROM documents WHERE doc_id IN (SELECT id FROM found)))
+   WHERE len(regexp_extract_all(lower(s), {sqltext.WORDS})) > 0),
+ term AS (SELECT qid, words[1] AS w, row_number() OVER (ORDER BY qid, words[1]) AS wid FROM clauses),
+ {sqltext.embed('sv', 'sents', 'sid', 's')}, {sqltext.embed('wv', 'term', 'wid', 'w')},
+ best AS (SELECT f.qid, f.id, t.wid, max(list_cosine_similarity(sv.v, wv.v)) AS c FROM found f JOIN term t ON t.qid = f.qid JOIN wv ON wv.key = t.wid
+   JOIN sents p ON p.id = f.id JOIN sv ON sv.key = p.sid GROUP BY ALL),
+ near AS (SELECT qid, id, round(avg(c), 12) AS score FROM best GROUP BY ALL)
+SELECT qid AS query_id, id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS INTEGER) AS rank,
+  CAST(1 + floor(least(score, 0.4) * 10 + 1e-9) AS INTEGER) AS level FROM near""", score=6))
+def q_semantic_rerank(spark, sf):
+    """Passages found by words, ranked again by their sentences, with the highest strictness level that each passes."""
+    found = postings.keyword_join(text_index(spark, sf), items(spark, sf), 8)
+    docs = heavy_table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    ranked = reranking.semantic_rerank(found, docs, items(spark, sf), models.HashedEmbedder(DIM), 1)
+    level = sum((F.col("score") >= least).cast("int") for least in reranking.STRICTNESS.values())
+    return shown(ranked.withColumn("level", level))

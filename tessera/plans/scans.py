@@ -8,6 +8,7 @@ from tessera.functions.text import vector_literal
 from tessera.operators import ranking, relational
 from tessera.plans.registry import query
 from tessera.session import scratch_path
+from tessera.sources import layout
 from tessera.sources.readers import load_binary, load_csv, load_table, load_whole_text
 from tessera.sources.writers import load_check, materialize_if_stale, save_csv, save_table
 
@@ -60,6 +61,28 @@ def q_take_matching(spark, sf):
     return ranking.take_matching(docs, short, 500, [F.col("doc_id")]).select("doc_id", "lang", "n_chars")
 
 
+@query("take_matching_early", """
+SELECT doc_id, lang, n_chars FROM documents WHERE lang = 'en' AND length(text) < 3000 ORDER BY doc_id LIMIT 60""")
+def q_take_matching_early(spark, sf):
+    """The same over a table whose files follow the id: reading stops once the rows are certain."""
+    path = scratch_path(spark, "by-id")
+    load_table(spark, sf, "documents").repartitionByRange(32, "doc_id").write.parquet(path)
+    short = (F.col("lang") == "en") & (F.char_length("text") < 3000)
+    return layout.take_matching_early(spark, path, short, 60, "doc_id").select("doc_id", "lang", "n_chars")
+
+
+@query("clustered_lookup", """
+SELECT 'order' AS side, l_orderkey, l_partkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey = 7
+UNION ALL SELECT 'part', l_orderkey, l_partkey, l_linenumber, l_quantity FROM lineitem WHERE l_partkey = 42""")
+def q_clustered_lookup(spark, sf):
+    """One table clustered by two columns, looked up by either."""
+    path = scratch_path(spark, "clustered")
+    layout.save_clustered(load_table(spark, sf, "lineitem"), path, ["l_orderkey", "l_partkey"], 16, bloom=["l_orderkey", "l_partkey"])
+    rows, columns = spark.read.parquet(path), ["l_orderkey", "l_partkey", "l_linenumber", "l_quantity"]
+    by = lambda c, v, name: relational.exact_lookup(rows, c, v, columns).select(F.lit(name).alias("side"), *columns)
+    return by("l_orderkey", 7, "order").unionByName(by("l_partkey", 42, "part"))
+
+
 @query("save_table", "SELECT doc_id, lang, source, n_chars, md5(text) AS digest FROM documents")
 def q_save_table(spark, sf):
     path = scratch_path(spark, "documents")

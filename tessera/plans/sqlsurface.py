@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tessera.functions.sqlnames import register_functions, register_model
+from tessera.functions.tablefns import register_gap_sessions, register_split_table
 from tessera.inference.models import Checksum
 from tessera.plans.documents import COVER_SQL, cover
 from tessera.plans.registry import query
@@ -43,3 +44,24 @@ def q_sql_chunks(spark, sf):
     register_functions(spark)
     return cover(spark.sql("SELECT doc_id, chunk_no, chunk FROM {docs}, LATERAL split_text(text, 500, 0)",
                            docs=heavy_table(spark, sf, "documents")))
+
+
+@query("sql_split_table", COVER_SQL)
+def q_sql_split_table(spark, sf):
+    docs = heavy_table(spark, sf, "documents").select("doc_id", "text")
+    register_split_table(spark, "split_documents", docs.schema, "text")
+    return cover(spark.sql("SELECT doc_id, chunk_no, chunk FROM split_documents(TABLE({docs}), 500, 0)", docs=docs))
+
+
+@query("sql_gap_sessions", """
+WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL '30 minutes' THEN 0 ELSE 1 END AS opens FROM events
+     WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+ s AS (SELECT user_id, ts, sum(opens) OVER (PARTITION BY user_id ORDER BY ts) AS n FROM g)
+SELECT user_id, epoch_us(min(ts)) AS first, epoch_us(max(ts)) AS last, count(*) AS turns FROM s GROUP BY user_id, n""")
+def q_sql_gap_sessions(spark, sf):
+    """A function that is called once per user, over rows in order of time."""
+    events = load_table(spark, sf, "events").selectExpr("user_id", "cast(ts as timestamp) as ts")
+    register_gap_sessions(spark, "user_sessions", events.schema, "user_id", "ts")
+    return spark.sql("""
+        SELECT user_id, unix_micros(first) AS first, unix_micros(last) AS last, turns
+        FROM user_sessions(TABLE({events}) PARTITION BY user_id ORDER BY (ts), 1800.0)""", events=events)

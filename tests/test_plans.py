@@ -58,6 +58,17 @@ def test_whole_table_order_is_not_one_task(spark, sf):
     events = load_table(spark, sf, "events").select("event_id")
     plan = explained(ranking.global_running(events, [F.col("event_id")], row_number="n", partitions=8), "simple")
     assert plan.count("SinglePartition") <= 1
+    # the rows themselves are already written in order: only the totals of the ranges are exchanged now
+    assert plan.count("Exchange hashpartitioning") <= 1 and "SortMergeJoin" not in plan and "Window" in plan
+
+
+def test_whole_table_order_takes_one_exchange_and_even_ranges(spark):
+    """Also where nine of ten rows share the first column of the order."""
+    rows = spark.range(20_000).select(F.when(F.col("id") % 10 > 0, 7).otherwise(F.col("id")).alias("k"), "id").repartition(5)
+    out = ranking.global_running(rows, [F.col("k"), F.col("id")], row_number="n", partitions=8)
+    assert out.agg(F.max("n")).first()[0] == 20_000
+    sizes = [r["count"] for r in spark.read.parquet(out.inputFiles()[0].rsplit("/", 1)[0]).groupBy("_range").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 1.5 * min(sizes)
 
 
 def test_chunks_do_not_shuffle(spark, sf):

@@ -59,6 +59,27 @@ def test_running_values_equal_a_plain_loop(spark, partitions):
         assert got[i] == (n, total, top)
 
 
+def test_running_values_of_other_types_and_nulls(spark):
+    import datetime as dt
+    from decimal import Decimal
+
+    rng = random.Random(8)
+    day = dt.datetime(2024, 1, 1)
+    data = [(i, rng.choice([None, rng.random()]) if i > 40 else None, rng.choice([None, Decimal(rng.randrange(1000)) / 100]),
+             rng.choice([None, day + dt.timedelta(minutes=rng.randrange(9999))]), rng.choice([None, rng.choice("abcdef")])) for i in range(200)]
+    df = spark.createDataFrame(data, "id int, x double, d decimal(9,2), t timestamp, `a b` string").repartition(5)
+    for frame in (df, df.select("id", "x", "d", F.col("t").cast("timestamp_ntz").alias("t"), "a b")):
+        out = ranking.global_running(frame, [F.col("id")], {"sx": F.col("x"), "sd": F.col("d")}, None, {"mt": F.col("t"), "ms": F.col("a b")}, 7)
+        total = lambda a, b: a if b is None else b if a is None else a + b
+        most = lambda a, b: a if b is None else b if a is None else max(a, b)
+        state = [None] * 4
+        for r, (i, x, d, t, s) in zip(out.orderBy("id").collect(), data):
+            state = [total(state[0], x), total(state[1], d), most(state[2], t), most(state[3], s)]
+            assert (r["sx"] is None) == (state[0] is None) and abs((r["sx"] or 0) - (state[0] or 0)) < 1e-9
+            assert (r["sd"], r["mt"], r["ms"], r["a b"]) == (*state[1:], s)
+    assert ranking.global_running(df.limit(0), [F.col("id")], {"sx": F.col("x")}, "n").count() == 0
+
+
 @pytest.mark.parametrize("kind", ["linear", "nearest"])
 @pytest.mark.parametrize("accuracy", [20, 10_000])
 def test_percentiles_are_exact(spark, kind, accuracy):
