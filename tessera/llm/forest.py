@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -94,23 +95,29 @@ def nearest_neighbours(table: DataFrame, is_query, id_col: str = "vec_id", vec_c
     best product less its rounding, so ties are whole. Scores are exact products of the
     original vectors in double precision; ties go to the smaller id.
 
-    Vectors that are null or zero, hold null or non-finite components, or have another length than most of the sample, take no part, nor
-    do rows without an id. If an id repeats, each of its vectors counts and the best score stays. An empty table gives an
+    Vectors that are null or zero or hold null or non-finite components take no part, nor do rows without an id. Vectors meet only vectors of their
+    own length; each length has trees of its own. If an id repeats, each of its vectors counts and the best score stays. An empty table gives an
     empty result; with fewer than ``k`` candidates a query has fewer rows.
     """
     spark = table.sparkSession
     bad = F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = table.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"), is_query.alias("ask"))
     rows = pin(rows.where(F.col("id").isNotNull() & F.col("vec").isNotNull() & ~F.coalesce(bad, F.lit(False)) & F.exists("vec", lambda x: x != 0)))
-    got = [np.array(r["vec"]) for r in rows.select("vec", F.xxhash64("id").alias("h"), "id").orderBy("h", "id").limit(sample_rows).toLocalIterator()]
-    if not got:
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    lengths = [len(v) for v in got]
-    dim = max(set(lengths), key=lambda n: (lengths.count(n), n))
-    sample = np.array([v for v in got if len(v) == dim])
+    # one number per different length
+    found = [_of_length(rows.where(F.size("vec") == r["n"]), r["n"], k, trees, depth, share, sample_rows) for r in rows.select(F.size("vec").alias("n")).distinct().collect()]
+    found = reduce(DataFrame.unionByName, found, spark.createDataFrame([], "query_id bigint, vec_id bigint, score double"))
+    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _of_length(rows: DataFrame, dim: int, k: int, trees: int, depth: int, share: float, sample_rows: int) -> DataFrame:
+    """(query_id, vec_id, score) of the k best rows per query, leaf and block, among rows (id, vec, ask) whose vectors have ``dim`` components."""
+    spark = rows.sparkSession
+    got = rows.select("vec", F.xxhash64("id").alias("h"), "id").orderBy("h", "id").limit(sample_rows)
+    sample = np.array([r["vec"] for r in got.toLocalIterator()])
     forest = fit_forest(sample, trees, max(0, min(depth, int(np.log2(max(1, len(sample) / 8))))))
     sent, leaves = spark.sparkContext.broadcast(forest), 1 << forest.depth
-    rows = rows.where(F.size("vec") == dim)
     ranked = rows.select("id", "vec").distinct().withColumn("n", F.row_number().over(Window.partitionBy("vec").orderBy("id"))).where(F.col("n") <= k + 1)
     classes = ranked.groupBy("vec").agg(F.array_sort(F.collect_list("id")).alias("ids"))
 
@@ -176,8 +183,5 @@ def nearest_neighbours(table: DataFrame, is_query, id_col: str = "vec_id", vec_c
                     out[2] += scores[order].tolist()
         return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)], names=names)
 
-    found = (questions.groupBy(*keys).cogroup(stored.groupBy(*keys))
-             .applyInArrow(meet, "query_id bigint, vec_id bigint, score double"))
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return (questions.groupBy(*keys).cogroup(stored.groupBy(*keys))
+            .applyInArrow(meet, "query_id bigint, vec_id bigint, score double"))

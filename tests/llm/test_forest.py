@@ -72,3 +72,14 @@ def test_ties_of_many_vectors_go_to_the_smaller_ids(spark):
     table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
     got = forest.nearest_neighbours(table, F.col("vec_id") == 0, k=5, trees=2, depth=1, share=1.0).orderBy("rank").collect()
     assert [(r["vec_id"], r["score"]) for r in got] == [(i, 1.0) for i in range(1, 6)]
+
+
+def test_vectors_meet_those_of_their_length(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.normal(size=(3, 3, 3, 2)[i % 4]).tolist()) for i in range(200)] + [(40, [0.5, 0.25]), (1, [1.0, 2.0])]
+    got = {}
+    for r in forest.nearest_neighbours(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), ASK, k=6, trees=2, depth=1, share=2.0).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], round(r["score"], 9)))
+    # an id with vectors of both lengths is a query with each
+    want = exact(rows, 6)
+    assert {q: [(n + 1, i, round(-s, 9)) for n, (s, i) in enumerate(w)] for q, w in want.items()} == {q: sorted(f) for q, f in got.items()}
