@@ -16,8 +16,8 @@ from tessera.session import pin
 
 #: Words that one task counts before it hands them on.
 FLUSH = 200_000
-#: Training texts are cut in segments of this many tokens; this many segments are worked on at a time.
-SEGMENT, SEGMENTS = 64, 512
+#: Steps of a training text between two stored states; texts and tokens that are worked on side by side (one text may have more).
+WAVE, SIDE_ROWS, SIDE_TOKENS = 64, 4096, 2_000_000
 #: Texts scored side by side.
 ROWS = 256
 #: Longest word, in bytes, that is sent to every task.
@@ -104,29 +104,59 @@ class Hmm:
         move = np.full((states, states), 0.3 / states) + 0.7 * np.eye(states)
         return Hmm(np.full(states, 1 / states), move, emit / emit.sum(axis=0))
 
-    def counts(self, symbols: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-        """Baum-Welch: expected starts, moves and emissions of segments (row, step); steps after a segment's end are not valid."""
-        rows, steps = symbols.shape
-        seen = self.emit[symbols] * valid[:, :, None] + ~valid[:, :, None]
-        ahead, scale = np.empty_like(seen), np.empty((rows, steps))
-        now = self.start * seen[:, 0]
+    def counts(self, flat: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """Baum-Welch: expected starts, moves and emissions of whole texts, and their log10 likelihood.
+
+        Texts stand in ``flat`` from ``begins`` on and go side by side, the longest first, so those that have a step are always the first rows. The
+        forward sweep keeps the states before every ``WAVE``-th step; the backward sweep goes through the stretches from the last one on, makes their forward
+        states again, and carries its own from stretch to stretch. So only a text's first token is a start, every move inside a text
+        counts, and memory does not grow with the length of the texts.
+        """
+        order = np.argsort(-sizes, kind="stable")
+        begins, sizes = begins[order], sizes[order]
+        steps, width = int(sizes[0]) if len(sizes) else 0, len(self.start)
+        live = np.searchsorted(-sizes, -np.arange(steps + 1) - 0.5)
+        emits, moves, starts, log10 = np.zeros(self.emit.shape), np.zeros_like(self.move), np.zeros(width), 0.0
+
+        def forward(before: np.ndarray | None, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            n = live[t]
+            seen = self.emit[flat[begins[:n] + t]]
+            now = (self.start * seen) if before is None else (before[:n] @ self.move) * seen
+            scale = now.sum(axis=1)
+            now /= scale[:, None]
+            return now, scale, seen
+
+        marks, now = [], None
         for t in range(steps):
-            if t:
-                now = np.where(valid[:, t, None], (ahead[:, t - 1] @ self.move) * seen[:, t], ahead[:, t - 1])
-            scale[:, t] = now.sum(axis=1)
-            ahead[:, t] = now / scale[:, t, None]
-        moves, back = np.zeros_like(self.move), np.ones((rows, len(self.start)))
-        gamma = ahead
-        for t in range(steps - 1, 0, -1):
-            alpha, weight = ahead[:, t - 1].copy(), seen[:, t] * back / scale[:, t, None]
-            gamma[:, t] *= back
-            on = valid[:, t]
-            moves += self.move * (alpha[on].T @ weight[on])
-            back = np.where(on[:, None], weight @ self.move.T, back)
-        gamma[:, 0] *= back
-        flat, mass = symbols[valid], gamma[valid]
-        emits = np.stack([np.bincount(flat, mass[:, k], len(self.emit)) for k in range(len(self.start))], axis=1)
-        return gamma[:, 0][valid[:, 0]].sum(axis=0), moves, emits, float(np.log10(scale[valid]).sum())
+            if t % WAVE == 0:
+                marks.append(None if now is None else now[:live[t]].copy())
+            now, scale, _ = forward(now, t)
+            log10 += float(np.log10(scale).sum())
+        back = np.ones((0, width))
+        for wave in reversed(range(len(marks))):
+            first, last = wave * WAVE, min(steps, (wave + 1) * WAVE)
+            made = [marks[wave]]
+            for t in range(first, last):
+                made.append(forward(made[-1] if t == first else made[-1][0], t))
+            masses = []
+            for t in reversed(range(first, last)):
+                ahead, scale, seen = made[t - first + 1]
+                after = np.ones(ahead.shape)
+                after[:len(back)] = back
+                masses.append(ahead * after)
+                if t:
+                    seen *= after
+                    seen /= scale[:, None]
+                    before = made[0] if t == first else made[t - first][0]
+                    moves += before[:live[t]].T @ seen
+                    back = seen @ self.move.T
+                else:
+                    starts += masses[-1].sum(axis=0)
+            places = np.concatenate([flat[begins[:live[t]] + t] for t in reversed(range(first, last))])
+            mass = np.concatenate(masses)
+            for k in range(width):
+                emits[:, k] += np.bincount(places, mass[:, k], len(emits))
+        return starts, moves * self.move, emits, log10
 
     def log10_likelihood(self, texts: list[np.ndarray]) -> np.ndarray:
         """Exact log10 probability of each whole symbol sequence, by the scaled forward recursion, longest first side by side."""
@@ -150,23 +180,25 @@ class Hmm:
         return out
 
 
-def _segments(lists: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Blocks of segments (row, step) with the steps that exist."""
-    offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
-    starts = np.concatenate([np.arange(i, j, SEGMENT) for i, j in zip(offsets, offsets[1:])] or [np.zeros(0, int)]).astype(np.int64)
-    ends = np.concatenate([np.minimum(np.arange(i, j, SEGMENT) + SEGMENT, j) for i, j in zip(offsets, offsets[1:])] or [np.zeros(0, int)]).astype(np.int64)
-    for at in range(0, len(starts), SEGMENTS):
-        first, last = starts[at:at + SEGMENTS, None], ends[at:at + SEGMENTS, None]
-        places = first + np.arange(SEGMENT)
-        valid = places < last
-        yield flat[np.where(valid, places, first)], valid
+def _side_by_side(lists: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(symbols, begins, sizes) of texts of like length, in groups of bounded size."""
+    offsets, flat = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy(zero_copy_only=False)
+    sizes = np.diff(offsets)
+    order = np.argsort(-sizes, kind="stable")
+    order = order[sizes[order] > 0]
+    at = 0
+    while at < len(order):
+        held = np.cumsum(sizes[order[at:at + SIDE_ROWS]])
+        upto = at + max(1, int(np.searchsorted(held, SIDE_TOKENS, "right")))
+        yield flat, offsets[order[at:upto]], sizes[order[at:upto]]
+        at = upto
 
 
 def train(encoded: DataFrame, symbols: int, states: int, rounds: int) -> Hmm:
-    """Baum-Welch over all rows of ``encoded`` (column ``symbols``).
+    """Baum-Welch over all rows of ``encoded`` (column ``symbols``), each a whole text.
 
     Every task adds up its expected counts; they are summed per symbol by the engine, so the driver gets one row per symbol and state
-    whatever the number of texts. Texts are cut in segments for training only.
+    whatever the number of texts.
     """
     spark = encoded.sparkSession
     sums = [F.sum(F.col("g")[k]).alias(f"g{k}") for k in range(states)]
@@ -178,14 +210,14 @@ def train(encoded: DataFrame, symbols: int, states: int, rounds: int) -> Hmm:
             hmm = sent.value
             rows = np.zeros((symbols + 1 + states, states))
             for batch in batches:
-                for block, valid in _segments(batch.column(0)):
-                    if hmm is None:
-                        rows[:symbols] += np.bincount(block[valid], minlength=symbols)[:, None]
-                    else:
-                        start, move, emit, _ = hmm.counts(block, valid)
-                        rows[:symbols] += emit
-                        rows[symbols] += start
-                        rows[symbols + 1:] += move
+                if hmm is None:
+                    rows[:symbols] += np.bincount(batch.column(0).flatten().to_numpy(zero_copy_only=False), minlength=symbols)[:, None]
+                    continue
+                for flat, begins, sizes in _side_by_side(batch.column(0)):
+                    start, move, emit, _ = hmm.counts(flat, begins, sizes)
+                    rows[:symbols] += emit
+                    rows[symbols] += start
+                    rows[symbols + 1:] += move
             some = np.flatnonzero(rows.any(axis=1))
             lists = pa.ListArray.from_arrays(np.arange(0, some.size * states + 1, states, dtype=np.int32), pa.array(rows[some].ravel()))
             yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), lists], names=["i", "g"])
@@ -215,7 +247,8 @@ def score_texts(docs: DataFrame, is_training: Column, id_col: str = "doc_id", te
 
     All counts come from the rows with ``is_training`` (null counts as false). The most frequent words (of at most 64 bytes, in steps of equal log count, ``sent_words`` at most) go to every task; other
     words are joined with their counts by word, after they are summed per text. A null or empty text has the end only. Without training rows every token has count 0.
-    Repeated rows stay; other columns are ignored.
+    Training takes whole texts, of any length. Words of equal count go by their bytes. Repeated rows stay and count each; other columns are ignored. An
+    empty table gives an empty result.
     """
     spark = docs.sparkSession
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.coalesce(is_training, F.lit(False)).alias("train"),

@@ -29,7 +29,8 @@ def test_forward_recursion_is_exact():
     assert np.allclose(model.log10_likelihood(texts), [slow_likelihood(model, t) for t in texts])
 
 
-def test_expected_counts_match_path_sums():
+@pytest.mark.parametrize("wave", [1, 2, 3, 64])
+def test_expected_counts_match_path_sums(wave, monkeypatch):
     rng = np.random.default_rng(3)
     model = hmm.Hmm.random(2, rng.random(4) + 0.1, 5)
     texts = [rng.integers(0, 4, n) for n in (5, 3, 1)]
@@ -48,14 +49,64 @@ def test_expected_counts_match_path_sums():
                 emit[seq[t], s] += p / whole
                 if t:
                     move[path[t - 1], s] += p / whole
-    symbols, valid = np.zeros((3, 7), int), np.zeros((3, 7), bool)
-    for i, seq in enumerate(texts):
-        symbols[i, :len(seq)], valid[i, :len(seq)] = seq, True
-    got = model.counts(symbols, valid)
+    sizes = np.array([len(t) for t in texts])
+    monkeypatch.setattr(hmm, "WAVE", wave)
+    got = model.counts(np.concatenate(texts[::-1]), np.array([4, 1, 0]), sizes)
     assert np.allclose(got[0], start) and np.allclose(got[1], move) and np.allclose(got[2], emit)
     assert np.isclose(got[3], sum(slow_likelihood(model, t) for t in texts))
 
 
+def slow_round(model, texts):
+    """One round of Baum-Welch over whole texts, step by step, with the floors of the training."""
+    k = len(model.start)
+    start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros(model.emit.shape)
+    for seq in texts:
+        a = [model.start * model.emit[seq[0]]]
+        for s in seq[1:]:
+            a.append((a[-1] / a[-1].sum() @ model.move) * model.emit[s])
+        a = [x / x.sum() for x in a]
+        b = [np.ones(k)]
+        for s in seq[:0:-1]:
+            x = model.move @ (model.emit[s] * b[0])
+            b.insert(0, x / x.sum())
+        for t, s in enumerate(seq):
+            g = a[t] * b[t]
+            emit[s] += g / g.sum()
+            if t:
+                x = a[t - 1][:, None] * model.move * model.emit[s] * b[t]
+                move += x / x.sum()
+            else:
+                start += g / g.sum()
+    start, move, emit = start + 0.1, move + 0.1, emit + 0.01
+    return hmm.Hmm(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
+
+
+@pytest.mark.parametrize("sizes", [{"own_words": 5, "classes": 3}, {"own_words": 20_000, "classes": 2}])
+def test_scores_of_the_trained_model_against_a_plain_one(docs, sizes, monkeypatch):
+    """The whole way: symbols, word classes, training over whole texts longer than a stretch, and the score of each text."""
+    monkeypatch.setattr(hmm, "SIDE_TOKENS", 300)
+    own, classes = sizes["own_words"], sizes["classes"]
+    rows = [(i, " ".join(random.Random(i).choices(["the", "cat", "Dog", "sat", "on", "mat."] + [f"r{i % 9}{j}" for j in range(4)], k=[3, 40, 200][i % 3]))) for i in range(40)]
+    kept = train_rows(rows)
+    counts = Counter(w for _, t in kept for w in words(t))
+    order = sorted(counts, key=lambda w: (-counts[w], w))
+    first, kind = {w: n for n, w in enumerate(order[:own])}, lambda w: zlib.crc32(w[-3:]) % classes
+    own = len(first)
+    inside = [[counts[w] for w in order[own:] if kind(w) == c] for c in range(classes)]
+    symbol = lambda w: first.get(w, own + kind(w))
+    seq = lambda t: [*map(symbol, words(t)), own + classes]
+    texts = [seq(t) for _, t in kept]
+    unigram = np.bincount(np.concatenate(texts), minlength=own + classes + 1) + 0.1
+    model = hmm.Hmm.random(2, unigram / unigram.sum())
+    for _ in range(3):
+        model = slow_round(model, texts)
+    got = {r["doc_id"]: r["score"] for r in scored(docs, rows, states=2, rounds=3, **sizes)}
+    for i, t in rows:
+        want = model.log10_likelihood([np.array(seq(t))])[0]
+        want += sum(math.log10((counts[w] + 1) / (sum(inside[kind(w)]) + len(inside[kind(w)]) + 1)) for w in words(t) if w not in first)
+        assert abs(got[i] - want) < 1e-6 * abs(want)
+
+
 ROWS = [(i, " ".join(random.Random(i).choices(["the", "cat", "Dog", "sat", "on", "É", "mat."] + [f"r{i % 9}{j}" for j in range(4)], k=i % 23))) for i in range(90)]
 ROWS += [(200, None), (201, ""), (202, " \n"), (None, "the cat"), (203, "new words " * 30_000), (5, ROWS[5][1]), (204, "w" * 500 + " the"), (206, "w" * 500 + " the")]
 
