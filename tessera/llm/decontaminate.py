@@ -11,6 +11,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tessera.session import pin
+
 WORD = re.compile(r"\w+")
 #: Postings per block with one maximum.
 BLOCK = 32
@@ -33,7 +35,9 @@ class ItemIndex:
     the verification scores at least that.
     """
 
-    def __init__(self, items: list[tuple[int, str, str | None]], size: int = 5, overlap: float = 0.8, k1: float = 1.2, b: float = 0.75) -> None:
+    def __init__(self, items: list[tuple[int, str, str | None]], size: int = 5, overlap: float = 0.8, k1: float = 1.2, b: float = 0.75,
+                 every: tuple[int, float, dict[str, int], int] | None = None) -> None:
+        """``every`` is (items with words, their mean length, items that have each word, most words of an item) where these items are a part of more."""
         self.size, self.overlap = size, overlap
         self.ids, self.words, self.answers = [], [], []
         for i, question, answer in sorted(items, key=lambda x: (x[0], x[1], x[2] is not None, x[2] or "")):
@@ -44,16 +48,16 @@ class ItemIndex:
                 self.words.append(whole)
                 self.answers.append(set(tail or whole[-max(1, len(whole) // 4):]))
         self.sets = [shingles(w, size) for w in self.words]
-        n, mean = len(self.ids), sum(map(len, self.words)) / max(1, len(self.ids))
-        seen = Counter(w for ws in self.words for w in set(ws))
-        self.term = {w: j for j, w in enumerate(sorted(seen))}
+        n = len(self.ids)
+        of, mean, seen, self.longest = every or (n, sum(map(len, self.words)) / max(1, n), Counter(w for ws in self.words for w in set(ws)), max(map(len, self.words), default=0))
+        self.term = {w: j for j, w in enumerate(sorted(set().union(*self.words)))}
         posted: list[list[tuple[int, float]]] = [[] for _ in self.term]
         self.impacts: list[dict[int, float]] = []
         self.need = np.zeros(n)
         for i, ws in enumerate(self.words):
             own = {}
             for w, tf in Counter(ws).items():
-                idf = math.log(1 + (n - seen[w] + 0.5) / (seen[w] + 0.5))
+                idf = math.log(1 + (of - seen[w] + 0.5) / (seen[w] + 0.5))
                 own[self.term[w]] = idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(ws) / mean))
             for t, x in own.items():
                 posted[t].append((i, x))
@@ -65,7 +69,6 @@ class ItemIndex:
         self.tops = [[float(x[j:j + BLOCK].max()) for j in range(0, len(x), BLOCK)] for x in self.scores]
         self.top = [max(t) for t in self.tops]
         self.floor = float(self.need.min()) if n else 0.0
-        self.longest = max(map(len, self.words), default=0)
         # rare: words of at most ``most`` items; the others together must stay below every item's need
         most = 2
         while True:
@@ -148,12 +151,28 @@ class ItemIndex:
         return [(self.ids[i], *v) for i, v in sorted(best.items())]
 
 
+def _item_words(items: DataFrame) -> tuple[DataFrame, int, float, int]:
+    """((i, w) once for each item row and word, items with words, mean length, greatest length) over all items."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple[int, str | None, int]] = []
+            for r in batch.to_pylist():
+                words = words_of(r["q"]) + words_of(r["a"])
+                out += [(r["i"], w, 0) for w in set(words)] + [(r["i"], None, len(words))] * bool(words)
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.string(), pa.int64()))], names=["i", "w", "n"])
+
+    rows = pin(items.mapInArrow(work, "i bigint, w string, n bigint"))
+    n, total, most = rows.where("w is null").agg(F.count(F.lit(1)), F.sum("n"), F.max("n")).first()
+    return rows.where("w is not null").select("i", "w"), n, (total or 0) / max(1, n), most or 0
+
+
 def with_matches(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", question_col: str = "text", answer_col: str | None = None,
                  overlap: float = 0.8, items_per_index: int = 20_000, out: str = "matches") -> DataFrame:
     """``docs`` with ``out``, an array of (item_id, score, overlap): the benchmark items that stand in the text.
 
-    The items are indexed in parts of about ``items_per_index``, each with its own statistics, and every passage of every text is searched in
-    each part. A hit has at least ``overlap`` of the item's five-word shingles in one passage and half of the words of its answer; without
+    The items are indexed in parts of about ``items_per_index`` with the statistics of all of them, and every passage of every text is searched in
+    each part. With more than one part the rows are written after each, so a task holds one part at a time. A hit has at least ``overlap`` of the
+    item's five-word shingles in one passage and half of the words of its answer; without
     an answer column the last quarter of the item's words is taken for it. ``score`` is BM25 of the best such passage.
 
     Items without words are not searched, null ids are allowed for texts but not for items. A null or empty text has no
@@ -164,13 +183,22 @@ def with_matches(docs: DataFrame, items: DataFrame, text_col: str = "text", item
     spark = docs.sparkSession
     answer = F.col(answer_col) if answer_col else F.lit(None).cast("string")
     listed = items.select(F.col(item_col).cast("bigint").alias("i"), F.col(question_col).alias("q"), answer.alias("a")).where("i is not null")
+    listed = listed.distinct()
     parts = max(1, -(-listed.count() // items_per_index))
+    numbers = _item_words(listed) if parts > 1 else None
     kind = "array<struct<item_id:bigint,score:double,overlap:double>>"
     found = docs.drop(out).withColumn(out, F.expr("array()").cast(kind))
     entry = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("overlap", pa.float64())]))
     for part in range(parts):
-        rows = listed.where(F.pmod(F.xxhash64("i"), F.lit(parts)) == part).distinct().collect()
-        sent = spark.sparkContext.broadcast(ItemIndex([(r["i"], r["q"] or "", r["a"]) for r in rows], overlap=overlap))
+        chosen = F.pmod(F.xxhash64("i"), F.lit(parts)) == part
+        rows = listed.where(chosen).collect()
+        every = None
+        if numbers is not None:
+            words, n, mean, longest = numbers
+            own = words.where(chosen).select("w").distinct()
+            seen = words.groupBy("w").count().join(own, "w").collect()
+            every = n, mean, {r["w"]: r["count"] for r in seen}, longest
+        sent = spark.sparkContext.broadcast(ItemIndex([(r["i"], r["q"] or "", r["a"]) for r in rows], overlap=overlap, every=every))
 
         def work(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             index = sent.value
@@ -183,4 +211,5 @@ def with_matches(docs: DataFrame, items: DataFrame, text_col: str = "text", item
         plain = found.toDF(*names, "_found").select(*names, F.col(names[docs.drop(out).columns.index(text_col)]).alias("_text"), "_found")
         fields = plain.schema
         found = plain.mapInArrow(work, fields).drop("_text").toDF(*docs.drop(out).columns, out)
+        found = pin(found) if parts > 1 else found
     return found

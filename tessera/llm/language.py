@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tessera.llm.memory import give_back
 from tessera.session import pin
 
 #: A Unicode code point plus one takes this many bits in an n-gram key, so three fit in 63 bits without collisions.
@@ -225,6 +226,7 @@ def predict_language(docs: DataFrame, model: KernelModel, id_cols: list[str], te
                 score[part] = np.clip((out[np.arange(len(part)), best] + 1) / 2, 0, 1)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.array(pred, pa.string()), pa.array(score)],
                                              names=[*names, "lang_pred", "score"])
+        give_back()
 
     kinds = ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in names)
     out = rows.mapInArrow(work, ", ".join([kinds, "lang_pred string, score double"]))

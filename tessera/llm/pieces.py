@@ -11,6 +11,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tessera.llm.memory import give_back
+
 #: How a model writes a space.
 SPACE = "▁"
 #: Words in each of the two generations that a Python worker keeps with their ids, over all its tasks.
@@ -258,7 +260,7 @@ def encode_pieces(df: DataFrame, model_path: str, text_col: str = "text", out: s
     """
     names = [f"_c{i}" for i in range(len(df.columns))]
     text = names[df.columns.index(text_col)]
-    kind = "binary" if packed else "array<int>"
+    kind, kind_of = ("binary", pa.binary()) if packed else ("array<int>", pa.list_(pa.int32()))
     rows = df.toDF(*names)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,7 +273,8 @@ def encode_pieces(df: DataFrame, model_path: str, text_col: str = "text", out: s
                 else:
                     ends = np.append(0, np.cumsum([len(x) for x in ids])).astype(np.int32)
                     made.append(pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids).astype(np.int32))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.chunked_array(made, made[0].type).combine_chunks()], names=[*names, "_out"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.chunked_array(made, kind_of).combine_chunks()], names=[*names, "_out"])
+        give_back()
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
     found = rows.mapInArrow(work, f"{schema}, _out {kind}")
@@ -295,6 +298,7 @@ def decode_pieces(df: DataFrame, model_path: str, ids_col: str = "ids", out: str
                     lists = [flat[i:j] for i, j in zip(at[:-1], at[1:])]
                 made += [t if ok else None for t, ok in zip(piece_model(model_path).decode(lists), column.is_valid().to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], names=[*names, "_out"])
+        give_back()
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
     found = rows.mapInArrow(work, f"{schema}, _out string")

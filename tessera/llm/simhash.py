@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tessera.llm.graph import components
+from tessera.llm.memory import give_back
 from tessera.session import pin
 
 #: Seed of the shingle hash.
@@ -46,6 +47,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> D
             raws = batch.column(1)
             fps = pa.array((fingerprint(raws[i].as_py(), shingle) for i in range(len(raws))), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), fps], names=["id", "fp"])
+        give_back()
 
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(work, f"id {kind}, fp bigint")

@@ -14,8 +14,10 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tessera.llm.memory import give_back
+
 #: Bytes of texts whose words are cut and looked up together (at least one text).
-SLICE = 5 << 20
+SLICE = 3 << 20
 #: Stands for a line feed before a piece; a text that holds it is encoded in one call.
 MARK = "\x00"
 #: White space that is neither a space nor a line feed.
@@ -226,6 +228,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, id_col: str =
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sizes), part, np.int32)), piece.column("doc_id"), pa.array(ends - sizes),
                                                   pa.array(sizes), lists], names=["part", "doc_id", "local_start", "n_tokens", "tokens"])
                 before = int(ends[-1])
+        give_back()
 
     encoded = ordered.mapInArrow(work, "part int, doc_id bigint, local_start bigint, n_tokens bigint, tokens array<int>")
     writer = encoded.write.option("compression", "zstd").option("parquet.writer.version", "v2")
@@ -258,6 +261,7 @@ def token_digest(spark: SparkSession, path: str) -> DataFrame:
             sizes = pa.array(np.diff(offsets).astype(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("doc_id"), batch.column("local_start"), sizes, crcs],
                                              names=["part", "doc_id", "local_start", "n_tokens", "ids_crc32"])
+        give_back()
 
     rows = spark.read.parquet(path)
     digests = rows.select("part", "doc_id", "local_start", "tokens").mapInArrow(work, "part int, doc_id bigint, local_start bigint, n_tokens bigint, ids_crc32 bigint")

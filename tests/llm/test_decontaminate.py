@@ -72,13 +72,18 @@ def test_table_form_and_odd_rows(spark, docs):
     frame = docs(rows).withColumn("matches", F.lit(1)).withColumn("_text", F.lit("no")).withColumn("item_id", F.lit(7))
     table = spark.createDataFrame(items, "item_id bigint, text string")
     index = d.ItemIndex([(i, t or "", None) for i, t in items if i is not None])
+    scores = {}
     for per_index in (20_000, 9):
         got = d.with_matches(frame, table, items_per_index=per_index)
         assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "_text", "item_id", "matches"]
         found = sorted(((r["doc_id"], r["text"], sorted(m["item_id"] for m in r["matches"])) for r in got.collect()), key=repr)
+        scores[per_index] = sorted((str(r["doc_id"]), m["item_id"], round(m["score"], 9)) for r in got.collect() for m in r["matches"])
         assert found == sorted(((i, t, sorted(m[0] for m in index.matches(t))) for i, t in rows), key=repr)
 
 
+    assert scores[9] == scores[20_000]
+
+
 def test_answers_are_checked(spark, docs):
     question = "what is the name of the tall red tower"
     table = spark.createDataFrame([(1, question, "it is called grandview spire")], "item_id bigint, q string, a string")
