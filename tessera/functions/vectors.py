@@ -69,29 +69,37 @@ class BestMatches:
         self.floor = np.full(queries, -np.inf)
 
     def push(self, scores: np.ndarray, ids: np.ndarray, hidden: np.ndarray | None = None) -> None:
-        """``scores`` is queries x rows; pairs marked in ``hidden`` do not count."""
+        """``scores`` is queries x rows; pairs marked in ``hidden`` do not count.
+
+        Only scores that reach a query's k-th best so far go further, and only queries that have such scores are sorted again.
+        """
         if not scores.size:
             return
-        scores = np.round(scores, RANK_DIGITS) + 0.0
         if hidden is not None:
             scores[hidden] = -np.inf
-        if scores.shape[1] > self.k:
-            edge = np.partition(scores, -self.k, axis=1)[:, -self.k]
-        else:
-            edge = np.full(self.queries, -np.inf)
-        keep = (scores >= np.maximum(edge, self.floor)[:, None]) & (scores > -np.inf)
+        # scores are compared to RANK_DIGITS; until they are rounded, a little less counts as equal
+        slack = 2 * 10.0 ** -RANK_DIGITS
+        keep = (scores >= (self.floor - slack)[:, None]) & (scores > -np.inf)
+        if scores.shape[1] > self.k and np.count_nonzero(keep) > 4 * self.k * self.queries:
+            keep &= scores >= (np.partition(scores, -self.k, axis=1)[:, -self.k] - slack)[:, None]
         q, c = np.nonzero(keep)
-        query = np.concatenate([self.query, q])
-        found = np.concatenate([self.ids, ids[c]])
-        value = np.concatenate([self.scores, scores[q, c]])
+        if not len(q):
+            return
+        touched = np.zeros(self.queries, bool)
+        touched[q] = True
+        old = touched[self.query]
+        query = np.concatenate([self.query[old], q])
+        found = np.concatenate([self.ids[old], ids[c]])
+        value = np.concatenate([self.scores[old], np.round(scores[q, c], RANK_DIGITS) + 0.0])
         order = np.lexsort((found, -value, query))
         query, found, value = query[order], found[order], value[order]
-        starts = np.searchsorted(query, np.arange(self.queries))
-        place = np.arange(len(query)) - starts[query]
+        place = np.arange(len(query)) - np.searchsorted(query, query)
         best = place < self.k
-        self.query, self.ids, self.scores = query[best], found[best], value[best]
-        full = place[best] == self.k - 1
-        self.floor[self.query[full]] = self.scores[full]
+        full = best & (place == self.k - 1)
+        self.floor[query[full]] = value[full]
+        self.query = np.concatenate([self.query[~old], query[best]])
+        self.ids = np.concatenate([self.ids[~old], found[best]])
+        self.scores = np.concatenate([self.scores[~old], value[best]])
 
 
 def push_tiles(best: BestMatches, queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray,

@@ -125,6 +125,16 @@ def scale_subset(df: DataFrame, id_col: str, n: int) -> DataFrame:
     return df.orderBy(id_col).limit(n)
 
 
+def scale_subsets(df: DataFrame, id_col: str, scales: list[int]) -> DataFrame:
+    """(scale, columns): for each of ``scales`` the first so many rows by a unique id, for load tests at growing size.
+
+    Rows are numbered over the whole table range by range, so a scale of millions is no single task's work; all scales come from one pass.
+    """
+    numbered = global_running(df, [F.col(id_col)], row_number="_n").where(F.col("_n") <= max(scales))
+    fits = F.filter(F.array(*map(F.lit, scales)), lambda s: s >= F.col("_n"))
+    return numbered.select(F.explode(fits).alias("scale"), *df.columns)
+
+
 def train_test_cut(df: DataFrame, order_by: list[Column], limit: int, fraction: float) -> DataFrame:
     """First ``limit`` rows in order; the first ``int(fraction * rows)`` of them train, the rest test."""
     top = df.orderBy(*order_by).limit(limit)
@@ -134,6 +144,20 @@ def train_test_cut(df: DataFrame, order_by: list[Column], limit: int, fraction:
     return numbered.withColumn("split", F.when(F.col("pos") <= cut, F.lit("train")).otherwise(F.lit("test")))
 
 
+def stratified_split(df: DataFrame, label: str, id_col: str, train: int, test: int, seed: int = 1, labels: list | None = None) -> DataFrame:
+    """Rows with ``split``: ``train`` rows of each label to train and ``test`` others to test, in the order of a seeded hash of the id.
+
+    A row is in one split only. Every label of the table, and of ``labels`` if given, must have enough rows; else the job stops with their names.
+    """
+    order = [F.md5(F.concat(F.lit(f"{seed}-"), F.col(id_col).cast("string"))), F.col(id_col)]
+    counts = {r[0]: r[1] for r in df.where(F.col(label).isNotNull()).groupBy(label).count().collect()}
+    short = sorted(str(x) for x in {*counts, *(labels or [])} if counts.get(x, 0) < train + test)
+    if short:
+        raise ValueError(f"fewer than {train + test} rows of {', '.join(short)}")
+    picked = topk_per_group(df.where(F.col(label).isNotNull()), [label], order, train + test, "_rank")
+    return picked.withColumn("split", F.when(F.col("_rank") <= train, "train").otherwise("test")).drop("_rank")
+
+
 def stratified_sample(df: DataFrame, label: str, id_col: str, n: int, seed: int = 1, check: bool = True) -> DataFrame:
     """Exactly ``n`` rows of each label, chosen by a seeded hash of the id."""
     draw = F.md5(F.concat_ws("-", F.lit(str(seed)), F.col(id_col).cast("string")))

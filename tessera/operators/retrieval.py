@@ -16,7 +16,7 @@ from tessera.functions.text import tokenize_words
 from tessera.functions.vectors import RANK_DIGITS, BestMatches, cosine_to, matrix, norm, push_tiles, unit_rows
 from tessera.inference.models import HashedEmbedder, ModelFactory
 from tessera.inference.runner import ai_query
-from tessera.operators.ranking import topk_per_group
+from tessera.operators.ranking import global_running, topk_per_group
 from tessera.session import pin
 
 # A side this small is sent to every task; its size is counted first. 64 MB as doubles.
@@ -183,12 +183,36 @@ def knn_join_blocked(queries: DataFrame, corpus: DataFrame, k: int, query_id: st
     return _final(matches, k)
 
 
+def _whole(df: DataFrame, key: str) -> bool:
+    return df.schema[key].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+
+
+def _by_number(queries: DataFrame, corpus: DataFrame, k: int, query_id: str, id_col: str, vector: str, exclude_self: bool) -> DataFrame:
+    """``knn_join`` for keys of any type: numbers in the order of the keys keep the order of ties; the k rows of each query get their keys back."""
+    def numbered(df: DataFrame, key: str) -> DataFrame:
+        return pin(global_running(df.select(F.col(key).alias("_key"), F.col(vector).alias("_v")).where(F.col(key).isNotNull()), [F.col("_key")], row_number="_no"))
+
+    q, c = numbered(queries, query_id), numbered(corpus, id_col)
+    wanted = k + exclude_self
+    sides = [df.select(F.col("_no").alias(name), F.col("_v").alias("embedding")) for df, name in ((q, "query_id"), (c, "id"))]
+    found = pin(knn_join(*sides, wanted).drop("rank"))
+    named = (found.join(q.select(F.col("_no").alias("query_id"), F.col("_key").alias("_q")), "query_id")
+             .join(c.select(F.col("_no").alias("id"), F.col("_key").alias("_c")), "id"))
+    named = named.select(F.col("_q").alias("query_id"), F.col("_c").alias("id"), "score")
+    if exclude_self:
+        named = named.where(~F.col("query_id").eqNullSafe(F.col("id")))
+    return _final(named, k)
+
+
 def knn_join(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "query_id", id_col: str = "id",
              vector: str = "embedding", exclude_self: bool = False) -> DataFrame:
     """(query_id, id, score, rank): the k nearest corpus rows of each query by cosine, ties by id.
 
-    A side that was counted and fits is sent to all tasks; two large sides go block by block.
+    A side that was counted and fits is sent to all tasks; two large sides go block by block. Keys that are no whole numbers are numbered in
+    their order for the search.
     """
+    if not (_whole(queries, query_id) and _whole(corpus, id_col)):
+        return _by_number(queries, corpus, k, query_id, id_col, vector, exclude_self)
     q, c = _sides(queries, corpus, query_id, id_col, vector)
     if _fits(q):
         return _against_small_queries(q, c, k, exclude_self)

@@ -447,6 +447,14 @@ def q_stratified_sample(spark, sf):
     return ranking.stratified_sample(vectors, "label", "vec_id", 10, seed=1)
 
 
+@query("stratified_split", """
+SELECT vec_id, label, CASE WHEN n <= 3 THEN 'train' ELSE 'test' END AS split FROM (
+  SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY md5('1-' || CAST(vec_id AS VARCHAR)), vec_id) AS n FROM embeddings) WHERE n <= 13""")
+def q_stratified_split(spark, sf):
+    vectors = load_table(spark, sf, "embeddings").select("vec_id", "label")
+    return ranking.stratified_split(vectors, "label", "vec_id", 3, 10, labels=list(range(10)))
+
+
 @query("order_limit", """
 SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100""")
 def q_order_limit(spark, sf):

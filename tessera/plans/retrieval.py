@@ -127,6 +127,18 @@ def q_knn_join(spark, sf):
     return shown(retrieval.knn_join(label_means(spark, sf), vectors(spark, sf), 10))
 
 
+@query("knn_join_text_keys", sqltext.shown(f"""
+WITH {VECTORS_SQL}, k AS (SELECT 'v' || id AS id, v FROM e)
+SELECT q.id AS query_id, k.id, {sqltext.cosine('q.v', 'k.v')} AS score,
+       CAST(row_number() OVER (PARTITION BY q.id ORDER BY {sqltext.cosine('q.v', 'k.v')} DESC, k.id) AS INTEGER) AS rank
+FROM k q JOIN k ON q.id <> k.id AND q.id LIKE '%00' QUALIFY rank <= 10""", score=6))
+def q_knn_text_keys(spark, sf):
+    """Keys as an index of documents stores them."""
+    rows = vectors(spark, sf).select(F.concat(F.lit("v"), "id").alias("id"), "embedding")
+    queries = rows.where("id like '%00'").select(F.col("id").alias("query_id"), "embedding")
+    return shown(retrieval.knn_join(queries, rows, 10, exclude_self=True))
+
+
 @query("knn_join_blocked", sqltext.shown(f"""
 WITH {VECTORS_SQL}
 SELECT q.id AS query_id, e.id, {sqltext.cosine('q.v', 'e.v')} AS score,

@@ -35,6 +35,18 @@ def q_load_whole_text(spark, sf):
         F.sum("chars").alias("chars"), (F.count_distinct("unique_id") == F.count(F.lit(1))).alias("ids_unique"))
 
 
+@query("load_whole_text_rows", """
+SELECT source, md5(string_agg(text || chr(10), '' ORDER BY doc_id)) AS digest, '.txt' AS ending, true AS id_fits FROM documents GROUP BY source""")
+def q_load_whole_text_rows(spark, sf):
+    """One file per source with its documents in order, read back as one row per file."""
+    path = scratch_path(spark, "by-source")
+    docs = load_table(spark, sf, "documents").select("source", "doc_id", "text").repartition("source").sortWithinPartitions("source", "doc_id")
+    docs.select("source", "text").write.partitionBy("source").text(path)
+    files = load_whole_text(spark, path, "*.txt")
+    return files.select(F.regexp_extract("file_name", r"source=([^/]+)", 1).alias("source"), F.md5("value").alias("digest"),
+                        F.regexp_extract("file_name", r"(\.[a-z]+)$", 1).alias("ending"), (F.col("unique_id") == F.md5("file_name")).alias("id_fits"))
+
+
 @query("load_binary", """
 SELECT source, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes, true AS whole, true AS named FROM documents GROUP BY source""")
 def q_load_binary(spark, sf):
@@ -121,15 +133,12 @@ def q_materialize(spark, sf):
         F.min(F.size("embedding")).alias("dim"))
 
 
-@query("scale_subset", """
-SELECT * FROM (SELECT 1000 AS scale, doc_id, lang FROM documents ORDER BY doc_id LIMIT 1000)
-UNION ALL SELECT * FROM (SELECT 10000 AS scale, doc_id, lang FROM documents ORDER BY doc_id LIMIT 10000)
-UNION ALL SELECT * FROM (SELECT 100000 AS scale, doc_id, lang FROM documents ORDER BY doc_id LIMIT 100000)""")
+SCALES = [10_000, 100_000, 1_000_000]
+
+
+@query("scale_subset", " UNION ALL ".join(f"SELECT * FROM (SELECT CAST({n} AS INTEGER) AS scale, doc_id, lang FROM documents ORDER BY doc_id LIMIT {n})" for n in SCALES))
 def q_scale_subset(spark, sf):
-    docs = load_table(spark, sf, "documents").select("doc_id", "lang")
-    parts = [ranking.scale_subset(docs, "doc_id", n).select(F.lit(n).alias("scale"), "*")
-             for n in (1_000, 10_000, 100_000)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return ranking.scale_subsets(load_table(spark, sf, "documents").select("doc_id", "lang"), "doc_id", SCALES)
 
 
 @query("replicate_rows", """

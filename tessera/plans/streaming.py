@@ -90,9 +90,9 @@ def q_monitor(spark, sf):
 @query("stream_tumbling_usage", """
 SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, round(sum(value), 4) AS total, count(*) AS rows FROM events GROUP BY 1, 2""")
 def q_tumbling(spark, sf):
-    usage = windows.stream_tumbling_usage(event_stream(spark, sf), "ts", "1 day", "1 day", ["event_type"], "value")
+    usage = windows.stream_tumbling_usage(closed_event_stream(spark, sf), "ts", "1 day", "1 day", ["event_type"], "value")
     out = scratch_path(spark, "usage")
-    sources.replace_table(usage, out, scratch_path(spark, "checkpoint"))
+    sources.append_table(usage, out, scratch_path(spark, "checkpoint"))
     return spark.read.parquet(out).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type",
                                           F.round("total", 4).alias("total"), "rows")
 
@@ -102,9 +102,9 @@ WITH w AS (SELECT time_bucket(INTERVAL '10 minutes', ts) - to_minutes(10 * CAST(
 SELECT {STAMP_SQL.format(c='start')} AS start, count(*) AS rows, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95
 FROM w GROUP BY start""")
 def q_sliding(spark, sf):
-    rolling = windows.stream_sliding_latency(event_stream(spark, sf), "ts", "1 hour", "10 minutes", "1 day", "value")
+    rolling = windows.stream_sliding_latency(closed_event_stream(spark, sf), "ts", "1 hour", "10 minutes", "1 day", "value")
     out = scratch_path(spark, "latency")
-    sources.replace_table(rolling, out, scratch_path(spark, "checkpoint"))
+    sources.append_table(rolling, out, scratch_path(spark, "checkpoint"))
     return spark.read.parquet(out).withColumn("start", stamp("start"))
 
 
