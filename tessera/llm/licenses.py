@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass
-from functools import reduce
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tessera.functions.core import let
+
 #: Phrases that always give their label.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
@@ -62,7 +63,7 @@ def words_of(text: Column) -> Column:
 
 def word_weights(docs: DataFrame, words: Column, vocabulary: list[str]) -> dict[str, float]:
     """Inverse document frequency of the template words over all documents."""
-    inside = F.array_intersect(words, F.array(*[F.lit(w) for w in vocabulary]))
+    inside = F.array_intersect(words, _table(vocabulary, "string"))
     counts = docs.select(F.explode(F.concat(inside, F.array(F.lit(""))))).groupBy("col").count()
     seen = {r["col"]: r["count"] for r in counts.collect()}
     total = seen.get("", 0)
@@ -73,18 +74,24 @@ def _at(i: Column) -> Column:
     return F.get("_words", i)
 
 
+def _table(rows: list, ddl: str) -> Column:
+    """A constant array of parameters; the plan holds it once, whatever its length."""
+    return F.from_json(F.lit(json.dumps(rows)), f"array<{ddl}>")
+
+
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple[Template, ...] = TEMPLATES,
                   phrases: tuple[tuple[str, str], ...] = PHRASES, anchors: int = 3, share: float = 0.7) -> DataFrame:
     """(id, n_words, n_base, first_word, last_word, base_labels, labels, score) per row.
 
-    Index: each template's ``anchors`` rarest words over all documents, with their places in it; words that it holds more than once
-    come after the others and count at their first place. A text's anchor words are looked up; a template is laid over the text where at
-    least two of its anchors (the only one, if it has one) stand in their relative positions. It gives its
-    label if its key phrase stands there complete and the matched words carry at least ``share`` of its weight (inverse document
-    frequency). ``score`` is the best such share, 0 without one. ``n_base``, ``first_word`` and ``last_word`` are the number of
+    Index: the ``anchors`` rarest words of each template over all documents, from the rarest on, each with its postings (template, place in it); words that a
+    template holds more than once come after its others and count at their first place. A file's rarest index words are its own words in the
+    order of the index; all of them are looked up. The postings, moved back by their places, are sorted, so that places of one
+    template on which two different words agree stand side by side; there the template is laid over the text (one word is
+    enough for a template of one word). It gives its label if its key phrase stands there complete and the matched words carry at least ``share`` of
+    its weight (inverse document frequency). ``score`` is the best such share, 0 without one. ``n_base``, ``first_word`` and ``last_word`` are the number of
     places of ``phrases`` and their smallest and largest word number.
 
-    All of it is one row at a time after a first pass that counts the template words. A null or empty text has no words,
+    All of it is one row at a time after a first pass that counts the template words; the plan does not grow with the templates. A null or empty text has no words,
     empty labels and null places; a very long one is one row's work. Repeated rows stay; other columns are ignored; an empty table gives an
     empty result. Places of one phrase never tie, equal shares of several templates give all their labels.
     """
@@ -93,49 +100,66 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     vocabulary = sorted({w for t in templates for w in t.words})
     rows = docs.select(F.col(id_col).alias("_id"), words_of(F.col(text_col)).alias("_words"))
     weight = word_weights(docs.select(F.col(text_col).alias("_text")), words_of(F.col("_text")), vocabulary)
-    rare = {t: sorted(set(t.words), key=lambda w: (t.words.count(w) > 1, -weight[w], w))[:anchors] for t in templates}
-    lasts = {p.split()[-1] for p, _ in phrases}
-    looked = F.array(*[F.lit(w) for w in sorted(lasts.union(*rare.values()))])
-    hit = F.transform("_words", lambda w, i: F.when(F.array_contains(looked, w), F.struct(w.alias("w"), i.alias("i"))))
-    hits = F.when(F.arrays_overlap("_words", looked), F.filter(hit, lambda x: x.isNotNull()))
-    found = rows.withColumn("_hits", hits)
-
-    def places(word: str, shift: int) -> Column:
-        return F.transform(F.filter("_hits", lambda x: x["w"] == word), lambda x: x["i"] - shift)
+    rare = [sorted(set(t.words), key=lambda w: (t.words.count(w) > 1, -weight[w], w))[:anchors] for t in templates]
+    index: dict[str, list[dict]] = {}
+    for n, (t, own) in enumerate(zip(templates, rare)):
+        for w in own:
+            index.setdefault(w, []).append({"t": n, "o": t.words.index(w)})
+    order = sorted(index, key=lambda w: (-weight[w], w))
+    # per template: its words and their weights, where its key begins and ends, how many words must agree
+    facts = [{"w": t.words, "x": [weight[w] for w in t.words], "all": sum(weight[w] for w in t.words), "a": t.key_at.start, "b": len(t.key_at),
+              "need": min(2, len(own)), "label": t.label} for t, own in zip(templates, rare)]
+    known, postings = _table(order, "string"), _table([index[w] for w in order], "array<struct<t:int,o:int>>")
+    facts = _table(facts, "struct<w:array<string>,x:array<double>,`all`:double,a:int,b:int,need:int,label:string>")
+    lasts = sorted({p.split()[-1] for p, _ in phrases})
+    looked = F.array_union(F.array_intersect(known, F.col("_words")), F.array_intersect(F.array(*map(F.lit, lasts)) if lasts else known, F.col("_words")))
+    hit = F.transform("_words", lambda w, i: F.when(F.array_contains("_looked", w), F.struct(w.alias("w"), i.alias("i"))))
+    found = rows.withColumn("_looked", looked).withColumn("_hits", F.when(F.size("_looked") > 0, F.filter(hit, lambda x: x.isNotNull())))
 
     def base(phrase: str) -> Column:
         words = phrase.split()
+
         def stands(o: Column) -> Column:
             out = o >= 0
             for n, w in enumerate(words[:-1]):
                 out = out & (_at(o + n) == w)
             return out
-        return F.filter(places(words[-1], len(words) - 1), stands)
-
-    def best(t: Template) -> Column:
-        own = [places(w, t.words.index(w)) for w in rare[t]]
-        laid = reduce(F.array_union, [F.array_intersect(a, b) for a, b in combinations(own, 2)]) if len(own) > 1 else own[0]
-        total = sum(weight[w] for w in t.words)
-        def worth(o: Column) -> Column:
-            same = lambda n: (o + n >= 0) & F.coalesce(_at(o + n) == t.words[n], F.lit(False))
-            key, matched = F.lit(True), F.lit(0.0)
-            for n in t.key_at:
-                key = key & same(n)
-            for n, w in enumerate(t.words):
-                matched = matched + F.when(same(n), weight[w]).otherwise(0.0)
-            return F.when(key, F.least(F.lit(1.0), matched / total)).otherwise(0.0)
-        return F.coalesce(F.array_max(F.transform(laid, worth)), F.lit(0.0))
+
+        places = F.transform(F.filter("_hits", lambda x: x["w"] == words[-1]), lambda x: x["i"] - (len(words) - 1))
+        return F.filter(places, stands)
+
+    def lookups(x: Column) -> Column:
+        own = F.get(postings, (F.array_position(known, x["w"]) - 1).cast("int"))
+        return F.transform(F.coalesce(own, F.expr("array()").cast("array<struct<t:int,o:int>>")), lambda p: F.struct(p["t"].alias("t"), (x["i"] - p["o"]).alias("s"), x["w"].alias("w")))
+
+    def agreed(laid: Column) -> Column:
+        """Places of a template that enough different words name: of sorted, different (template, place, word) those followed by the same place."""
+        def next_too(x: Column, i: Column) -> Column:
+            after = F.get(laid, i + 1)
+            twice = F.coalesce((after["t"] == x["t"]) & (after["s"] == x["s"]), F.lit(False))
+            return F.when(twice | (F.get(facts, x["t"])["need"] < 2), F.struct(x["t"].alias("t"), x["s"].alias("s")))
+        return F.array_distinct(F.filter(F.transform(laid, next_too), lambda c: c.isNotNull()))
+
+    def worth(c: Column) -> Column:
+        def judged(fact: Column) -> Column:
+            def measured(same: Column) -> Column:
+                key = F.forall(F.slice(same, fact["a"] + 1, fact["b"]), lambda x: x)
+                matched = F.aggregate(F.zip_with(same, fact["x"], lambda on, x: F.when(on, x).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x)
+                return F.struct(fact["label"].alias("label"), F.when(key, F.least(F.lit(1.0), matched / fact["all"])).otherwise(0.0).alias("share"))
+            same = F.transform(fact["w"], lambda w, i: (c["s"] + i >= 0) & F.coalesce(_at(c["s"] + i) == w, F.lit(False)))
+            return let(same, measured)
+        return let(F.get(facts, c["t"]), judged)
 
     empty = F.expr("array()").cast("array<int>")
+    some = F.col("_hits").isNotNull()
+    laid = let(F.array_sort(F.array_distinct(F.flatten(F.transform("_hits", lookups)))), agreed)
+    given = F.filter(F.transform(laid, worth), lambda g: g["share"] >= share)
     bases = F.struct(*[F.coalesce(base(p), empty).alias(f"p{i}") for i, (p, _) in enumerate(phrases)])
-    scores = F.struct(*[best(t).alias(f"t{i}") for i, t in enumerate(templates)])
-    scored = found.select("_id", F.size("_words").cast("bigint").alias("n_words"), F.when(F.col("_hits").isNotNull(), bases).alias("_b"),
-                          F.when(F.col("_hits").isNotNull(), scores).alias("_s"))
+    scored = found.select("_id", F.size("_words").cast("bigint").alias("n_words"), F.when(some, bases).alias("_b"), F.when(some, given).alias("_g"))
     every = F.coalesce(F.flatten(F.array(*[F.col(f"_b.p{i}") for i in range(len(phrases))])), empty)
     from_base = F.array_compact(F.array(*[F.when(F.size(f"_b.p{i}") > 0, label) for i, (_, label) in enumerate(phrases)]))
-    from_all = F.array_compact(F.array(*[F.when(F.col(f"_s.t{i}") >= share, t.label) for i, t in enumerate(templates)]))
-    top = F.greatest(F.lit(0.0), *[F.when(F.col(f"_s.t{i}") >= share, F.col(f"_s.t{i}")) for i in range(len(templates))])
+    from_all = F.coalesce(F.col("_g.label"), F.array().cast("array<string>"))
     joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
     return scored.select(F.col("_id").alias(id_col), "n_words", F.size(every).cast("bigint").alias("n_base"), F.array_min(every).cast("bigint").alias("first_word"),
                          F.array_max(every).cast("bigint").alias("last_word"), joined(from_base).alias("base_labels"),
-                         joined(F.concat(from_base, from_all)).alias("labels"), top.alias("score"))
+                         joined(F.concat(from_base, from_all)).alias("labels"), F.coalesce(F.array_max(F.col("_g.share")), F.lit(0.0)).alias("score"))

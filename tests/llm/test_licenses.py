@@ -76,3 +76,26 @@ def test_any_number_of_anchors(docs, anchors):
     assert sorted(got, key=repr) == slow(rows, own, anchors=anchors)
     with pytest.raises(ValueError):
         licenses.scan_licenses(docs(rows), anchors=0)
+
+
+def test_hundreds_of_whole_templates(docs):
+    """The plan holds the index as constants: three hundred templates of a hundred words are no larger than a few."""
+    rng = random.Random(11)
+    usual = ["the", "of", "to", "and", "any", "license", "software"]
+    own = []
+    for n in range(300):
+        ws = [rng.choice(usual) if rng.random() < 0.5 else f"t{rng.randrange(2500)}" for _ in range(100)]
+        ws[40:43] = ["key", f"phrase{n % 40}", f"number{n}"]
+        own.append(licenses.Template(f"l{n:03}", " ".join(ws), " ".join(ws[40:43])))
+    rows = []
+    for i in range(25):
+        text = [rng.choice(usual) for _ in range(rng.randrange(40))]
+        for t in rng.sample(own, rng.choice([0, 1, 2])):
+            lost = rng.choice([0, 0, 0.1])
+            text += [w if rng.random() >= lost else "zz" for w in t.words] + ["end"]
+        rows.append((i, " ".join(text)))
+    got = [(*tuple(r)[:-1], round(r[-1], 9)) for r in licenses.scan_licenses(docs(rows), templates=tuple(own)).collect()]
+    want = slow(rows, own)
+    assert sorted(got, key=repr) == want and sum(bool(r[6]) for r in want) > 8
+    frame = licenses.scan_licenses(docs(rows), templates=tuple(own))
+    assert "Python" not in frame._jdf.queryExecution().executedPlan().toString()
