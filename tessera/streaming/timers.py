@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -25,7 +26,7 @@ def merged_sessions(sessions: list[tuple[int, int, int]], gap: int) -> list[tupl
 
 
 class SessionTimers(StatefulProcessor):
-    """Open sessions of a key; a timer at the end of each hands it out once the watermark has passed, and forgets it."""
+    """Open sessions of a key, in order of time; one timer at the end of the first hands out all that the watermark has passed, and forgets them."""
 
     def __init__(self, key: str, gap: int) -> None:
         self.key, self.gap = key, gap
@@ -53,28 +54,30 @@ class SessionTimers(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         edge = timerValues.getCurrentWatermarkInMs() * 1000
-        before, late, fresh = self._load(), [], []
-        for frame in rows:
-            for times in frame["times"]:
-                # turns of a time stand for equal rows
-                at, n = np.unique(np.asarray(times, np.int64), return_counts=True)
-                late += [(t, t, c) for t, c in zip(at[at < edge].tolist(), n[at < edge].tolist())]
-                fresh = merged_sessions([*fresh, *((t, t, c) for t, c in zip(at[at >= edge].tolist(), n[at >= edge].tolist()))], self.gap)
-        after = merged_sessions([*before, *fresh], self.gap)
-        old, new = {self._due(s) for s in before}, {self._due(s) for s in after}
+        # turns of a time stand for equal rows
+        at, n = np.unique(np.concatenate([np.asarray(times, np.int64) for frame in rows for times in frame["times"]]), return_counts=True)
+        every = list(zip(at.tolist(), at.tolist(), n.tolist()))
+        behind = int(np.searchsorted(at, edge))
+        before, late = self._load(), every[:behind]
+        after = merged_sessions([*before, *every[behind:]], self.gap)
+        # sessions are apart by the gap, so the first is due first
+        old, new = ({self._due(s) for s in sessions[:1]} for sessions in (before, after))
         for due in old - new:
             self.handle.deleteTimer(due)
         for due in new - old:
             self.handle.registerTimer(due)
-        self._store(after)
+        if after != before:
+            self._store(after)
         if late:
             yield self._rows(key, "late", late)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
         sessions = self._load()
         done = [s for s in sessions if self._due(s) <= now]
-        self._store([s for s in sessions if self._due(s) > now])
+        self._store(sessions[len(done):])
+        if len(done) < len(sessions):
+            self.handle.registerTimer(self._due(sessions[len(done)]))
         if done:
             yield self._rows(key, "session", done)
 
@@ -92,14 +95,15 @@ def stream_session_timers(stream: DataFrame, ts: str, key: str, gap_minutes: flo
     kind = stream.schema[key].dataType.simpleString()
     rows = stream.withWatermark(ts, watermark).select(F.col(key), F.col(ts), F.unix_micros(ts).alias("_t"))
 
-    def gather(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            times = frame.dropna(subset=[key, "_t"]).groupby(key, sort=False)["_t"].agg(lambda t: t.astype("int64").tolist())
-            if len(times):
-                yield pd.DataFrame({key: times.index, "times": times.to_list()})
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            narrow = pa.Table.from_batches([batch]).select([key, "_t"]).drop_null()
+            if narrow.num_rows:
+                times = narrow.group_by(key, use_threads=False).aggregate([("_t", "list")]).rename_columns({"_t_list": "times"})
+                yield from times.select([key, "times"]).combine_chunks().to_batches()
 
     # the event time itself ends here, so that rows behind the watermark are not dropped before they are seen
-    small = rows.mapInPandas(gather, f"{key} {kind}, times array<bigint>")
+    small = rows.mapInArrow(gather, f"{key} {kind}, times array<bigint>")
     found = small.groupBy(key).transformWithStateInPandas(
         SessionTimers(key, int(gap_minutes * 60_000_000)), f"{key} {kind}, kind string, first bigint, last bigint, turns bigint", "Append", "EventTime")
     return found.withColumns({c: F.timestamp_micros(c) for c in ("first", "last")})

@@ -61,3 +61,54 @@ def test_each_session_once_and_late_rows_aside(spark, folder):
     assert sorted((r[0], r[2]) for r in got if r[1] == "late" for _ in range(r[4])) == sorted(late)
     held = spark.read.format("statestore").option("path", folder("ckpt")).option("stateVarName", "open").load()
     assert held.count() == 0
+
+
+class Held:
+    """Stands for the state of one key: a value, the timers set, and the calls made."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, set(), 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value, self.calls = value, self.calls + 1
+
+    def clear(self):
+        self.value, self.calls = None, self.calls + 1
+
+    def registerTimer(self, due):
+        self.timers.add(due)
+        self.calls += 1
+
+    def deleteTimer(self, due):
+        self.timers.discard(due)
+        self.calls += 1
+
+
+class Clock:
+    def __init__(self, ms):
+        self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: ms
+
+
+def test_calls_do_not_grow_with_the_sessions():
+    import pandas as pd
+
+    held, rule = Held(), timers.SessionTimers("k", 1000)
+    rule.init(held)
+    times = [i * 5000 for i in range(2000)]
+    assert list(rule.handleInputRows(("a",), iter([pd.DataFrame({"times": [times[:900], times[900:]]})]), Clock(0))) == []
+    assert len(held.timers) == 1 and held.calls <= 2
+    fired = held.timers.pop()
+    done = [r for f in rule.handleExpiredTimer(("a",), Clock(5000), Clock(fired)) for r in f.itertuples(index=False)]
+    assert len(done) == 1000 and len(held.timers) == 1 and min(held.timers) > 5000 and held.calls <= 4
+    held.timers.clear()
+    done += [r for f in rule.handleExpiredTimer(("a",), Clock(10 ** 6), Clock(5001)) for r in f.itertuples(index=False)]
+    assert [r.first for r in done] == times and held.value is None and not held.timers
