@@ -23,6 +23,8 @@ from tessera.session import pin
 BROADCAST_CELLS = 8_000_000
 SHORTEST_VECTOR = 16
 BLOCK_ROWS = 20_000
+# Groups of a side of the blocked join, and the most numbers of a group: 32 MB as doubles.
+SIDE_GROUPS, GROUP_CELLS = 12, 4_000_000
 MATCH_DDL = "query_id bigint, id bigint, score double"
 RRF_K = 60
 
@@ -147,39 +149,51 @@ def _against_small_corpus(q: DataFrame, c: DataFrame, k: int, exclude_self: bool
     return _final(q.mapInArrow(run, MATCH_DDL), k)
 
 
-def _block_kernel(k: int, exclude_self: bool):
+def _block_kernel(k: int, exclude_self: bool, tile_rows: int = BLOCK_ROWS):
+    """Arrow function over a group of queries and a group of rows; ``tile_rows`` queries at a time are scored."""
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         empty = pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()),
                           "score": pa.array([], pa.float64())})
         if not left.num_rows or not right.num_rows:
             return empty
-        query_ids = left.column("query_id").to_numpy()
-        vectors = unit_rows(matrix(left.column("vector")))
-        rows = unit_rows(matrix(right.column("vector"), vectors.shape[1]))
-        best = BestMatches(len(query_ids), k)
-        push_tiles(best, vectors, query_ids, rows, right.column("id").to_numpy(), exclude_self)
-        return pa.Table.from_batches([_emit(best, query_ids)])
+        dim = next((n for side in (left, right) for n in side.column("vector").combine_chunks().value_lengths().drop_null().slice(0, 1).to_pylist()), 0)
+        rows, ids, found = unit_rows(matrix(right.column("vector"), dim)), right.column("id").to_numpy(), []
+        for at in range(0, left.num_rows, tile_rows):
+            tile = left.slice(at, tile_rows)
+            query_ids = tile.column("query_id").to_numpy()
+            best = BestMatches(len(query_ids), k)
+            push_tiles(best, unit_rows(matrix(tile.column("vector"), dim)), query_ids, rows, ids, exclude_self)
+            found.append(_emit(best, query_ids))
+        return pa.Table.from_batches(found)
 
     return run
 
 
+def _group_rows(count: int, dim: int, block_rows: int) -> int:
+    """Rows of a side that go to a task together: a ``SIDE_GROUPS``-th of the side, at least a block and at most ``GROUP_CELLS`` numbers."""
+    return max(block_rows, min(-(-count // SIDE_GROUPS), GROUP_CELLS // max(dim, SHORTEST_VECTOR)))
+
+
 def knn_join_blocked(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "query_id", id_col: str = "id",
                      vector: str = "embedding", block_rows: int = BLOCK_ROWS, exclude_self: bool = False) -> DataFrame:
     """k nearest rows per query when both sides are large.
 
-    Both sides are cut in even blocks by a hash of the unique id. Each pair of blocks is one task
-    that keeps k rows per query, so memory depends on the block size and neither a pair list nor a
-    hot group can form. Then the k best of k per block are merged.
+    Both sides are cut in even groups by a hash of the unique id. Each pair of groups is one task
+    that scores ``block_rows`` queries at a time and keeps k rows per query, so neither a pair list nor a
+    hot group can form. Then the k best of k per group are merged.
+
+    A row is sent once per group of the other side. There are ``SIDE_GROUPS`` of them however many rows there are, until a
+    group would hold more than ``GROUP_CELLS`` numbers: up to there the rows moved grow as the input, and a task's memory is bounded beyond.
     """
     q, c = _sides(queries, corpus, query_id, id_col, vector)
-    q_blocks = max(1, -(-q.count() // block_rows))
-    c_blocks = max(1, -(-c.count() // block_rows))
+    sizes = [df.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first() for df in (q, c)]
+    q_blocks, c_blocks = (max(1, -(-n // _group_rows(n, dim or 0, block_rows))) for n, dim in sizes)
     block = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = q.withColumn("_q", block("query_id", q_blocks)).withColumn("_c", every(c_blocks))
     right = c.withColumn("_c", block("id", c_blocks)).withColumn("_q", every(q_blocks))
     matches = (left.groupBy("_q", "_c").cogroup(right.groupBy("_q", "_c"))
-               .applyInArrow(_block_kernel(k, exclude_self), MATCH_DDL))
+               .applyInArrow(_block_kernel(k, exclude_self, block_rows), MATCH_DDL))
     return _final(matches, k)
 
 

@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -193,3 +194,24 @@ def test_ranking_tells_scores_apart_below_the_digits_of_a_report(spark):
     assert [r["id"] for r in retrieval.vector_topk(rows, [1.0, 0.0], 1).collect()] == [2]
     assert [r["id"] for r in retrieval.knn_join(asked, rows, 1).collect()] == [2]
     assert [r["id"] for r in retrieval.knn_join_blocked(asked, rows, 1).collect()] == [2]
+
+
+def test_blocked_join_sends_a_row_to_a_bounded_number_of_groups(spark, monkeypatch):
+    def sizes(*_):
+        return lambda left, right: pa.table({"query_id": pa.array([left.num_rows]), "id": pa.array([right.num_rows]), "score": [0.0]})
+
+    monkeypatch.setattr(retrieval, "_block_kernel", sizes)
+    monkeypatch.setattr(retrieval, "_final", lambda matches, k: matches)
+    v = np.ones((600, 4))
+    met = retrieval.knn_join_blocked(frame(spark, v, "query_id"), frame(spark, v), 3, block_rows=5).collect()
+    assert sum(r["query_id"] for r in met) + sum(r["id"] for r in met) <= 2 * 600 * retrieval.SIDE_GROUPS
+    # beyond that, a group has a bounded number of numbers
+    assert retrieval._group_rows(10 ** 9, 64, 1000) * 64 <= retrieval.GROUP_CELLS
+
+
+def test_blocked_join_of_groups_of_several_tiles(spark):
+    v = np.random.default_rng(5).normal(size=(300, 6))
+    rows = frame(spark, v).unionByName(spark.createDataFrame([(900 + i, None) for i in range(40)], "id bigint, embedding array<double>"))
+    asked = rows.withColumnRenamed("id", "query_id")
+    few, many = (sorted(map(tuple, retrieval.knn_join_blocked(asked, rows, 4, block_rows=n, exclude_self=True).collect())) for n in (3, 1000))
+    assert few == many and len(few) == 340 * 4
