@@ -236,3 +236,23 @@ def test_detect_types(spark):
     # The digits inside the account number count as well: a value too many is better than one too few.
     assert [e["entity_type"] for e in got] == ["PERSON", "DATE_OF_BIRTH", "ADDRESS", "EMAIL", "PHONE", "SSN", "CREDIT_CARD",
                                                "BANK_ACCOUNT", "BANK_ACCOUNT", "BANK_ACCOUNT", "OTHER"]
+
+
+def test_sentiment_counts_as_the_word_rule(spark, monkeypatch):
+    """Words counted in Arrow, piece by piece, are those of ``tokenize_words``, whatever the characters."""
+    import random
+
+    monkeypatch.setattr(language, "PIECE_BYTES", 200)
+    rng = random.Random(4)
+    lexicon = {"good": 2.0, "bad": -1.5, "été": 1.0, "x": 0.0, "νος": 3.0, "a-b": 9.0, "": 1.0, "ⱥ": 0.5, "war_1": -1.5, "𝒳": 4.0}
+    marks = [" ", "\n", "-", "’", "…", "€", "\u00a0", "\x00", "'", "_", "ª", "²", "½", "\u0301", "\u0130", "Σ", "Ⅳ", "中", "𝒳", "ǅ", "Ⱥ"]
+    words = ["Good", "BAD", "ÉTÉ", "x", "νοΣ", "war_1", "WAR_1", "straße", "other", "A-B", "7"]
+    texts = ["".join(rng.choice(words) + rng.choice(marks if i % 2 else marks[:10]) for _ in range(rng.randrange(30))) for i in range(300)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None, "", "\n\n", "good " * 500])], "id int, text string")
+    odd = rows.select("id", F.decode(F.concat(F.encode(F.lit("good "), "utf-8"), F.unhex(F.lit("41ff20"))), "iso-8859-1").alias("text")).limit(1)
+    rows = rows.unionByName(odd).repartition(2)
+    fast = sorted(map(repr, rows.select("id", language.sentiment(F.col("text"), lexicon).alias("s")).collect()))
+    known = rows.select(language.word_counts([["good"]])(F.col("text")).alias("c"))
+    assert known.where("c is not null").count() > 50
+    monkeypatch.setattr(language, "word_counts", lambda groups: lambda text: F.lit(None).cast("array<int>"))
+    assert fast == sorted(map(repr, rows.select("id", language.sentiment(F.col("text"), lexicon).alias("s")).collect()))
