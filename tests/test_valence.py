@@ -4,6 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from tessera.operators import valence
 from tessera.operators.valence import ValenceRules, text_valence
 
 LEXICON = {"good": 1.9, "great": 3.1, "bad": -2.5, "war": -2.9, "fine": 0.8, "zero": 0.0}
@@ -77,3 +78,16 @@ def test_empty_tables(spark):
     table = spark.createDataFrame([], "word string, valence double")
     assert text_valence(spark.createDataFrame([], "doc_id bigint, body string"), "doc_id", "body", table).count() == 0
     check(spark, [(1, "good"), (2, None)], {"unused": 1.0})
+
+
+def test_small_and_large_lexicons_agree_and_marks_need_no_pattern(spark, monkeypatch):
+    rows = [(i, f"GOOD {'very ' * (i % 3)}bad but not good{'!' * i}?") for i in range(8)] + [(9, None), (9, "good good"), (None, "bad")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, body string")
+    table = spark.createDataFrame(list(LEXICON.items()), "word string, valence double")
+    small = text_valence(frame, "doc_id", "body", table)
+    plan = small._jdf.queryExecution().optimizedPlan().toString()
+    # marks are counted without a pattern that is tried at every character
+    assert "regexp_replace(" not in plan
+    monkeypatch.setattr(valence, "SENT_WORDS", 0)
+    large = text_valence(frame, "doc_id", "body", table)
+    assert sorted(map(repr, small.collect())) == sorted(map(repr, large.collect()))
