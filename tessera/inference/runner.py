@@ -18,6 +18,8 @@ from tessera.functions.responses import is_json
 from tessera.inference.models import ModelFactory
 
 ERROR_MARK = "ERROR"
+#: Answers that a worker hands on at once, about.
+PIECE_ROWS = 256
 
 
 def _attempt(call, texts: list, retries: int, backoff: float) -> tuple[list | None, str | None, int]:
@@ -58,14 +60,28 @@ def model_call(text: Column, model: ModelFactory, returns: str = "string", batch
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         call = model()
         for series in batches:
-            values = series.tolist()
-            rows: list[tuple] = [(None, None, 0.0, 0)] * len(values)
-            at = [i for i, v in enumerate(values) if v is not None]
-            for start in range(0, len(at), batch):
-                chosen = at[start:start + batch]
-                for i, row in zip(chosen, _run_batch(call, [values[i] for i in chosen], retries, backoff)):
-                    rows[i] = row
-            yield pd.DataFrame(rows, columns=["response", "error", "latency_s", "attempts"])
+            # answers go on in pieces, so a worker never holds those of a whole Arrow batch
+            rows: list[tuple] = []
+            chosen: list[int] = []
+            texts: list = []
+            done = 0
+            for i, value in enumerate(series):
+                if value is not None:
+                    chosen.append(i)
+                    texts.append(value)
+                if len(chosen) < batch and i + 1 < len(series):
+                    continue
+                rows += [(None, None, 0.0, 0)] * (i + 1 - done)
+                if chosen:
+                    start = len(rows) - (i + 1 - done)
+                    for j, row in zip(chosen, _run_batch(call, texts, retries, backoff)):
+                        rows[start + j - done] = row
+                done, chosen, texts = i + 1, [], []
+                if len(rows) >= PIECE_ROWS or done == len(series):
+                    yield pd.DataFrame(rows, columns=["response", "error", "latency_s", "attempts"])
+                    rows = []
+            if not len(series):
+                yield pd.DataFrame(rows, columns=["response", "error", "latency_s", "attempts"])
 
     # Not deterministic for the planner: a model must be called once per row, whatever reads the result.
     return run.asNondeterministic()(text)

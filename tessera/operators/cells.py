@@ -30,6 +30,8 @@ MOST_CELLS = 4096
 GROUP_ROWS, GROUP_QUERIES = 20_000, 2_000
 #: Cells whose file reader gets a list.
 LISTED_CELLS = 1000
+#: Scores that a task has at once.
+TILE = 1_000_000
 #: Rounding of bounds.
 SLACK = 1e-9
 
@@ -64,7 +66,9 @@ def _mean_round(rows: DataFrame, vector: str, dim: int, assign: Callable[[np.nda
 
 
 def _nearest(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    return np.argmax(rows @ centres.T - 0.5 * (centres * centres).sum(axis=1), axis=1)
+    """Number of the nearest centre of each row, in tiles of about ``TILE`` scores: the number of centres grows with the table."""
+    half, step = 0.5 * (centres * centres).sum(axis=1), max(1, TILE // max(1, len(centres)))
+    return np.concatenate([np.argmax(rows[at:at + step] @ centres.T - half, axis=1) for at in range(0, max(len(rows), 1), step)])
 
 
 @dataclass(frozen=True)
@@ -163,8 +167,9 @@ def _probe(index: CellIndex, queries: DataFrame, choose: Callable) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, reach, centres = sent.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                b = batch.slice(at, 256)
+            step = max(1, min(256, TILE // max(1, 4 * len(centres))))
+            for at in range(0, batch.num_rows, step):
+                b = batch.slice(at, step)
                 q = unit_rows(matrix(b.column("vector"), centres.shape[1]))
                 scores = q @ centres.T
                 bounds = scores + np.sqrt((q * q).sum(axis=1, keepdims=True)) * reach
@@ -208,7 +213,7 @@ def _tiles(left: pa.Table, right: pa.Table, dim: int, parts: int) -> Iterator[tu
     q = unit_rows(matrix(left.column("vector"), dim))
     codes = np.frombuffer(b"".join(right.column("codes").to_pylist()), np.uint8).reshape(-1, parts)
     err = right.column("err").to_numpy()
-    step = max(1, 4_000_000 // max(1, len(codes)))
+    step = max(1, TILE // max(1, len(codes)))
     for at in range(0, len(q), step):
         yield at, q[at:at + step], codes, err
 

@@ -14,6 +14,8 @@ from tessera.functions.markup import drop_hidden, section_pieces, sections_of, v
 from tessera.functions.text import content_id
 
 NO_CONTEXT = "INSUFFICIENT_INFORMATION"
+#: Documents whose chunks a worker hands on at once.
+PIECE_ROWS = 64
 STATUS_DDL = "doc_parsed_contents map<string,string>, parser_status string"
 
 
@@ -64,13 +66,15 @@ def with_recursive_chunks(df: DataFrame, text: str, size: int, overlap: int,
     def split(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         measure = counter() if counter else len
         for batch in batches:
-            rows = []
-            for value in batch:
-                try:
-                    rows.append((recursive_split(value, size, overlap, measure), "SUCCESS"))
-                except Exception as e:  # noqa: BLE001
-                    rows.append(([], f"ERROR: {e}"))
-            yield pd.DataFrame(rows, columns=["chunked_text", "chunker_status"])
+            # chunks go on in pieces, so a worker never holds those of a whole Arrow batch
+            for at in range(0, max(len(batch), 1), PIECE_ROWS):
+                rows = []
+                for value in batch.iloc[at:at + PIECE_ROWS]:
+                    try:
+                        rows.append((recursive_split(value, size, overlap, measure), "SUCCESS"))
+                    except Exception as e:  # noqa: BLE001
+                        rows.append(([], f"ERROR: {e}"))
+                yield pd.DataFrame(rows, columns=["chunked_text", "chunker_status"])
 
     return df.withColumn(out, split.asNondeterministic()(F.col(text)))
 

@@ -87,3 +87,11 @@ def test_few_rows_and_empty_tables(spark, folder):
     assert cells.cells_topk(index, queries.limit(0), 5).count() == 0
     empty = cells.build_cells(table(spark, []), "id", "embedding", folder("b"))
     assert cells.cells_topk(empty, queries, 5).count() == 0
+
+
+def test_nearest_centres_go_tile_by_tile(monkeypatch):
+    rng = np.random.default_rng(2)
+    rows, centres = rng.normal(size=(500, 6)), rng.normal(size=(40, 6))
+    whole = np.argmax(rows @ centres.T - 0.5 * (centres * centres).sum(axis=1), axis=1)
+    monkeypatch.setattr(cells, "TILE", 100)
+    assert (cells._nearest(rows, centres) == whole).all() and len(cells._nearest(rows[:0], centres)) == 0

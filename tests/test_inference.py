@@ -114,3 +114,45 @@ def test_chunks_measured_in_tokens(spark, sf):
         # A chunk is measured piece by piece, and a joined text never has more tokens than its pieces.
         assert rows and all(measure(r["chunk"]) <= 61 for r in rows)
     assert sizes[1] == sizes[2] > sizes[0]
+
+
+def test_answers_and_chunks_go_on_in_pieces(spark, monkeypatch):
+    """A worker holds the answers of a few rows, whatever the size of the Arrow batch."""
+    import pandas as pd
+
+    sizes = []
+
+    class Frame(pd.DataFrame):
+        def __init__(self, rows, columns):
+            sizes.append(len(rows))
+            super().__init__(rows, columns=columns)
+
+    texts = pd.Series([None if i % 7 == 0 else f"text {i}" for i in range(3000)], dtype=object)
+    made = []
+
+    class Plain:
+        def asNondeterministic(self):
+            return lambda *columns: F.lit(1)
+
+    def keep(ddl):
+        return lambda f: made.append(f) or Plain()
+
+    monkeypatch.setattr(F, "pandas_udf", keep)
+    monkeypatch.setattr(pd, "DataFrame", Frame)
+    runner.model_call(F.lit("x"), models.BatchSize(), batch=10)
+    documents.with_recursive_chunks(spark.createDataFrame([("a",)], "text string"), "text", 8, 0)
+    answers = [a for piece in made[0](iter([texts, texts[:0]])) for a in piece["response"]]
+    assert max(sizes) < 600 and len(answers) == 3000 and [a is None for a in answers] == [t is None for t in texts]
+    sizes.clear()
+    assert sum(len(piece) for piece in made[1](iter([texts.fillna("")]))) == 3000 and max(sizes) < 600
+
+
+def test_embedder_remembers_a_bounded_number_of_words(monkeypatch):
+    texts = [f"w{i} shared w{i + 1}" for i in range(50)]
+    whole = models.HashedEmbedder(8)()(texts)
+    monkeypatch.setattr(models, "KNOWN_WORDS", 3)
+    call = models.HashedEmbedder(8)()
+    assert call(texts) == whole
+    held = next(c.cell_contents for f in call.__closure__ if callable(f.cell_contents) and getattr(f.cell_contents, "__closure__", None)
+                for c in f.cell_contents.__closure__ if isinstance(c.cell_contents, dict))
+    assert len(held) <= 3
