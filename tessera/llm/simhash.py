@@ -111,6 +111,8 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
        checked. Only fingerprints of groups not yet connected meet, and only links between groups are kept.
     4. Components over the links.
 
+    Tables that grow with the rows meet in sorted joins; none of them goes through the driver.
+
     A null or empty text has fingerprint zero and links like any other. A null id keeps its row; the smallest id of a
     component ignores nulls. Repeated rows stay. Other columns are ignored. An empty table gives an empty result.
     """
@@ -128,15 +130,16 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         def keyed(flips: bool) -> DataFrame:
             return grouped.select("fp", "part", F.explode(_ring_keys(F.col("fp"), max_bits, flips)).alias("k")).select("fp", "part", "k.seg", "k.key")
 
-        base = keyed(False).select("seg", "key", F.col("fp").alias("fp2"), F.col("part").alias("part2"))
-        parts = base.select("seg", "key", "part2").distinct()
+        # Spark takes keys after an explode for no more rows than before and would send them to every task
+        base = keyed(False).select("seg", "key", F.col("fp").alias("fp2"), F.col("part").alias("part2")).hint("merge")
+        parts = base.select("seg", "key", "part2").distinct().hint("merge")
         met = keyed(True).join(parts, ["seg", "key"]).where("part <> part2")
         diff = F.col("fp").bitwiseXOR(F.col("fp2"))
         links = (met.join(base, ["seg", "key", "part2"]).where(_chain(diff, F.col("seg"), max_bits) & (F.bit_count(diff) <= max_bits))
                  .select(F.least("part", "part2").alias("a"), F.greatest("part", "part2").alias("b")))
         joined = components(links).select(F.col("node").alias("part"), F.col("root"))
         labels = grouped.join(joined, "part", "left").select("fp", F.coalesce("root", "part").alias("part"))
-    named = labels.join(firsts, "fp")
+    named = labels.join(firsts.hint("merge"), "fp")
     smallest = named.groupBy("part").agg(F.min("first").alias("component_id"))
     found = named.join(smallest, "part").select("fp", "component_id")
-    return rows.join(found, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return rows.hint("merge").join(found, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

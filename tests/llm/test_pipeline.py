@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tessera.llm import decontaminate, language, mixing
+from tessera.llm import decontaminate, language, mixing, simhash
 from tessera.llm.queries import REST, TARGETS
 from test_language import UNSEEN
 from test_simhash import roots, slow_print
@@ -74,6 +74,18 @@ def test_stages_keep_columns_and_odd_rows(spark, docs, sf, folder):
     assert sizes[0] == 11 and sizes[1] == 4 and sizes[2] == sizes[3] == sizes[4] == 4
 
 
+def test_keys_of_near_duplicates_are_not_broadcast(spark, docs, sf, monkeypatch):
+    """The stage's keys are 68 times its fingerprints; their joins sort both sides instead of sending one through the driver."""
+    linked, own = [], simhash.components
+    monkeypatch.setattr(simhash, "components", lambda edges: linked.append(edges) or own(edges))
+    rows = [(i, f"{'the house by the lake ' * 9}{i % 12}", "en", "src1") for i in range(20)]
+    kept = corpus_pipeline.near_duplicates(spark, docs(rows), sf)
+    root = roots([(i, j) for i in range(20) for j in range(i) if (slow_print(rows[i][1], 3) ^ slow_print(rows[j][1], 3)).bit_count() <= 3], range(20))
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(root.values()))
+    links = linked[1]._jdf.queryExecution().sparkPlan().toString()
+    assert links.count("SortMergeJoin") == 2 and "BroadcastHashJoin" not in links
+
+
 def test_empty_table(spark, docs, sf, folder):
     docs([]).write.parquet(folder("in"))
     table = spark.read.parquet(folder("in"))

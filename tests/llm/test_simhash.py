@@ -75,6 +75,18 @@ def test_dense_fingerprints(spark):
     assert got == roots(pairs, range(len(fps)))
 
 
+def test_exploded_keys_are_not_broadcast(docs, monkeypatch):
+    """68 keys per fingerprint stand under a size taken for one: the planner must not be free to send them to the driver."""
+    linked = []
+    monkeypatch.setattr(simhash, "components", lambda edges: linked.append(edges) or components(edges))
+    rows = [(i, f"{'the house by the lake ' * 9}{i}") for i in range(20)] + [(20 + i, f"tree {i} stands at {i * i} by {i * 7}") for i in range(20)]
+    got = simhash.simhash_groups(docs(rows))
+    assert sorted(map(tuple, got.collect()), key=repr) == slow_groups(rows, 3, 3)
+    links, result = (frame._jdf.queryExecution().sparkPlan().toString() for frame in (linked[1], got))
+    assert links.count("SortMergeJoin") == 2 and "BroadcastHashJoin" not in links
+    assert "SortMergeJoin [fp" in result and "BroadcastHashJoin [fp" not in result
+
+
 def test_empty_and_long(docs):
     assert simhash.simhash_groups(docs([])).count() == 0
     long = "lorem ipsum dolor " * 60_000
